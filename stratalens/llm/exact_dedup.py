@@ -57,10 +57,12 @@ class StreamingExactDedup:
         self._advance()
         if found := self._clashes():
             self.clashing |= found
-            self.ws.drop("inbox", "state", "checkpoint")
+            self.ws.drop("inbox", "state", "checkpoint", "hits")
             for no, batch in enumerate(self.batches):
                 self._arrive(*batch, no)
             self._advance()
+            self.ws.drop("hits")
+            self._hits()
 
     def _advance(self) -> None:
         """Runs the stream over what is new in the inbox."""
@@ -92,11 +94,14 @@ class StreamingExactDedup:
             F.min("id").alias("keep_id"), F.coalesce(F.min_by("row_no", "id"), F.min("row_no")).alias("keep_row"), F.sum("n").alias("group_size")
         )
 
+    def _hits(self) -> DataFrame:
+        """The groups of two and more, as a table: the join with them then deals both sides, and splits a hot digest."""
+        return self.ws.save(self.groups().where("group_size > 1"), "hits")
+
     def _clashes(self) -> set[str]:
         """Digests behind which the full bytes differ: none, unless the digest is weak."""
-        hits = self.groups().where("group_size > 1").select("digest")
-        key, found = F.xxhash64("digest"), set()
-        seen = bitmap(hits, key)
+        key = F.xxhash64("digest")
+        seen = bitmap(self._hits().select("digest"), key)
         texts = None
         for docs, _, text_col in self.batches:
             rows = docs.select(normalised(text_col).alias("t")).select(self._key(F.col("t")).alias("digest"), "t")
@@ -108,7 +113,7 @@ class StreamingExactDedup:
     def decisions(self) -> DataFrame:
         """id, keep_id, group_size, kept, text_sha256 and the row's file and row number; one row for each row taken in."""
         rows = self.spark.read.parquet(self.ws.path("inbox"))
-        hits = self.groups().where("group_size > 1").select(F.col("digest").alias("hit"), "keep_id", "keep_row", "group_size")
+        hits = self.spark.read.parquet(self.ws.path("hits")).select(F.col("digest").alias("hit"), "keep_id", "keep_row", "group_size")
         out = rows.join(hits, F.col("digest") == F.col("hit"), "left")
         alone = F.col("hit").isNull()
         return out.select(
