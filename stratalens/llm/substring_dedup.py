@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,7 +211,7 @@ def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_text(b.column("t"))
-            for k, (i, j) in enumerate(slices(texts)):
+            for k, (i, j) in enumerate(slices(texts, 2_000_000)):
                 w, starts = word_hashes(texts[i:j])
                 h, n = np.unique(chosen(*anchors(w, starts, p), p), return_counts=True)
                 run = np.empty(len(h), _RUN)
@@ -238,6 +239,8 @@ def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -
     for r in hits.groupBy("bucket").applyInArrow(paint, "bucket long, bits binary").toLocalIterator():
         table[r["bucket"] << (size_bits - bits - 3) : (r["bucket"] + 1) << (size_bits - bits - 3)] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(table)
+    ws.drop("arrived", *[f"run-{k}" for k in range(log.made)])
+    ws.release_shuffles()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -245,7 +248,7 @@ def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -
             texts = as_text(b.column("t"))
             file = np.array([number.value[f] for f in b.column(FILE).to_pylist()], np.uint32)
             row = np.asarray(b.column(ROW)).astype(np.uint64)
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 w, starts = word_hashes(texts[i:j])
                 _, small, whole = anchors(w, starts, p)
                 slot = (small >> np.uint64(64 - size_bits)).astype(np.int64)
@@ -265,17 +268,20 @@ def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -
                 rest["file"][lead[~twice | lead]] = 0xFFFFFFFF
                 where, blobs = _blobs(_bucket(rest["h"], bits), rest)
                 places = _places(known)
+                over = [x & ((1 << bits) - 1) for x in places[0]]  # places only pass through a bucket
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*where, *[-1] * len(places[0])], pa.int64()), pa.array([*[None] * len(where), *places[0]], pa.int64()), pa.array([*blobs, *places[1]], pa.binary())], ["bucket", "part", "blob"]
+                    [pa.array([*where, *over], pa.int64()), pa.array([*[None] * len(where), *places[0]], pa.int64()), pa.array([*blobs, *places[1]], pa.binary())], ["bucket", "part", "blob"]
                 )
 
     def verify(t: pa.Table) -> pa.Table:
-        every = np.concatenate(_read(t.column("blob"), _WINDOW))
+        own = t.filter(pc.is_null(t.column("part")))
+        past = t.filter(pc.is_valid(t.column("part"))).select(["part", "blob"])
+        every = np.concatenate([np.zeros(0, _WINDOW), *_read(own.column("blob"), _WINDOW)])
         every = every[np.lexsort((every["v"], every["h"]))]
         same = (every["h"][1:] == every["h"][:-1]) & (every["v"][1:] == every["v"][:-1])
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(every) else np.zeros(0, bool)
         part, blobs = _places(every[twice & (every["file"] != 0xFFFFFFFF)])
-        return pa.table({"part": pa.array(part, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.concat_tables([pa.table({"part": pa.array(part, pa.int64()), "blob": pa.array(blobs, pa.binary())}), past])
 
     def gather(t: pa.Table) -> pa.Table:
         every = np.concatenate(_read(t.column("blob"), _PLACE))
@@ -284,12 +290,9 @@ def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -
         spots = [x.astype("<u4").tobytes() for x in np.split(every["pos"], cut[1:])]
         return pa.table({"file": pa.array(every["file"][cut].astype(np.int64)), "row": pa.array(every["row"][cut].astype(np.int64)), "at": pa.array(spots, pa.binary())})
 
-    # the windows are written once, as both ways read them
-    made = ws.save(rows.mapInArrow(windows, "bucket long, part long, blob binary"), "windows")
-    far = made.where("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(verify, "part long, blob binary")
-    places = far.union(made.where("bucket < 0").select("part", "blob"))
+    made = rows.mapInArrow(windows, "bucket long, part long, blob binary")
+    places = made.groupBy("bucket").applyInArrow(verify, "part long, blob binary")
     found = ws.save(places.groupBy("part").applyInArrow(gather, "file long, row long, at binary"), "found")
-    ws.drop("arrived", "windows", *[f"run-{k}" for k in range(log.made)])
     ws.release_shuffles()
     return found, files
 
