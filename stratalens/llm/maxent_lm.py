@@ -233,9 +233,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = ws.save(count_words(learn), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     words = p.classes * p.width - p.tails
-    head = [(r["word"], r["c"]) for r in counts.where(F.octet_length("word") <= p.head_bytes).orderBy(F.desc("c"), "word").limit(p.head).toLocalIterator()]
-    short = spark.createDataFrame(head[:words], "w string, k long")  # as many words as the model has slots
-    tails = counts.join(F.broadcast(short), F.col("word") == F.col("w"), "left_anti").groupBy(F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(p.tails)).cast("int").alias("tail")).agg((F.sum("c") + F.count("*") + 1).alias("m"))
+    short = counts.where(F.octet_length("word") <= p.head_bytes)
+    if v > 4 * p.head:  # twice as many as wanted, and the error of the quantile, are left to sort
+        cut = short.agg(F.percentile_approx("c", max(0.0, 1 - 2 * p.head / v - 1 / 5000), 10_000)).first()[0]
+        short = short.where(F.col("c") >= (cut or 0))
+    head = [(r["word"], r["c"]) for r in short.orderBy(F.desc("c"), "word").limit(p.head).toLocalIterator()]
+    slots = spark.createDataFrame(head[:words], "w string, k long")  # as many words as the model has slots
+    tails = counts.join(F.broadcast(slots), F.col("word") == F.col("w"), "left_anti").groupBy(F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(p.tails)).cast("int").alias("tail")).agg((F.sum("c") + F.count("*") + 1).alias("m"))
     masses = {k: 1 for k in range(p.tails)} | {r["tail"]: r["m"] for r in tails.collect()}  # one row per tail
     events = Events(head, sorted(masses.items()), words, p)
     weights = train(learn, events, ws, p)
