@@ -74,6 +74,10 @@ class Vocabulary:
                 raise ValueError("two pieces have one hash")
             self.tables.append((h[order], np.array([whole.get(x, -1) for x in starts])[order]))
 
+        self.single = np.full(max(ord(x[0]) for x in whole) + 2, -2)  # by character; the last stands for all above
+        for x in whole:
+            self.single[ord(x[0])] = max(self.single[ord(x[0])], whole[x] if len(x) == 1 else -1)
+
     def find(self, n: int, hashes: np.ndarray) -> np.ndarray:
         """The piece of n characters with this hash; -1: only longer pieces begin so; -2: none does."""
         h, ids = self.tables[n - 1]
@@ -107,20 +111,21 @@ class Lattices:
         self.start = np.cumsum(size) - size
         total = int(size.sum())
         self.code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.left = np.repeat(self.start + size, size) - np.arange(total)  # characters to the chunk's end
-        found, h, at, n = [], np.zeros(total, np.uint64), np.arange(total), 0
+        self.left = (np.repeat(self.start + size, size) - np.arange(total)).astype(np.int32)  # characters to the chunk's end
+        found, h, at, n = [], np.zeros(total, np.uint64), np.arange(total, dtype=np.int32), 0
         single = np.zeros(total, bool)
         while len(at) and n < v.longest:
             n += 1
             h = h * _BASE + self.code[at + n - 1] + np.uint64(1)
-            piece = v.find(n, h)
+            piece = v.find(n, h) if n > 1 else v.single[np.minimum(self.code, len(v.single) - 1)]
             hit = piece >= 0
             found.append((at[hit], piece[hit], n))
             if n == 1:
                 single[at[hit]] = True
             go = (piece > -2) & (self.left[at] > n)
             at, h = at[go], h[go]
-        bare = np.flatnonzero(~single)  # characters that are no piece: as bytes
+        del h, at
+        bare = np.flatnonzero(~single).astype(np.int32)  # characters that are no piece: as bytes
         found.append((bare, np.full(len(bare), -1), 1))
         found = found[::-1]
         node = np.concatenate([x[0] for x in found])
@@ -128,15 +133,17 @@ class Lattices:
         node = node[order]
         self.piece = np.concatenate([x[1] for x in found])[order].astype(np.int32)
         self.size = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])[order]
-        self.first = np.searchsorted(node, np.arange(total + 1))
+        del found, order
+        fan = np.bincount(node, minlength=total)
+        self.first = np.concatenate([[0], np.cumsum(fan)])
         weight = np.where(self.piece >= 0, v.weight[self.piece], -20.0)
         ends = self.left[node] == self.size
-        ahead = node + self.size
-        self.beta, self.ways = np.zeros(total), np.ones(total)
+        ahead = np.where(ends, total, node + self.size)  # the end of all chunks: nothing lies beyond, one way
+        beta, self.ways = np.zeros(total + 1), np.ones(total + 1)
         self.prob = np.empty(len(node))
-        level = np.argsort(self.left, kind="stable")
-        cuts = np.searchsorted(self.left[level], np.arange(1, int(self.left.max(initial=0)) + 2))
-        fan = np.diff(self.first)
+        most = int(self.left.max(initial=0))
+        level = np.argsort(self.left.astype(np.uint16) if most < 1 << 16 else self.left, kind="stable")  # short integers sort fast
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(self.left, minlength=most + 1)[1:])]) if total else np.zeros(1, np.int64)
         for a, b in zip(cuts, cuts[1:]):  # from the chunks' ends to their starts
             x = level[a:b]
             if not len(x):
@@ -144,14 +151,15 @@ class Lattices:
             n = fan[x]
             cut = np.cumsum(n) - n
             e = np.arange(n.sum()) + np.repeat(self.first[x] - cut, n)
-            done, to = ends[e], np.where(ends[e], 0, ahead[e])
-            s = weight[e] + np.where(done, 0.0, self.beta[to])
+            to = ahead[e]
+            s = weight[e] + beta[to]
             top = np.maximum.reduceat(s, cut)
             y = np.exp(s - np.repeat(top, n))
             sum_ = np.add.reduceat(y, cut)
-            self.beta[x] = top + np.log(sum_)
+            beta[x] = top + np.log(sum_)
             self.prob[e] = y / np.repeat(sum_, n)
-            self.ways[x] = np.minimum(np.add.reduceat(np.where(done, 1.0, self.ways[to]), cut), 1e300)
+            self.ways[x] = np.minimum(np.add.reduceat(self.ways[to], cut), 1e300)
+        del weight, ends, ahead, level
         run = np.cumsum(self.prob)
         self.cum = run - np.repeat(run[self.first[:-1]] - self.prob[self.first[:-1]], fan)
         self.cum[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
@@ -188,25 +196,31 @@ class Lattices:
                 node = node[2][n]
             node[2][lengths[-1]] = None
         for node in reversed(nodes):
-            node[1] = sum(self.prob[e] * self._of(node, e) for e in range(self.first[node[0]], self.first[node[0] + 1]))
+            node[1] = sum(self._open(node[0], node)[1])
         return root
 
-    def _of(self, node: list | None, edge: int) -> float:
-        """The share of an edge that isn't taken."""
-        if node is None or int(self.size[edge]) not in node[2]:
-            return 1.0
-        below = node[2][int(self.size[edge])]
-        return 0.0 if below is None else below[1]
+    def _open(self, pos: int, node: list | None) -> tuple[list[int], list[float]]:
+        """The edges' lengths, and of each edge's probability what isn't taken."""
+        a, b = int(self.first[pos]), int(self.first[pos + 1])
+        size, prob = self.size[a:b].tolist(), self.prob[a:b].tolist()
+        for k, n in enumerate(size):
+            if node is not None and n in node[2]:
+                prob[k] *= 0.0 if node[2][n] is None else node[2][n][1]
+        return size, prob
 
     def sample_other(self, chunk: int, taken: list[list[int]], uniform) -> tuple[float, list[int]]:
         """A segmentation other than those taken (as lengths), each with its probability among the rest."""
         node, pos, out, logp, step = self.rest(chunk, taken), int(self.start[chunk]), [], 0.0, 0
         while True:
-            edges = range(self.first[pos], self.first[pos + 1])
-            c = np.cumsum([self.prob[e] * self._of(node, e) for e in edges])
-            edge = edges[min(int((c <= uniform(step) * c[-1]).sum()), len(edges) - 1)]
-            n = int(self.size[edge])
-            logp += float(self.logp[edge])
+            size, prob = self._open(pos, node)
+            want, k = uniform(step) * sum(prob), 0
+            while k + 1 < len(size) and want >= prob[k]:
+                want -= prob[k]
+                k += 1
+            while prob[k] == 0.0:  # where rounding has led to what is taken
+                k -= 1
+            n = size[k]
+            logp += float(self.logp[int(self.first[pos]) + k])
             out.append(n)
             node = node[2].get(n) if node is not None else None
             if self.left[pos] <= n:
@@ -269,14 +283,16 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
     place = np.arange(len(code)) - first[doc]
     key = mix(keys.astype(np.uint64) ^ np.uint64(p.seed))
 
-    def draw(docs: np.ndarray, sample: int, places: np.ndarray, step: int) -> np.ndarray:
-        h = mix(key[docs] + np.uint64(sample * 0x632BE59BD9B4E019 % (1 << 64)) + places.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((step + 1) * 0xA0761D6478BD642F % (1 << 64)))
+    own_key = key[doc] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # of each occurrence
+
+    def draw(keys: np.ndarray, sample: int, step: int) -> np.ndarray:
+        h = mix(keys + np.uint64((sample * 0x632BE59BD9B4E019 + (step + 1) * 0xA0761D6478BD642F) % (1 << 64)))
         return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
-    one = lambda d, sample, place, step: float(draw(np.array([d]), sample, np.array([place]), step)[0])
+    one = lambda at, sample, step: float(draw(own_key[at : at + 1], sample, step)[0])
     full = np.arange(len(texts))
     none = count == 0
-    cap = -np.log(-np.log(draw(full, 0, np.zeros(len(texts), np.int64), -2)))  # the largest key of all
+    cap = -np.log(-np.log(draw(key, 0, -2)))  # the largest key of all
     found: list[list[dict]] = [[] for _ in texts]
     queue: list[list[tuple]] = [[] for _ in texts]
     # a turn follows one path in each text: from chunk `at` on freely, what comes before as its parent has it
@@ -287,26 +303,29 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
         n = count[ds] - at
         occ_of = np.repeat(np.arange(len(ds)), n)
         occ = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ds] + at, n)
-        logp, piece_of, edges = lat.sample(code[occ], lambda o, step: draw(doc[occ[o]], sample, place[occ[o]], step))
+        chunk, keys_ = code[occ], own_key[occ]
+        logp, piece_of, edges = lat.sample(chunk, lambda o, step: draw(keys_[o], sample, step))
         before = np.array([0.0 if t[2] is None else t[2]["phi"] for t in turn])
         run = np.concatenate([[0.0], np.cumsum(logp)])
         begin = np.cumsum(n) - n
-        above = run[:-1] - np.repeat(run[begin.clip(0, max(len(run) - 2, 0))] if len(logp) else np.zeros(len(ds)), n) + np.repeat(before, n)
-        left = np.where(lat.ways[lat.start[code[occ]]] > 1, np.maximum(-np.expm1(logp), 1e-15), 0.0)
-        with np.errstate(divide="ignore"):
-            mass = above + np.log(left)
         top = np.array([cap[t[0]] if t[2] is None else t[2]["key"] for t in turn])
-        value = gumbel_below(mass, np.repeat(top, n), draw(doc[occ], sample, place[occ], -3))
+        above = run[:-1] - np.repeat((run[begin.clip(0, max(len(run) - 2, 0))] if len(logp) else np.zeros(len(ds))) - before, n)
+        # Below exp(-120) of its start a path's sets are beyond the reach of doubles: one before them has exp(-70) or more.
+        near = np.flatnonzero(above > np.repeat(before - 120, n))
+        left = np.where(lat.ways[lat.start[chunk[near]]] > 1, np.maximum(-np.expm1(logp[near]), 1e-15), 0.0)
+        with np.errstate(divide="ignore"):
+            mass = above[near] + np.log(left)
+        waiting = np.full(len(occ), -np.inf)
+        waiting[near] = gumbel_below(mass, np.repeat(top, n)[near], draw(keys_[near], sample, -3))
         edge_cut = np.searchsorted(piece_of, np.concatenate([begin, [len(occ)]]))
         need = p.k - sample  # of one path no more sets than this can still be asked for
-        waiting = value.copy()
         for k, (d, a, parent) in enumerate(turn):
-            lo, hi = begin[k], begin[k] + n[k]
+            lo, hi = int(begin[k]), int(begin[k] + n[k])
             phi = (parent["phi"] if parent else 0.0) + float(run[hi] - run[lo])
             me = {"parent": parent, "from": a, "edges": edges[edge_cut[k] : edge_cut[k + 1]], "of": piece_of[edge_cut[k] : edge_cut[k + 1]] - lo, "log_prob": phi, "key": float(top[k])}
             found[d].append(me)
             own = waiting[lo:hi]
-            for i in np.argpartition(-own, need - 1)[:need].tolist() if hi - lo > need else range(hi - lo):
+            for i in range(hi - lo) if hi - lo <= need else [int(own.argmax())] if need == 1 else np.argpartition(own, -need)[-need:].tolist():
                 if own[i] > -np.inf:
                     heapq.heappush(queue[d], (-float(own[i]), sample, int(a + i), me, float(above[lo + i]), 1))
         if sample + 1 == p.k:
@@ -318,13 +337,13 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
             score, _, i, me, phi0, gone = heapq.heappop(queue[d])
             c = int(code[first[d] + i])
             taken = me["taken"] if "taken" in me and me["at"] == i else [self_lengths(me, i, lat)]
-            lp, lengths = lat.sample_other(c, taken, lambda step: one(d, sample + 1, i, step + 1000))
+            lp, lengths = lat.sample_other(c, taken, lambda step: one(first[d] + i, sample + 1, step + 1000))
             turned = {"parent": me["parent"] if "taken" in me and me["at"] == i else me, "at": i, "lengths": lengths, "phi": phi0 + lp, "key": -score}
             rest = float(lat.rest(c, [*taken, lengths])[1])
             if gone + 1 < lat.ways[lat.start[c]] and rest > 0:
                 base = me if not ("taken" in me and me["at"] == i) else me["base"]
                 again = {"taken": [*taken, lengths], "at": i, "base": base, "parent": base}
-                value_ = float(gumbel_below(np.array([phi0 + np.log(rest)]), np.array([-score]), np.array([one(d, sample + 1, i, -4)]))[0])
+                value_ = float(gumbel_below(np.array([phi0 + np.log(rest)]), np.array([-score]), np.array([one(first[d] + i, sample + 1, -4)]))[0])
                 heapq.heappush(queue[d], (-value_, sample + 0.5, i, again, phi0, gone + 1))
             turn.append((d, i + 1, turned))
     paths = [path_edges(s, lat, code, first[d]) for d, samples in enumerate(found) for s in samples]
@@ -378,7 +397,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
         v = Vocabulary(sent.value, p.sharpness)
         for b in batches:
             texts, keys = as_text(b.column("t")), np.asarray(b.column("key")).view(np.uint64)
-            for i, j in slices(texts, 3_000_000):
+            for i, j in slices(texts, 4_000_000):
                 own = texts[i:j].to_pylist()
                 row, cols = [], [[] for _ in range(7)]
                 for k, samples in enumerate(segment(keys[i:j], own, v, p)):
