@@ -1,0 +1,533 @@
+"""The reference workload's queries over the driver's tables, each with its SQL for DuckDB where SQL can say it.
+
+Corpora: `documents`, `pages` and `conversations` as files; a supplier graph out of lineitem; a change log out of events;
+and a small source tree for analyses that need code.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalens import constants as K
+from stratalens.functions import paths, text
+from stratalens.operators import graph, imports, index, search
+from stratalens.operators import symbols as sym
+from stratalens.plans import analyses, routing
+from stratalens.sources import corpus
+from stratalens.sources.mini import EDGES, FILES, SYMBOLS, mini
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL pieces ---
+
+
+def q(x: object) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+
+
+def values(name: str, cols: str, rows: list[tuple]) -> str:
+    return f"{name}({cols}) AS (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)})"
+
+
+def any_sql(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {q(w)})" for w in words) + ")"
+
+
+_EXT = {e: lang for lang, exts in K.EXTENSIONS.items() for e in exts.split()}
+_LANG = {p: K.BASENAMES.get(p.split("/")[-1]) or _EXT.get(p.rsplit(".", 1)[-1], "unknown") for p, _ in FILES}
+_ID = {p: i for i, (p, _) in enumerate(FILES)}
+DOCS = "files AS (SELECT doc_id AS file_id, concat_ws('/', source, concat(doc_id, '.', lang)) AS path, lang AS language, coalesce(text, '') AS content FROM documents)"
+PAGES = "files AS (SELECT page_id AS file_id, regexp_replace(url, '^[a-z]+://', '') AS path, 'html' AS language, coalesce(html, '') AS content FROM pages)"
+CONV = "files AS (SELECT conv_id * 1000 + turn AS file_id, concat_ws('/', conv_id, turn) AS path, role AS language, coalesce(text, '') AS content FROM conversations)"
+MINI = values("files", "file_id, path, language, content", [(i, p, _LANG[p], c) for i, (p, c) in enumerate(FILES)])
+LINES = "lines AS (SELECT file_id, path, language, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT *, string_split(content, chr(10)) AS l FROM files))"
+SYMS = values("symbols", "file_id, path, language, name, kind, line_start, line_end, ord", [(_ID[p], p, _LANG[p], n, k, a, b, o) for o, (p, n, k, a, b) in enumerate(SYMBOLS)])
+EDGE = values("edges", "src, dst", [(_ID[a], _ID[b]) for a, b in EDGES])
+CHG = "changes AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, 'user/' || user_id AS path, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS op, ts FROM events)"
+SUP = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))"
+WORDS = "[" + "".join("\\" + c if c in "[]^-&\\" else c for c in K.DELIMITERS) + "]+"
+TRIM = "chr(32) || chr(9) || chr(13)"
+
+
+def with_(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+
+def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.read.parquet(f"{d}/supplier.parquet").count()
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 50 AND l_discount >= 0.09")
+    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).where("src <> dst").distinct()
+
+
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    return index.numbered_changes(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def _code(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    f = mini(spark)
+    return f, sym.extract(f)
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    return imports.edges(mini(spark))
+
+
+# --- scans and projections ---
+
+
+@query(with_(DOCS, LINES) + "SELECT language, count(*) AS lines, sum(line_no) AS line_nos, sum(strlen(line)) AS bytes FROM lines GROUP BY language")
+def line_explode_stats(spark, d):
+    return index.lines(corpus.documents(spark, d)).groupBy("language").agg(F.count("*").alias("lines"), F.sum("line_no").alias("line_nos"), F.sum(F.octet_length("line")).alias("bytes"))
+
+
+@query(with_(DOCS, LINES, "t AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, length(line) - 1), lambda i: substr(line, CAST(i AS BIGINT), 3))) AS trigram FROM lines WHERE length(line) >= 3)") + "SELECT trigram, count(*) AS files FROM t GROUP BY trigram")
+def trigram_posting_sizes(spark, d):
+    return index.trigram_postings(corpus.documents(spark, d)).groupBy("trigram").agg(F.count("*").alias("files"))
+
+
+@query(with_(DOCS, f"t AS (SELECT DISTINCT file_id, unnest(regexp_split_to_array(content, {q(WORDS)})) AS word FROM files)") + "SELECT word, count(*) AS files FROM t WHERE strlen(word) >= 2 GROUP BY word")
+def word_posting_sizes(spark, d):
+    return index.word_postings(corpus.documents(spark, d)).groupBy("word").agg(F.count("*").alias("files"))
+
+
+@query("SELECT lang AS language, count(*) AS files, sum(strlen(coalesce(text, ''))) AS bytes FROM documents GROUP BY lang")
+def language_histogram(spark, d):
+    return corpus.documents(spark, d).groupBy("language").agg(F.count("*").alias("files"), F.sum("byte_size").alias("bytes"))
+
+
+@query(with_(MINI) + "SELECT path, language FROM files")
+def language_detection(spark, d):
+    return mini(spark).select("path", "language")
+
+
+_DIRS = ", ".join(q(x) for x in K.SKIP_DIRS)
+_PATH = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+@query(
+    f"SELECT page_id, {_PATH} AS path, (len(list_filter(string_split({_PATH}, '/'), lambda p: (starts_with(p, '.') AND p NOT IN ('.', '..', '.gitignore', '.env', '.env.example')) OR p IN ({_DIRS}))) > 0"
+    f" OR {any_sql(_PATH, K.SKIP_FRAGMENTS)} OR {' OR '.join(f'ends_with({_PATH}, {q(e)})' for e in K.SKIP_EXTENSIONS)}) AS ignored FROM pages"
+)
+def ignore_filter(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_replace("url", r"^[a-z]+://", "").alias("path"))
+    return p.withColumn("ignored", paths.ignored(F.col("path")))
+
+
+@query(with_(MINI) + "SELECT path, (path GLOB 'migrations/*' OR starts_with(path, 'py/') OR list_contains(string_split(path, '/'), 'pkg') OR regexp_matches(path, '^.*\\.t.*$')) AS ignored FROM files")
+def gitignore_filter(spark, d):
+    p = F.col("path")
+    return mini(spark).select("path", (paths.matches_ignore(p, "migrations/*") | paths.matches_ignore(p, "/py") | paths.matches_ignore(p, "pkg/") | paths.matches_ignore(p, "*.t*") | paths.matches_ignore(p, "!web")).alias("ignored"))
+
+
+@query("SELECT doc_id, running_files > 500 OR running_bytes > 1000000 AS capped FROM (SELECT doc_id, row_number() OVER w AS running_files, sum(strlen(coalesce(text, ''))) OVER w AS running_bytes FROM documents WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))")
+def scan_caps(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.orderBy("file_id").rowsBetween(W.unboundedPreceding, 0)
+    f = corpus.documents(spark, d).select("file_id", "byte_size").withColumn("n", F.count("*").over(w)).withColumn("b", F.sum("byte_size").over(w))
+    return f.select(F.col("file_id").alias("doc_id"), ((F.col("n") > 500) | (F.col("b") > 1_000_000)).alias("capped"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS path, o_orderdate AS mtime, o_orderstatus AS length FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT o_orderkey AS path, o_orderdate AS mtime, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS length FROM orders WHERE o_orderstatus <> 'O') "
+    "SELECT change, count(*) AS files FROM (SELECT CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.mtime = n.mtime AND o.length = n.length THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path) GROUP BY change"
+)
+def reconcile_listings(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.col("o_orderstatus").alias("length"))
+    new = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")).alias("length"))
+    return corpus.reconcile(old, new).groupBy("change").agg(F.count("*").alias("files"))
+
+
+# --- tools ---
+
+
+@query(with_(DOCS, LINES) + "SELECT path, line_no, line, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS scope_kind FROM lines WHERE contains(line, 'token = ')")
+def search_token(spark, d):
+    return search.search(corpus.documents(spark, d), "token = ", limit=None)
+
+
+@query(with_(DOCS, LINES) + "SELECT path, line_no, line, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS scope_kind FROM lines WHERE contains(line, 'License') ORDER BY path, line_no LIMIT 50")
+def search_phrase(spark, d):
+    return search.search(corpus.documents(spark, d), "License")
+
+
+@query(with_(MINI, LINES, SYMS) + "SELECT path, line_no, line, scope, scope_kind FROM (SELECT l.*, s.name AS scope, s.kind AS scope_kind, row_number() OVER (PARTITION BY l.file_id, l.line_no ORDER BY s.line_end - s.line_start, s.ord) AS n FROM lines l LEFT JOIN symbols s ON s.file_id = l.file_id AND l.line_no BETWEEN s.line_start AND s.line_end WHERE contains(line, 'charge')) WHERE n = 1")
+def search_scoped(spark, d):
+    f, s = _code(spark)
+    return search.search(f, "charge", s)
+
+
+@query(with_(DOCS, LINES) + f"SELECT path, line_no, line FROM lines WHERE list_contains(regexp_split_to_array(line, {q(WORDS)}), 'the')")
+def find_word(spark, d):
+    return search.find_word(corpus.documents(spark, d), "the", limit=None)
+
+
+@query(with_(CONV, LINES) + f"SELECT path, line_no, line FROM lines WHERE list_contains(regexp_split_to_array(line, {q(WORDS)}), 'and')")
+def find_word_conversations(spark, d):
+    return search.find_word(corpus.conversations(spark, d), "and", limit=None)
+
+
+@query(with_(SYMS) + "SELECT path, line_start, line_end, kind, name FROM symbols WHERE contains(name, 'charge')")
+def find_symbol(spark, d):
+    return search.find_symbol(_code(spark)[1], "charge")
+
+
+@query(with_(MINI, SYMS) + "SELECT f.path, f.language, len(string_split(content, chr(10))) AS line_count, strlen(content) AS byte_size, row_number() OVER (ORDER BY s.ord) - 1 AS ord, name, kind, line_start, line_end FROM files f JOIN symbols s USING (file_id) WHERE f.path = 'src/billing.rs'")
+def get_outline(spark, d):
+    f, s = _code(spark)
+    return search.outline(f, s, "billing.rs")
+
+
+@query(with_(MINI, SYMS) + "SELECT regexp_extract(path, '[^/]*$') AS name, path, language, len(string_split(content, chr(10))) AS lines, (SELECT count(*) FROM symbols s WHERE s.file_id = f.file_id) AS symbols FROM files f")
+def get_tree(spark, d):
+    f, s = _code(spark)
+    return search.tree(f, s)
+
+
+@query(with_(DOCS, LINES) + "SELECT path, line_no, line FROM lines WHERE file_id = 7 AND line_no BETWEEN 2 AND 5")
+def read_file_range(spark, d):
+    f = corpus.documents(spark, d)
+    p = f.where("file_id = 7").select("path").first()[0]
+    return search.read_file(f, p, 2, 5)
+
+
+@query(with_(MINI, LINES) + "SELECT path, 'charge' AS symbol, line_no, line FROM lines WHERE path = 'src/billing.rs' AND line_no BETWEEN 7 AND 11")
+def read_symbol(spark, d):
+    f, s = _code(spark)
+    return search.read_symbol(f, s, "charge", context=1)
+
+
+_OCC = """occ AS (SELECT path, line_no, line, u, unnest(list_transform(range(1, length(line)), lambda i: struct_pack(i := i, a := substr(line, 1, CAST(i AS BIGINT) - 1), b := substr(line, CAST(i AS BIGINT) + 6)))) AS o FROM cand WHERE contains(line, 'charge'))"""
+
+
+@query(
+    with_(
+        MINI, LINES, SYMS,
+        "cand AS (SELECT l.*, (regexp_matches(ltrim(line), '^(use |pub use |pub\\(crate\\) use |export |import |from )') OR contains(ltrim(line), 'from \"') OR contains(ltrim(line), 'from ''')) AS u FROM lines l WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = 'charge' AND s.file_id = l.file_id AND l.line_no BETWEEN s.line_start AND s.line_end))",
+        _OCC,
+        "k AS (SELECT *, CASE WHEN NOT u AND (ends_with(o.a, '::') OR starts_with(o.b, '::')) THEN 'path' WHEN (ends_with(o.a, '.') OR ends_with(o.a, '->')) AND starts_with(o.b, '(') THEN 'method' WHEN starts_with(o.b, '(') THEN 'call' WHEN regexp_matches(ltrim(line), '^(pub use |pub\\(crate\\) use |export )') THEN 'reexport' WHEN u THEN 'import' ELSE 'other' END AS context FROM occ WHERE substr(line, CAST(o.i AS BIGINT), 6) = 'charge' AND NOT regexp_matches(o.a, '[A-Za-z0-9_]$') AND NOT regexp_matches(o.b, '^[A-Za-z0-9_]'))",
+    )
+    + f"SELECT path, line_no, context, trim(line, {TRIM}) AS line FROM (SELECT *, row_number() OVER (PARTITION BY path, line_no ORDER BY o.i) AS n FROM k WHERE context <> 'other') WHERE n = 1"
+)
+def find_callers(spark, d):
+    f, s = _code(spark)
+    return search.find_callers(f, s, "charge")
+
+
+@query(with_(DOCS) + "SELECT files, total_lines, total_bytes, symbols, total_bytes // 4 AS naive_tokens, symbols * 10 AS outline_tokens, CASE WHEN symbols * 10 < total_bytes // 4 THEN (total_bytes // 4 - symbols * 10) * 100 // (total_bytes // 4) ELSE 0 END AS savings_pct FROM (SELECT count(*) AS files, sum(len(string_split(content, chr(10)))) AS total_lines, sum(strlen(content)) AS total_bytes, 0 AS symbols FROM files)")
+def status(spark, d):
+    return search.status(corpus.documents(spark, d), _code(spark)[1].where("false"))
+
+
+@query(with_(CHG) + "SELECT seq, path, op, ts FROM changes ORDER BY seq DESC LIMIT 20")
+def hot_files(spark, d):
+    return search.hot_files(changes(spark, d))
+
+
+@query(with_(CHG) + "SELECT seq, path, op, 900 < (SELECT max(seq) - 999 FROM changes) AS truncated FROM changes WHERE seq > 900 AND seq > (SELECT max(seq) - 1000 FROM changes)")
+def changes_since(spark, d):
+    return search.changes_since(changes(spark, d), 900)
+
+
+@query(with_(CHG) + "SELECT path, op, seq, n_changes FROM (SELECT path, arg_max(op, seq) AS op, max(seq) AS seq, count(*) AS n_changes FROM changes GROUP BY path) WHERE op <> 'deleted'")
+def replay_upsert(spark, d):
+    return index.replay(changes(spark, d))
+
+
+# --- imports and graph ---
+
+
+@query(with_(PAGES, "s AS (SELECT file_id, unnest(regexp_extract_all(content, '(?:src|href)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS spec FROM files)") + f"SELECT file_id, spec FROM (SELECT DISTINCT file_id, trim(spec, {TRIM} || ';,') AS spec FROM s WHERE NOT starts_with(spec, 'http') AND NOT starts_with(spec, '//')) WHERE spec <> '' AND strlen(spec) <= 256")
+def html_import_specs(spark, d):
+    return imports.specs(corpus.pages(spark, d)).select("file_id", "spec")
+
+
+@query(with_(EDGE) + "SELECT src, dst FROM edges")
+def import_edges(spark, d):
+    return _edges(spark)
+
+
+@query(with_(SUP) + "SELECT dst FROM edges WHERE src = 7")
+def graph_imports(spark, d):
+    return graph.imports(supplier_edges(spark, d), 7)
+
+
+@query(with_(SUP) + "SELECT src FROM edges WHERE dst = 7")
+def graph_imported_by(spark, d):
+    return graph.imported_by(supplier_edges(spark, d), 7)
+
+
+@query(with_(SUP, "top AS (SELECT dst AS node FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)", "r(node, depth) AS (SELECT DISTINCT src, 1 FROM edges JOIN top ON dst = node UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.node WHERE depth < 10)") + "SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def change_impact(spark, d):
+    e = supplier_edges(spark, d)
+    top = e.groupBy(F.col("dst").alias("node")).count().orderBy(F.desc("count"), "node").limit(1).select("node")
+    return graph.change_impact(e, top)
+
+
+_FAN = "n AS (SELECT s_suppkey AS node, s_name AS path FROM supplier), c AS (SELECT node, path, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM edges GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM edges GROUP BY src) USING (node))"
+
+
+@query(with_(SUP, _FAN) + "SELECT node, path, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0 ELSE round(fan_out / (fan_in + fan_out), 4) END AS instability, CASE WHEN fan_in >= 5 AND fan_out >= 10 THEN 'god' WHEN fan_in >= 5 AND fan_out <= 2 THEN 'core' WHEN fan_out >= 10 AND fan_in <= 1 THEN 'driver' WHEN fan_in + fan_out = 0 THEN 'island' ELSE 'normal' END AS role FROM c")
+def coupling_metrics(spark, d):
+    n = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("path"))
+    return graph.coupling(n, supplier_edges(spark, d))
+
+
+_SCC = "tc(a, b) AS (SELECT src, dst FROM edges UNION SELECT tc.a, e.dst FROM tc JOIN edges e ON tc.b = e.src), scc AS (SELECT x.a AS node, min(x.b) AS component FROM tc x JOIN tc y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query(with_(SUP, _SCC) + "SELECT node, component FROM scc")
+def cycles(spark, d):
+    return graph.components(supplier_edges(spark, d))
+
+
+@query("SELECT 0 AS node, 0 AS component WHERE false")
+def cycles_empty(spark, d):
+    return graph.components(supplier_edges(spark, d).where("src < dst"))
+
+
+@query(with_(MINI, EDGE, "p AS (SELECT file_id, CASE WHEN len(string_split(path, '/')) > 2 THEN array_to_string(string_split(path, '/')[1:2], '/') WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE path END AS pkg FROM files)") + "SELECT a.pkg AS from_pkg, b.pkg AS to_pkg, count(*) AS weight FROM edges JOIN p a ON a.file_id = src JOIN p b ON b.file_id = dst WHERE a.pkg <> b.pkg GROUP BY ALL")
+def package_rollup(spark, d):
+    return graph.package_edges(_edges(spark), mini(spark))
+
+
+# --- analyses ---
+
+
+def _rules_sql() -> str:
+    return values("rules", "pattern, rule, severity, ci", [(t.lower() if ci else t, r, s, int(ci)) for t, r, s, ci in K.SECURITY])
+
+
+_SKIP = f"({any_sql('path', K.SECURITY_SKIP)} OR starts_with(regexp_extract(path, '[^/]*$'), 'test'))"
+_SEC = [
+    f"l AS (SELECT *, trim(line, {TRIM}) AS t FROM lines WHERE NOT {_SKIP})",
+    f"e AS (SELECT *, CASE WHEN contains(t, '=') THEN strpos(t, '=') ELSE strpos(t, ':') END AS sep FROM l), v AS (SELECT *, trim(substr(t, 1, sep - 1), ' ' || chr(9) || '\"''') AS nm, trim(substr(t, sep + 1), ' ' || chr(9) || chr(13) || '\"'',;') AS val FROM e WHERE sep > 0)",
+    "es AS (SELECT *, CASE WHEN NOT (t <> '' AND NOT starts_with(t, '#') AND NOT starts_with(t, '//') AND strlen(nm) BETWEEN 1 AND 64 AND strlen(val) >= 8 AND NOT regexp_matches(val, '^(\\$\\{|\\$\\(|<|\\{)') AND NOT contains(val, '(') AND NOT "
+    + any_sql("lower(val)", K.SECRET_NOT) + ") THEN NULL WHEN " + any_sql("lower(nm)", K.SECRET_CRITICAL) + " THEN 'critical' WHEN " + any_sql("lower(nm)", K.SECRET_HIGH) + " OR ends_with(nm, '_TOKEN') OR ends_with(nm, '_KEY') THEN 'high' END AS sev FROM v)",
+    "sec AS (SELECT path AS file, line_no AS line, rule, severity, line AS raw FROM l JOIN rules r ON contains(CASE WHEN r.ci = 1 THEN lower(l.line) ELSE l.line END, r.pattern) UNION ALL SELECT path, line_no, 'hardcoded_secret_assignment', sev, line FROM es WHERE sev IS NOT NULL UNION ALL SELECT path, line_no, 'aws_access_key', 'critical', line FROM l WHERE regexp_matches(line, 'AKIA[A-Z0-9]{16}'))",
+]
+_SEC_OUT = f"SELECT file, line, rule, severity, substr(trim(raw, {TRIM}), 1, 240) AS line_text FROM sec"
+
+
+@query(with_(MINI, LINES, _rules_sql(), *_SEC) + _SEC_OUT)
+def security(spark, d):
+    return analyses.security(mini(spark))
+
+
+@query(with_(DOCS, LINES, _rules_sql(), *_SEC) + _SEC_OUT)
+def security_documents(spark, d):
+    return analyses.security(corpus.documents(spark, d))
+
+
+@query(with_(DOCS, LINES, _rules_sql(), *_SEC) + "SELECT rule, severity, count(*) AS n FROM sec GROUP BY ALL")
+def security_summary(spark, d):
+    return analyses.security(corpus.documents(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+_EXCL = f"NOT {any_sql('path', K.LITERAL_SKIP)} AND language NOT IN ({', '.join(map(q, K.LITERAL_SKIP_LANGUAGES))})"
+_OCT = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|0?[0-9]?[0-9])"
+_END = "[^ \\t\"''`)\\]>,]*"
+_LIT = [
+    f"l AS (SELECT *, (regexp_matches(ltrim(line, ' ' || chr(9)), '^(//|/\\*|\\*)') OR (starts_with(ltrim(line, ' ' || chr(9)), '#') AND language IN ('python', 'bash', 'toml', 'yaml'))) AS cm FROM lines WHERE {_EXCL} AND line <> '' AND strlen(line) <= 2000)",
+    "x AS (SELECT *, coalesce(" + ", ".join(f"nullif(regexp_extract(line, '(?:^|[^A-Za-z0-9_-])({s}://{_END})', 1), '')" for s in K.SCHEMES) + ") AS url, "
+    f"regexp_extract(line, '(?:^|[^A-Za-z0-9.])({_OCT}\\.{_OCT}\\.{_OCT}\\.{_OCT})(?:$|[^A-Za-z0-9.])', 1) AS ip, "
+    "list_filter(list_concat(regexp_extract_all(line, '\"([A-Za-z0-9_+/=-]{24,})\"', 1), regexp_extract_all(line, '''([A-Za-z0-9_+/=-]{24,})''', 1)), lambda b: length(b) >= 40 OR (regexp_matches(b, '[A-Z].*[A-Z]') AND regexp_matches(b, '[0-9].*[0-9]')))[1] AS sec, "
+    + "CASE " + " ".join(f"WHEN contains(line, {q(a)}) THEN {q(a)}" for a in K.ABS_PATHS) + " END AS ap, CASE " + " ".join(f"WHEN contains(line, ':{a}') THEN ':{a}'" for a in K.MAGIC_PORTS) + " END AS port, regexp_extract(line, '(?:^|[^A-Za-z0-9_])(TODO|FIXME|XXX|HACK|BUG:)', 1) AS todo FROM l)",
+    "f AS (SELECT path AS file, line_no AS line, CASE WHEN contains(url, 'localhost') OR contains(url, '127.0.0.1') OR contains(url, '0.0.0.0') THEN 'localhost' ELSE 'url' END AS category, url AS value FROM x WHERE NOT cm AND url IS NOT NULL UNION ALL SELECT path, line_no, CASE WHEN starts_with(ip, '127.') OR ip = '0.0.0.0' THEN 'localhost' ELSE 'ip' END, ip FROM x WHERE NOT cm AND ip <> '' UNION ALL SELECT path, line_no, 'secret_suspect', sec FROM x WHERE NOT cm AND sec IS NOT NULL UNION ALL SELECT path, line_no, 'abs_path', ap FROM x WHERE NOT cm AND ap IS NOT NULL UNION ALL SELECT path, line_no, 'magic_port', port FROM x WHERE NOT cm AND port IS NOT NULL AND url IS NULL UNION ALL SELECT path, line_no, 'todo', todo FROM x WHERE todo <> '')",
+]
+
+
+@query(with_(MINI, LINES, *_LIT) + "SELECT file, line, category, value FROM f")
+def literal_scan(spark, d):
+    return analyses.literals(mini(spark))
+
+
+@query(with_(DOCS, LINES, *_LIT) + "SELECT file, line, category, value FROM f")
+def literal_scan_documents(spark, d):
+    return analyses.literals(corpus.documents(spark, d))
+
+
+@query(with_(PAGES, LINES, *_LIT) + "SELECT category, count(*) AS n FROM f GROUP BY category")
+def literal_summary_pages(spark, d):
+    return analyses.literals(corpus.pages(spark, d)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_(MINI, LINES, SYMS, values("pat", "p, kind", K.PANICS), f"l AS (SELECT *, max(CASE WHEN {any_sql('line', K.TEST_MARKS)} THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS tst FROM lines WHERE language = 'rust')")
+    + f"SELECT path AS file, line_no AS line, kind, CASE WHEN contains(path, 'test') OR tst = 1 OR ends_with(path, 'main.rs') THEN 'info' WHEN contains(path, 'gateway') OR contains(path, 'api') THEN 'critical' ELSE 'medium' END AS severity, substr(trim(line, {TRIM}), 1, 240) AS line_text, (SELECT arg_min(s.name, s.ord) FROM symbols s WHERE s.file_id = l.file_id AND l.line_no BETWEEN s.line_start AND s.line_end) AS scope FROM l JOIN pat ON contains(line, p) WHERE NOT regexp_matches(ltrim(line), '^(//|/\\*)')"
+)
+def unwrap_audit(spark, d):
+    f, s = _code(spark)
+    return analyses.unwrap_audit(f, s)
+
+
+@query(with_(MINI, SYMS, f"w AS (SELECT DISTINCT file_id, unnest(regexp_split_to_array(content, {q(WORDS)})) AS word FROM files)") + f"SELECT name, kind, path AS file, line_start AS line, 'no references in other files' AS reason FROM symbols s WHERE kind NOT IN ({', '.join(map(q, K.DEAD_SKIP_KINDS))}) AND strlen(name) > 2 AND name NOT IN ({', '.join(map(q, K.DEAD_SKIP_NAMES))}) AND NOT EXISTS (SELECT 1 FROM w WHERE word = s.name AND w.file_id <> s.file_id)")
+def dead_code(spark, d):
+    f, s = _code(spark)
+    return analyses.dead_code(f, s)
+
+
+@query(
+    with_(SYMS, "t AS (SELECT DISTINCT name FROM symbols WHERE contains(path, 'test'))", "c AS (SELECT path AS file, count(*) AS symbols, count(*) FILTER (kind <> 'test' AND NOT starts_with(name, '_')) AS public, count(*) FILTER (kind = 'test') AS tests, count(*) FILTER (kind <> 'test' AND name IN (SELECT name FROM t)) AS referenced FROM symbols WHERE NOT contains(path, 'test') GROUP BY path)")
+    + "SELECT *, CASE WHEN tests > 0 AND referenced > public // 2 THEN 'High' WHEN tests > 0 OR referenced > 0 THEN 'Medium' ELSE 'None' END AS coverage FROM c"
+)
+def test_coverage(spark, d):
+    return analyses.test_coverage(_code(spark)[1])
+
+
+def _layer_sql(what: int) -> str:
+    return "CASE " + " ".join(f"WHEN {any_sql('path', w)} THEN {k if what else q(n)}" for k, (n, w) in enumerate(K.LAYERS)) + " END"
+
+
+@query(with_(MINI, EDGE, f"y AS (SELECT file_id, path, {_layer_sql(1)} AS rank, {_layer_sql(0)} AS layer FROM files)") + 'SELECT a.path AS "from", b.path AS "to", a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN y a ON a.file_id = src JOIN y b ON b.file_id = dst WHERE a.rank > b.rank')
+def architecture(spark, d):
+    return analyses.architecture(mini(spark), _edges(spark))
+
+
+_XR = [
+    values("bp", "p", [(p,) for p in K.ROUTE_PATTERNS]), values("fp", "p", [(p,) for p in K.CALL_PATTERNS]),
+    "b AS (SELECT DISTINCT route FROM (SELECT regexp_extract(substr(line, strpos(line, p) + length(p)), '^[\"`]?([^\"`]+)[\"`]', 1) AS route FROM lines JOIN bp ON contains(line, p) WHERE language IN ('rust', 'go', 'python')) WHERE route <> '')",
+    "u AS (SELECT DISTINCT url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '\\?.*$', '') AS plain FROM (SELECT regexp_extract(substr(line, strpos(line, p) + length(p)), '^[\"`'']?([^\"`'']+)[\"`'']', 1) AS url FROM lines JOIN fp ON contains(line, p) WHERE language IN ('typescript', 'javascript')) WHERE url <> '')",
+    "w AS (SELECT DISTINCT route, url FROM b JOIN u ON ends_with(plain, route))",
+]
+
+
+@query(with_(MINI, LINES, *_XR) + "SELECT 'wired' AS kind, route, url FROM w UNION ALL SELECT 'backend_only', route, NULL FROM b WHERE route NOT IN (SELECT route FROM w) UNION ALL SELECT 'frontend_only', NULL, url FROM u WHERE url NOT IN (SELECT url FROM w)")
+def crossref(spark, d):
+    return analyses.crossref(mini(spark))
+
+
+@query("SELECT * FROM (VALUES ('missing', 'Invoice', 'paid', 'src/billing.rs', 'web/client.ts', 'bool', NULL), ('mismatch', 'Invoice', 'id', 'src/billing.rs', 'web/client.ts', 'i64', 'string')) v(issue, type, field, from_path, to_path, from_type, to_type)")
+def type_drift(spark, d):
+    f, s = _code(spark)
+    return analyses.type_drift(f, s)
+
+
+_KEY = "regexp_replace(lower(regexp_replace({}, '[_-]', '', 'g')), 's$', '')"
+
+
+@query(
+    with_(MINI, LINES, SYMS, "m AS (SELECT DISTINCT regexp_extract(line, '(?i)^\\s*(?:create table (?:if not exists )?|create_table )([^ (\\r\\n]+)', 1) AS t, path FROM lines WHERE contains(path, 'migration') OR ends_with(path, '.sql')), mt AS (SELECT * FROM m WHERE t <> '')", f"h AS (SELECT file_id, line_no FROM lines WHERE {any_sql('line', K.ORM_HINTS)}), c AS (SELECT DISTINCT s.name AS t, s.path FROM symbols s JOIN h ON s.file_id = h.file_id AND line_start <= line_no + 3 AND line_end >= line_no WHERE kind IN ('struct', 'class'))")
+    + f"SELECT 'orphan_migration' AS issue, t AS \"table\", path AS file FROM mt WHERE {_KEY.format('t')} NOT IN (SELECT {_KEY.format('t')} FROM c) UNION ALL SELECT 'missing_migration', t, path FROM c WHERE {_KEY.format('t')} NOT IN (SELECT {_KEY.format('t')} FROM mt)"
+)
+def db_schema(spark, d):
+    f, s = _code(spark)
+    return analyses.db_schema(f, s)
+
+
+@query(with_(MINI, "m AS (SELECT path AS file, TRY_CAST(regexp_extract(regexp_extract(path, '[^/]*$'), '^[vV]?(\\d+)', 1) AS BIGINT) AS sequence FROM files WHERE contains(path, 'migration') AND regexp_matches(path, '\\.(sql|rs|py|ts)$')), p AS (SELECT *, lag(sequence) OVER (ORDER BY sequence, file) AS previous FROM m WHERE sequence > 0)") + "SELECT CASE WHEN sequence = previous THEN 'duplicate' ELSE 'gap' END AS issue, sequence, previous, file FROM p WHERE sequence = previous OR sequence > previous + 1")
+def migration_parity(spark, d):
+    return analyses.migration_parity(mini(spark))
+
+
+@query(
+    with_(MINI, LINES, values("cw", "w", [(w,) for w in K.CREDENTIAL_WORDS]), values("need", "base, n", [("Cargo.toml", "name"), ("Cargo.toml", "version"), ("Cargo.toml", "edition"), ("package.json", "name"), ("package.json", "version")]))
+    + "SELECT path AS file, 'credential' AS violation, concat(line_no, ':', w) AS detail FROM lines JOIN cw ON contains(lower(line), w) WHERE regexp_extract(path, '[^/]*$') IN ('Cargo.toml', 'package.json', 'go.mod') AND contains(line, '\"') AND regexp_matches(line, '[=:]') AND NOT contains(line, '[dependencies]') AND NOT contains(line, '\"dependencies\"') "
+    "UNION ALL SELECT path, 'missing_field', n FROM files JOIN need ON regexp_extract(path, '[^/]*$') = base WHERE CASE WHEN base = 'Cargo.toml' THEN NOT contains(content, n) ELSE substr(content, greatest(strpos(content, n) - 1, 1), 1) <> '\"' END"
+)
+def manifest_compliance(spark, d):
+    return analyses.manifests(mini(spark))
+
+
+@query(with_(SYMS, f"s AS (SELECT * FROM symbols WHERE kind IN ({', '.join(map(q, K.DUPLICATE_KINDS))}) AND language NOT IN ({', '.join(map(q, K.DUPLICATE_SKIP_LANGUAGES))}) AND strlen(name) > 3 AND name NOT IN ({', '.join(map(q, K.DUPLICATE_SKIP_NAMES))}))") + "SELECT name, arg_min(kind, path) AS kind, count(DISTINCT path) AS count, array_to_string(list_sort(list_distinct(list(path)))[1:8], ',') AS files FROM s GROUP BY name HAVING count(DISTINCT path) >= 2")
+def duplication(spark, d):
+    return analyses.duplication(_code(spark)[1])
+
+
+@query(
+    with_(MINI, LINES, SYMS, f"b AS (SELECT s.path, s.name, s.ord, l.line_no, regexp_replace(trim(line, {TRIM}), '[ \\t]+', ' ', 'g') AS t FROM symbols s JOIN lines l ON l.file_id = s.file_id AND l.line_no > s.line_start AND l.line_no <= s.line_end WHERE kind IN ('function', 'method') AND line_end > line_start + 6), k AS (SELECT path, name, ord, string_agg(t, chr(10) ORDER BY line_no) AS body, count(*) AS n FROM b WHERE t <> '' AND NOT regexp_matches(t, '^(//|#|--|/\\*|\\*|;;)') GROUP BY ALL)")
+    + "SELECT min(n) AS lines, count(*) AS count, array_to_string(list_sort(list(path || ':' || name))[1:8], ',') AS functions FROM k WHERE n >= 6 GROUP BY body HAVING count(*) >= 2"
+)
+def clones(spark, d):
+    f, s = _code(spark)
+    return analyses.clones(f, s)
+
+
+@query(with_(DOCS, LINES) + f"SELECT t AS line, count(*) AS count, count(DISTINCT file_id) AS files FROM (SELECT file_id, regexp_replace(trim(line, {TRIM}), '[ \\t]+', ' ', 'g') AS t FROM lines) WHERE strlen(t) >= 20 GROUP BY t HAVING count(*) >= 2")
+def line_duplication(spark, d):
+    t = F.regexp_replace(F.btrim("line", F.lit(" \t\r")), "[ \t]+", " ")
+    return index.lines(corpus.documents(spark, d)).select("file_id", t.alias("line")).where(F.octet_length("line") >= 20).groupBy("line").agg(F.count("*").alias("count"), F.count_distinct("file_id").alias("files")).where("count >= 2")
+
+
+@query("SELECT 19 AS files, 39 AS symbols, 10 AS dependency_edges, 5 AS security_critical, 7 AS security_total, 4 AS panic_sites, 2 AS circular_deps, 0 AS god_modules, 18 AS dead_symbols, 5 AS duplicate_names, 1 AS clone_groups, 2 AS cloned_functions")
+def health(spark, d):
+    f, s = _code(spark)
+    return analyses.health(f, s, _edges(spark))
+
+
+@query("SELECT 1 AS definitions, 4 AS callers_total, 2 AS caller_files, 2 AS direct, 3 AS transitive, 2 AS max_depth, 'src/billing.rs' AS primary_file, 2 AS fan_in, 0 AS fan_out, 'normal' AS role")
+def plan_symbol(spark, d):
+    f, s = _code(spark)
+    return analyses.plan_symbol(f, s, _edges(spark), "charge")
+
+
+_CF = "if|for|while|switch|case|catch|elif|when|loop"
+
+
+@query(with_(MINI) + f"SELECT file_id, path, language, len(regexp_extract_all(content, '\\b({_CF})\\b')) + len(regexp_extract_all(content, '\\?')) + 1 AS complexity FROM files")
+def complexity(spark, d):
+    return analyses.complexity(mini(spark))
+
+
+@query(with_(DOCS, CHG, f"c AS (SELECT path, len(regexp_extract_all(content, '\\b({_CF})\\b')) + len(regexp_extract_all(content, '\\?')) + 1 AS complexity, strlen(content) % 97 AS churn FROM files WHERE NOT {any_sql('path', K.GENERATED)})") + "SELECT path AS file, churn, complexity, churn * complexity AS score FROM c WHERE complexity > 2 AND churn > 0")
+def hotspots(spark, d):
+    f = corpus.documents(spark, d)
+    return analyses.hotspots(f, f.select("path", (F.col("byte_size") % 97).alias("churn")))
+
+
+@query(None)
+def action_plan(spark, d):
+    f, s = _code(spark)
+    e = _edges(spark)
+    cyc = graph.components(e).groupBy("component").agg(F.count("*").alias("size"))
+    hot = analyses.hotspots(f, f.select("path", F.col("line_count").alias("churn")))
+    coupled = graph.coupling(f.select(F.col("file_id").alias("node"), "path"), e)
+    return analyses.action_plan(analyses.security(f), analyses.clones(f, s), analyses.duplication(s), coupled, cyc, hot, analyses.dead_code(f, s))
+
+
+@query(None)
+def command_classes(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat(F.lit("grep -rn "), F.regexp_extract("text", r"(\w+)", 1)).alias("cmd"))
+    return c.select(routing.classified(F.col("cmd")).alias("c")).groupBy("c.kind").agg(F.count("*").alias("n"))
+
+
+_CALLS = "calls AS (SELECT user_id AS session, ts, CASE event_type WHEN 'click' THEN 'structural' WHEN 'view' THEN 'scanned' WHEN 'signup' THEN 'hint' ELSE 'other' END AS kind FROM events)"
+
+
+def _calls(spark, d):
+    k = F.when(F.col("event_type") == "click", "structural").when(F.col("event_type") == "view", "scanned").when(F.col("event_type") == "signup", "hint").otherwise("other")
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), "ts", k.alias("kind"))
+
+
+_SESS = "s AS (SELECT session, count(*) FILTER (kind = 'structural') AS structural, count(*) FILTER (kind = 'scanned') AS scanned, count(*) FILTER (kind = 'hint') > 0 AS hinted FROM calls GROUP BY session)"
+
+
+@query(with_(_CALLS, _SESS) + "SELECT *, CASE WHEN structural + scanned = 0 THEN 0 ELSE round(structural * 100 / (structural + scanned), 4) END AS routed_pct FROM s")
+def routing_by_session(spark, d):
+    return routing.by_session(_calls(spark, d))
+
+
+@query(with_(_CALLS) + "SELECT CAST(ts AS DATE) AS day, count(*) FILTER (kind = 'structural') AS structural, count(*) FILTER (kind = 'scanned') AS scanned FROM calls GROUP BY ALL")
+def routing_by_day(spark, d):
+    return routing.by_day(_calls(spark, d))
+
+
+@query(with_(_CALLS, _SESS) + "SELECT hinted, count(*) AS sessions, CAST(sum(structural) AS BIGINT) AS structural, CAST(sum(scanned) AS BIGINT) AS scanned FROM s GROUP BY hinted")
+def routing_by_hint(spark, d):
+    return routing.by_hint(routing.by_session(_calls(spark, d)))
