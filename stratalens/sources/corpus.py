@@ -31,7 +31,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, root: str, patterns: list[str] = (), max_files: int = K.MAX_FILES, max_bytes: int = K.MAX_BYTES, max_file: int = K.MAX_FILE) -> tuple[DataFrame, DataFrame]:
-    """(files, listing) of a source tree. listing: path, mtime, length, and whether the caps leave the file out."""
+    """(files, listing) of a source tree, but for names that start with a dot or underscore, which Spark's readers pass over. listing: path, mtime, length, and whether the caps leave the file out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_extract("path", r"^(?:file:)?/*(/.*)$", 1), "^" + root.rstrip("/") + "/", "")
     rows = raw.withColumn("rel", rel).where(~paths.ignored(F.col("rel"), patterns) & (paths.language(F.col("rel")) != "unknown") & (F.col("length") <= max_file))
@@ -45,14 +45,18 @@ def directory(spark: SparkSession, root: str, patterns: list[str] = (), max_file
 
 
 def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
-    """The root's ignore file: one bounded text file."""
+    """The root's ignore file, one small text; by the file system, as Spark's readers pass over hidden names."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    stream = fs.open(at)
     try:
-        rows = spark.read.text(f"{root}/.gitignore").collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
-    return [p for r in rows if (p := r[0].strip().rstrip("/")) and p[0] not in "#!"]
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [p for line in text.split("\n") if (p := line.strip().rstrip("/")) and p[0] not in "#!"]
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
