@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -121,6 +124,14 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
 # --- Arrow ---
 
 
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers stay for the tasks that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, most: int = 4_000_000):
     """(start, stop) of runs of rows with about so many bytes of text; one longer text is a run of its own."""
     if not len(texts):

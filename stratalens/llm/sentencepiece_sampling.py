@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import as_text, documents, mix, slices
+from stratalens.llm.common import as_text, documents, mix, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -409,6 +409,8 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                             x.append(y)
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()) if output == "ids" else pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
+                del cols, row
+                tidy()
 
     kind = rows.dtypes[0][1]
     return rows.mapInArrow(run, f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, " + ("ids array<int>" if output == "ids" else "ids_sha256 string"))

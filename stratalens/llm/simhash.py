@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import FILE, ROW, Workspace, as_text, documents
+from stratalens.llm.common import FILE, ROW, Workspace, as_text, documents, tidy
 from stratalens.llm.graph import components
 
 
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, p: SimHashParams)
             texts = as_text(b.column("t"))
             fp = np.array([fingerprint(x.as_buffer().to_pybytes(), p.shingle) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp), *[b.column(c) for c in place]], ["id", "fp", *place])
+        tidy()
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(make, ", ".join([f"id {kinds['id']}", "fp long", *[f"{c} {kinds[c]}" for c in place]]))

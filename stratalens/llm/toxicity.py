@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from stratalens.llm.common import as_text, documents, each_text, hash_strings, mix, remainder, slices, words_of
+from stratalens.llm.common import as_text, documents, each_text, hash_strings, mix, remainder, slices, tidy, words_of
 
 
 #: Lengths of the stems, in letters.
@@ -106,6 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["f", "w"])
+        del model, seen, w
+        tidy()
 
     key = next(f"{t} " for n, t in docs.select(F.col(id_col).alias("k")).dtypes)
     found = rows.mapInArrow(digest, f"k {key}, y double, idx array<int>").repartition(1).sortWithinPartitions(F.xxhash64("k", F.lit(3)), "k", "y")
@@ -132,6 +134,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], p: Toxicit
                 margin = table[-1] + np.bincount(both >> p.bits, table[both & ((1 << p.bits) - 1)], j - i)
                 out.append(1 / (1 + np.exp(-np.clip(margin, -35, 35))) * (not empty))
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        tidy()
 
     return score
 
