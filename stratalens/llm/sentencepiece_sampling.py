@@ -43,6 +43,7 @@ class SampleParams:
     k: int = 2
     sharpness: float = 1.0
     seed: int = 17
+    slice_bytes: int = 4_000_000  # of text whose lattices are held at once: a worker's memory grows with it
 
 
 class Vocabulary:
@@ -56,8 +57,8 @@ class Vocabulary:
         self.raw = [b"" if m.is_control(i) or m.is_unknown(i) else p.encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_id):
             self.raw[i] = bytes([b])
-        self.raw_len = np.array([len(x) for x in self.raw])
-        self.raw_at = np.cumsum(self.raw_len) - self.raw_len
+        self.raw_len = np.array([len(x) for x in self.raw], np.int32)
+        self.raw_at = np.cumsum(self.raw_len, dtype=np.int32) - self.raw_len
         self.blob = np.frombuffer(b"".join(self.raw), np.uint8)
         usable = [i for i in every if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
         if any(MARK in self.pieces[i].lstrip(MARK) or "\n" in self.pieces[i] for i in usable):
@@ -85,11 +86,17 @@ class Vocabulary:
         at[at == len(h)] = 0
         return np.where(h[at] == hashes, ids[at], -2)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that the pieces spell, marks as spaces, without the first."""
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes that the pieces spell, with marks."""
         n = self.raw_len[ids]
-        at = np.repeat(self.raw_at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.blob[at].tobytes().replace(MARK.encode(), b" ")[1:]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(self.raw_at[ids] - ends + n, n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.blob[at].tobytes()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text: marks as spaces, without the first."""
+        return self.spelled(ids).replace(MARK.encode(), b" ")[1:]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -397,15 +404,15 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
         v = Vocabulary(sent.value, p.sharpness)
         for b in batches:
             texts, keys = as_text(b.column("t")), np.asarray(b.column("key")).view(np.uint64)
-            for i, j in slices(texts, 4_000_000):
+            for i, j in slices(texts, p.slice_bytes):
                 own = texts[i:j].to_pylist()
                 row, cols = [], [[] for _ in range(7)]
                 for k, samples in enumerate(segment(keys[i:j], own, v, p)):
-                    want = own[k].replace(MARK, " ").encode()
+                    want = (MARK + own[k].replace(" ", MARK)).encode() if own[k] else b""
                     for s, (log_prob, perturbed, score, ids) in enumerate(samples):
                         row.append(i + k)
                         what = ids.astype("<i4")
-                        for x, y in zip(cols, (s + 1, len(ids), log_prob, perturbed, score, v.decode(ids) == want, what if output == "ids" else hashlib.sha256(what.tobytes()).hexdigest())):
+                        for x, y in zip(cols, (s + 1, len(ids), log_prob, perturbed, score, v.spelled(ids) == want, what if output == "ids" else hashlib.sha256(what.tobytes()).hexdigest())):
                             x.append(y)
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()) if output == "ids" else pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
