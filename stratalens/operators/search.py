@@ -23,8 +23,10 @@ def status(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def candidates(files: DataFrame, query: str, postings: DataFrame | None = None) -> DataFrame:
     """Files whose postings hold all trigrams of the query; files beyond the posting limit are not found."""
     grams = sorted({query[i : i + 3] for i in range(len(query) - 2)})
-    p = index.trigram_postings(files) if postings is None else postings
-    return p.where(F.col("trigram").isin(grams)).groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("file_id")
+    if postings is None:  # without an index the same test is made on the texts, which costs less than making one
+        held = [F.col("content").contains(g) for g in grams if "\n" not in g]
+        return files.where(F.col("byte_size") <= K.POSTING_BYTES).where(F.lit(len(held) == len(grams)) & ~paths.any_of([~h for h in held])).select("file_id")
+    return postings.where(F.col("trigram").isin(grams)).groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("file_id")
 
 
 def scoped(hits: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -40,7 +42,10 @@ def search(files: DataFrame, query: str, symbols: DataFrame | None = None, limit
     """Lines that contain the query, by path and line; queries under three bytes find nothing."""
     if len(query.encode()) < 3:
         return index.lines(files.limit(0)).select("path", "line_no", "line", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("scope_kind"))
-    found = files.join(candidates(files, query, postings), "file_id", "left_semi").where(F.col("content").contains(query))
+    if postings is None:  # the trigram test is implied by the verification
+        found = files.where((F.col("byte_size") <= K.POSTING_BYTES) & F.col("content").contains(query))
+    else:
+        found = files.join(candidates(files, query, postings), "file_id", "left_semi").where(F.col("content").contains(query))
     hits = index.lines(found).where(F.col("line").contains(query)).select("file_id", "path", "line_no", "line")
     out = scoped(hits, symbols) if symbols is not None else hits.withColumn("scope", F.lit(None).cast("string")).withColumn("scope_kind", F.lit(None).cast("string"))
     out = out.drop("file_id")
@@ -48,8 +53,10 @@ def search(files: DataFrame, query: str, symbols: DataFrame | None = None, limit
 
 
 def find_word(files: DataFrame, word: str, limit: int | None = 50, postings: DataFrame | None = None) -> DataFrame:
-    p = index.word_postings(files) if postings is None else postings
-    found = files.join(p.where(F.col("word") == word).select("file_id"), "file_id", "left_semi")
+    if postings is None:
+        found = files.where((F.col("byte_size") <= K.POSTING_BYTES) & F.col("content").contains(word))
+    else:
+        found = files.join(postings.where(F.col("word") == word).select("file_id"), "file_id", "left_semi")
     out = index.lines(found).where(F.array_contains(text.words(F.col("line")), word)).select("path", "line_no", "line")
     return out.orderBy("path", "line_no").limit(limit) if limit else out
 

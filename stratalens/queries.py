@@ -164,7 +164,8 @@ def search_token(spark, d):
 
 @query(with_(DOCS, LINES) + "SELECT path, line_no, line, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS scope_kind FROM lines WHERE contains(line, 'License') ORDER BY path, line_no LIMIT 50")
 def search_phrase(spark, d):
-    return search.search(corpus.documents(spark, d), "License")
+    f = corpus.documents(spark, d)
+    return search.search(f, "License", postings=index.trigram_postings(f))
 
 
 @query(with_(MINI, LINES, SYMS) + "SELECT path, line_no, line, scope, scope_kind FROM (SELECT l.*, s.name AS scope, s.kind AS scope_kind, row_number() OVER (PARTITION BY l.file_id, l.line_no ORDER BY s.line_end - s.line_start, s.ord) AS n FROM lines l LEFT JOIN symbols s ON s.file_id = l.file_id AND l.line_no BETWEEN s.line_start AND s.line_end WHERE contains(line, 'charge')) WHERE n = 1")
