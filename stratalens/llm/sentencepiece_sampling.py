@@ -19,8 +19,10 @@ text comes back as a space. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,7 @@ from stratalens.llm.common import as_text, documents, mix, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_BASE, _SPREAD, BUCKET_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 16
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -43,7 +46,8 @@ class SampleParams:
     k: int = 2
     sharpness: float = 1.0
     seed: int = 17
-    slice_bytes: int = 4_000_000  # of text whose lattices are held at once: a worker's memory grows with it
+    slice_bytes: int = 1_000_000  # of text that is sampled at once
+    room: int = 1_500_000  # characters whose lattices are kept; a worker's memory grows with both
 
 
 class Vocabulary:
@@ -70,10 +74,13 @@ class Vocabulary:
         for n in range(1, self.longest + 1):  # all beginnings of n characters; -1: no piece itself
             starts = sorted({p[:n] for p in whole if len(p) >= n})
             h = rolling(np.array([[ord(c) for c in x] for x in starts], np.uint64).reshape(len(starts), n))
-            order = np.argsort(h)
             if len(np.unique(h)) < len(h):
                 raise ValueError("two pieces have one hash")
-            self.tables.append((h[order], np.array([whole.get(x, -1) for x in starts])[order]))
+            order = np.argsort(h * _SPREAD)
+            bucket = (h[order] * _SPREAD) >> np.uint64(64 - BUCKET_BITS)
+            from_ = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+            ids = np.array([whole.get(x, -1) for x in starts], np.int32)[order]
+            self.tables.append((np.append(h[order], np.uint64(0)), np.append(ids, -2), from_, int(np.diff(from_).max())))
 
         self.single = np.full(max(ord(x[0]) for x in whole) + 2, -2)  # by character; the last stands for all above
         for x in whole:
@@ -81,10 +88,16 @@ class Vocabulary:
 
     def find(self, n: int, hashes: np.ndarray) -> np.ndarray:
         """The piece of n characters with this hash; -1: only longer pieces begin so; -2: none does."""
-        h, ids = self.tables[n - 1]
-        at = np.searchsorted(h, hashes)
-        at[at == len(h)] = 0
-        return np.where(h[at] == hashes, ids[at], -2)
+        h, ids, from_, most = self.tables[n - 1]
+        at = from_[(hashes * _SPREAD) >> np.uint64(64 - BUCKET_BITS)]
+        out = np.where(h[at] == hashes, ids[at], -2)
+        if most > 1:  # the others of a bucket, for what its first isn't
+            rest = np.flatnonzero(out == -2)
+            for k in range(1, most):
+                x = np.minimum(at[rest] + k, len(h) - 1)
+                hit = h[x] == hashes[rest]
+                out[rest[hit]] = ids[x[hit]]
+        return out
 
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes that the pieces spell, with marks."""
@@ -99,9 +112,6 @@ class Vocabulary:
         return self.spelled(ids).replace(MARK.encode(), b" ")[1:]
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
 def rolling(codes: np.ndarray) -> np.ndarray:
     h = np.zeros(codes.shape[0], np.uint64)
     for k in range(codes.shape[1]):
@@ -110,68 +120,113 @@ def rolling(codes: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of many distinct chunks, one node per character. Edges are sorted by node, longer pieces first."""
-
-    def __init__(self, chunks: list[str], v: Vocabulary):
-        self.v = v
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        self.start = np.cumsum(size) - size
-        total = int(size.sum())
-        self.code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.left = (np.repeat(self.start + size, size) - np.arange(total)).astype(np.int32)  # characters to the chunk's end
+    """The lattices of distinct chunks, one node per character. Edges are sorted by node, longer pieces first.
+
+    Lattices are kept for the texts that follow, until they have `room` characters. A chunk's numbers depend on nothing
+    but the chunk: what is kept changes no result."""
+
+    NODES = {"first": np.int64, "code": np.uint32, "left": np.int32, "ways": np.float32}
+    EDGES = {"piece": np.int32, "size": np.int16, "prob": np.float64, "cum": np.float64}
+
+    def __init__(self, v: Vocabulary, room: int):
+        self.v, self.room = v, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.nodes = self.edges = 0
+        self.start = np.zeros(0, np.int64)
+        for name, kind in {**self.NODES, **self.EDGES}.items():
+            setattr(self, name, np.zeros(1, kind))
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk here. Numbers hold until the next call."""
+        if self.nodes > self.room:
+            self.clear()
+        out = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        length = np.fromiter(map(len, map(chunks.__getitem__, new.tolist())), np.int64, len(new))
+        order = np.argsort(length, kind="stable")  # equal lengths together: few levels in most parts
+        new, length = new[order], length[order]
+        out[new] = len(self.known) + np.arange(len(new))
+        own = [chunks[i] for i in new.tolist()]
+        self.known.update(zip(own, out[new].tolist()))
+        part = (np.cumsum(length) - 1).clip(0) // 150_000  # keeps what is needed meanwhile small
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:]):
+            self.add(self.part(own[a:b], length[a:b], self.v))
+        return out
+
+    def add(self, x: dict[str, np.ndarray]) -> None:
+        n, m = len(x["code"]), len(x["piece"])
+        self.start = np.concatenate([self.start, x["start"] + self.nodes])
+        for name in (*self.NODES, *self.EDGES):
+            at, more = (self.nodes, n) if name in self.NODES else (self.edges, m)
+            had = getattr(self, name)
+            if len(had) < at + more + 1:
+                grown = np.zeros(max(at + more + 1, len(had) * 3 // 2), had.dtype)
+                grown[: at + 1] = had[: at + 1]
+                setattr(self, name, had := grown)
+            had[at : at + more] = x[name] + self.edges if name == "first" else x[name]
+        self.nodes, self.edges = self.nodes + n, self.edges + m
+        self.first[self.nodes] = self.edges
+
+    @staticmethod
+    def part(chunks: list[str], length: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
+        start, total = np.cumsum(length) - length, int(length.sum())
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        left = (np.repeat(start + length, length) - np.arange(total)).astype(np.int32)  # characters to the chunk's end
         found, h, at, n = [], np.zeros(total, np.uint64), np.arange(total, dtype=np.int32), 0
         single = np.zeros(total, bool)
         while len(at) and n < v.longest:
             n += 1
-            h = h * _BASE + self.code[at + n - 1] + np.uint64(1)
-            piece = v.find(n, h) if n > 1 else v.single[np.minimum(self.code, len(v.single) - 1)]
+            h = h * _BASE + code[at + n - 1] + np.uint64(1)
+            piece = v.find(n, h) if n > 1 else v.single[np.minimum(code, len(v.single) - 1)]
             hit = piece >= 0
             found.append((at[hit], piece[hit], n))
             if n == 1:
                 single[at[hit]] = True
-            go = (piece > -2) & (self.left[at] > n)
+            go = (piece > -2) & (left[at] > n)
             at, h = at[go], h[go]
-        del h, at
         bare = np.flatnonzero(~single).astype(np.int32)  # characters that are no piece: as bytes
         found.append((bare, np.full(len(bare), -1), 1))
         found = found[::-1]
         node = np.concatenate([x[0] for x in found])
         order = np.argsort(node, kind="stable")
         node = node[order]
-        self.piece = np.concatenate([x[1] for x in found])[order].astype(np.int32)
-        self.size = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])[order]
-        del found, order
+        piece = np.concatenate([x[1] for x in found])[order].astype(np.int32)
+        size = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])[order]
         fan = np.bincount(node, minlength=total)
-        self.first = np.concatenate([[0], np.cumsum(fan)])
-        weight = np.where(self.piece >= 0, v.weight[self.piece], -20.0)
-        ends = self.left[node] == self.size
-        ahead = np.where(ends, total, node + self.size)  # the end of all chunks: nothing lies beyond, one way
-        beta, self.ways = np.zeros(total + 1), np.ones(total + 1)
-        self.prob = np.empty(len(node))
-        most = int(self.left.max(initial=0))
-        level = np.argsort(self.left.astype(np.uint16) if most < 1 << 16 else self.left, kind="stable")  # short integers sort fast
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(self.left, minlength=most + 1)[1:])]) if total else np.zeros(1, np.int64)
+        first = np.cumsum(fan) - fan
+        weight = np.where(piece >= 0, v.weight[piece], -20.0)
+        ahead = np.where(left[node] == size, total, node + size)  # the end of all chunks: nothing lies beyond, one way
+        beta, ways = np.zeros(total + 1), np.ones(total + 1)
+        prob = np.empty(len(node))
+        most = int(left.max(initial=0))
+        level = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")  # short integers sort fast
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=most + 1)[1:])]) if total else np.zeros(1, np.int64)
         for a, b in zip(cuts, cuts[1:]):  # from the chunks' ends to their starts
             x = level[a:b]
             if not len(x):
                 continue
             n = fan[x]
             cut = np.cumsum(n) - n
-            e = np.arange(n.sum()) + np.repeat(self.first[x] - cut, n)
+            e = np.arange(n.sum()) + np.repeat(first[x] - cut, n)
             to = ahead[e]
             s = weight[e] + beta[to]
             top = np.maximum.reduceat(s, cut)
             y = np.exp(s - np.repeat(top, n))
             sum_ = np.add.reduceat(y, cut)
             beta[x] = top + np.log(sum_)
-            self.prob[e] = y / np.repeat(sum_, n)
-            self.ways[x] = np.minimum(np.add.reduceat(self.ways[to], cut), 1e300)
-        del weight, ends, ahead, level
-        run = np.cumsum(self.prob)
-        self.cum = run - np.repeat(run[self.first[:-1]] - self.prob[self.first[:-1]], fan)
-        self.cum[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
-        self.logp = np.log(self.prob)
-        self.node = node
+            prob[e] = y / np.repeat(sum_, n)
+            ways[x] = np.minimum(np.add.reduceat(ways[to], cut), 1e300)
+        cum, x, k = prob.copy(), np.flatnonzero(fan > 1), 1
+        while len(x):  # each node's own running sums
+            cum[first[x] + k] += cum[first[x] + k - 1]
+            k += 1
+            x = x[fan[x] > k]
+        cum[first + fan - 1] = 2.0  # the last edge takes what rounding leaves
+        return {"start": start, "first": first, "code": code, "left": left, "ways": np.minimum(ways[:-1], 1e30), "piece": piece, "size": size, "prob": prob, "cum": cum}
 
     def sample(self, chunk: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One free segmentation for each occurrence: (log-probability, occurrence of each edge, edge), in order."""
@@ -183,7 +238,7 @@ class Lattices:
             while len(open_):
                 edge[open_] += 1
                 open_ = open_[self.cum[edge[open_]] <= u[open_]]
-            logp[occ] += self.logp[edge]
+            logp[occ] += np.log(self.prob[edge])
             steps.append((occ, edge))
             n = self.size[edge]
             go = np.flatnonzero(self.left[pos] > n)
@@ -227,7 +282,7 @@ class Lattices:
             while prob[k] == 0.0:  # where rounding has led to what is taken
                 k -= 1
             n = size[k]
-            logp += float(self.logp[int(self.first[pos]) + k])
+            logp += float(np.log(self.prob[int(self.first[pos]) + k]))
             out.append(n)
             node = node[2].get(n) if node is not None else None
             if self.left[pos] <= n:
@@ -247,7 +302,7 @@ class Lattices:
         bare = np.flatnonzero(ids < 0)
         if not len(bare):
             return ids, n
-        code, where = np.unique(self.code[self.node[edges[bare]]], return_inverse=True)
+        code, where = np.unique(self.code[np.searchsorted(self.first[: self.nodes + 1], edges[bare], "right") - 1], return_inverse=True)
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in code.tolist()]
         n[bare] = np.array([len(r) for r in raw])[where]
         out = np.repeat(ids, n)
@@ -258,6 +313,12 @@ class Lattices:
         return out, n
 
 
+@functools.lru_cache(maxsize=1)
+def lattices(model: bytes, sharpness: float, room: int) -> Lattices:
+    """Workers stay for the tasks that follow, and so does this."""
+    return Lattices(Vocabulary(model, sharpness), room)
+
+
 def in_order(occ: list[np.ndarray], values: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Values of step after step, put in the order of occurrence, then step. Step s of an occurrence follows s - 1."""
     count = np.zeros(n, np.int64)
@@ -276,7 +337,7 @@ def gumbel_below(mass: np.ndarray, cap: np.ndarray, u: np.ndarray) -> np.ndarray
         return np.where(mass == -np.inf, -np.inf, -np.logaddexp(-cap, np.log(-np.log(u)) - mass))
 
 
-def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams) -> list[list[tuple[float, float, float, np.ndarray]]]:
+def segment(keys: np.ndarray, texts: list[str], lat: Lattices, p: SampleParams) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text its samples: (log_prob, perturbed log_prob, inclusion score, piece ids)."""
     marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
     split = [CHUNK.findall(t) for t in marked]
@@ -285,7 +346,7 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
     coded = pa.array([c for s in split for c in s], pa.string()).dictionary_encode()
     code = np.asarray(coded.indices).astype(np.int64)
     del split
-    lat = Lattices(coded.dictionary.to_pylist(), v)
+    code = lat.numbers(coded.dictionary.to_pylist())[code]
     doc = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(code)) - first[doc]
     key = mix(keys.astype(np.uint64) ^ np.uint64(p.seed))
@@ -313,10 +374,14 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
         chunk, keys_ = code[occ], own_key[occ]
         logp, piece_of, edges = lat.sample(chunk, lambda o, step: draw(keys_[o], sample, step))
         before = np.array([0.0 if t[2] is None else t[2]["phi"] for t in turn])
-        run = np.concatenate([[0.0], np.cumsum(logp)])
         begin = np.cumsum(n) - n
+        spans = list(zip(begin.tolist(), (begin + n).tolist()))
+        # running sums of each text by itself: the numbers don't depend on the texts beside it
+        run = np.concatenate([np.cumsum(logp[lo:hi]) for lo, hi in spans]) if spans else logp
         top = np.array([cap[t[0]] if t[2] is None else t[2]["key"] for t in turn])
-        above = run[:-1] - np.repeat((run[begin.clip(0, max(len(run) - 2, 0))] if len(logp) else np.zeros(len(ds))) - before, n)
+        above = np.repeat(before, n)
+        above[1:] += run[:-1]
+        above[begin[n > 0]] = before[n > 0]
         # Below exp(-120) of its start a path's sets are beyond the reach of doubles: one before them has exp(-70) or more.
         near = np.flatnonzero(above > np.repeat(before - 120, n))
         left = np.where(lat.ways[lat.start[chunk[near]]] > 1, np.maximum(-np.expm1(logp[near]), 1e-15), 0.0)
@@ -327,8 +392,8 @@ def segment(keys: np.ndarray, texts: list[str], v: Vocabulary, p: SampleParams)
         edge_cut = np.searchsorted(piece_of, np.concatenate([begin, [len(occ)]]))
         need = p.k - sample  # of one path no more sets than this can still be asked for
         for k, (d, a, parent) in enumerate(turn):
-            lo, hi = int(begin[k]), int(begin[k] + n[k])
-            phi = (parent["phi"] if parent else 0.0) + float(run[hi] - run[lo])
+            lo, hi = spans[k]
+            phi = (parent["phi"] if parent else 0.0) + (float(run[hi - 1]) if hi > lo else 0.0)
             me = {"parent": parent, "from": a, "edges": edges[edge_cut[k] : edge_cut[k + 1]], "of": piece_of[edge_cut[k] : edge_cut[k + 1]] - lo, "log_prob": phi, "key": float(top[k])}
             found[d].append(me)
             own = waiting[lo:hi]
@@ -401,13 +466,14 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if output == "ids" else "ids_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(sent.value, p.sharpness)
+        lat = lattices(sent.value, p.sharpness, p.room)
+        v = lat.v
         for b in batches:
             texts, keys = as_text(b.column("t")), np.asarray(b.column("key")).view(np.uint64)
             for i, j in slices(texts, p.slice_bytes):
                 own = texts[i:j].to_pylist()
                 row, cols = [], [[] for _ in range(7)]
-                for k, samples in enumerate(segment(keys[i:j], own, v, p)):
+                for k, samples in enumerate(segment(keys[i:j], own, lat, p)):
                     want = (MARK + own[k].replace(" ", MARK)).encode() if own[k] else b""
                     for s, (log_prob, perturbed, score, ids) in enumerate(samples):
                         row.append(i + k)
@@ -417,7 +483,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()) if output == "ids" else pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
                 del cols, row
-                tidy()
+            tidy()
 
     kind = rows.dtypes[0][1]
     return rows.mapInArrow(run, f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, " + ("ids array<int>" if output == "ids" else "ids_sha256 string"))

@@ -225,8 +225,18 @@ def test_sentencepiece(some, none):
     assert sp.sample_segmentations(none).count() == 0
 
 
+def test_sentencepiece_is_the_same_with_what_is_kept():
+    v, p = sp.Vocabulary(open(sp.MODEL, "rb").read(), 1.0), sp.SampleParams(k=3)
+    texts = ["", "a", "ab ab  cd\n", "\U0001d11e\u2581x", "z" * 300, *(f"word{i % 7} other {i}" for i in range(60))]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    whole = sp.segment(keys, texts, sp.Lattices(v, 1_000_000), p)
+    small = sp.Lattices(v, 50)  # cleared again and again
+    apart = [x for i in range(0, len(texts), 4) for x in sp.segment(keys[i : i + 4], texts[i : i + 4], small, p)]
+    assert [[(*s[:3], s[3].tolist()) for s in x] for x in whole] == [[(*s[:3], s[3].tolist()) for s in x] for x in apart]
+
+
 def test_sentencepiece_frequencies():
-    v = sp.Vocabulary(open(sp.MODEL, "rb").read(), 0.15)
+    v = sp.Lattices(sp.Vocabulary(open(sp.MODEL, "rb").read(), 0.15), 1000)
     n = 4000
     got = sp.segment(mix(np.arange(n).astype(np.uint64)), ["abx cd"] * n, v, sp.SampleParams(k=2))
     p = {tuple(s[3].tolist()): math.exp(s[0]) for r in sp.segment(np.arange(1, dtype=np.uint64), ["abx cd"], v, sp.SampleParams(k=99)) for s in r}
