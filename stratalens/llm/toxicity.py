@@ -28,6 +28,7 @@ STEMS = (4, 5, 6)
 class ToxicityParams:
     bits: int = 20  # features are hashed to 2**bits
     sample_rows: int = 12_000  # the bound on labelled rows that are learned from
+    slice_bytes: int = 4_000_000  # of text whose features are held at once: a worker's memory grows with it
     epochs: int = 6
     alpha: float = 1.0
     beta: float = 1.0
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_text(b.column("t"))
-            for i, j in slices(texts):
+            for i, j in slices(texts, p.slice_bytes):
                 row, feature = features(texts[i:j], p.bits)
                 both = np.unique(row << p.bits | feature)
                 cut = np.searchsorted(both >> p.bits, np.arange(j - i + 1))
@@ -127,7 +128,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], p: Toxicit
         table[sent.value[0]] = sent.value[1]
         for column in parts:
             texts, out = as_text(column), []
-            for i, j in slices(texts):
+            for i, j in slices(texts, p.slice_bytes):
                 row, feature = features(texts[i:j], p.bits)
                 live = table[feature] != 0
                 both = np.unique(row[live] << p.bits | feature[live])
