@@ -8,7 +8,8 @@ vocabulary that end in the same two letters' hash; a tail word's probability is
 it, with one more for words never seen. Events are sorted by frequency into classes. The probability of an event is that
 of its class times that of the event within it, both softmaxes over sums of hashed weights: of the word before (2-gram),
 the two before (3-gram), the one before the last (skip), and a bias from the counts. Each task runs gradient steps over
-its whole share of the training texts from the same start; the tasks' weights are averaged in a tree, weighed by tokens.
+its whole share of the training texts from the same start, each step for all three kinds of features; the tasks' weights
+are averaged in a tree, weighed by tokens.
 
 Null and empty texts are one end. Without training texts the model is uniform and N = V = 0. Repeated rows get equal
 scores. Extra columns are not read.
@@ -112,7 +113,6 @@ class MaxEnt:
         full = full.reshape(p.classes, p.width)
         self.class_bias = np.log(full.sum(1) / full.sum()).astype(np.float32)
         self.event_bias = np.log(full / full.sum(1, keepdims=True)).astype(np.float32)
-        self.turn = 0  # the kind of feature that the next step is for
         self.w = [np.zeros((1 << p.class_bits, p.classes), np.float32), np.zeros((1 << p.event_bits, p.width), np.float32)]
 
     def rows(self, event: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,24 +148,41 @@ class MaxEnt:
         return out
 
     def learn(self, event: np.ndarray, one: np.ndarray, two: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One gradient step per batch, for one kind of feature in turn; each row's rate falls with its squares (seen)."""
+        """One gradient step per batch, for all kinds of features; each row's rate falls with its squares (seen)."""
         for i in range(0, len(event), self.p.batch):
             e = event[i : i + self.p.batch]
             rows = self.rows(e, one[i : i + self.p.batch], two[i : i + self.p.batch])
-            k, self.turn = np.arange(len(e)), (self.turn + 1) % 3
+            k = np.arange(len(e))
             for w, r, (g, z), hit, s in zip(self.w, rows, self.forward(e, *rows), (e // self.p.width, e % self.p.width), seen):
                 g *= (-1 / z)[:, None]
                 g[k, hit] += 1
-                order = np.argsort(r[:, self.turn], kind="stable")
-                row = r[order, self.turn]
-                cut = np.flatnonzero(np.diff(row, prepend=-1))
-                own, run = row[cut], np.cumsum(np.take(g, order, axis=0), axis=0, dtype=np.float64)
-                total = run[np.append(cut[1:], len(e)) - 1]
-                total[1:] -= run[cut[1:] - 1]
+                own, total = row_sums(g, r.astype(np.uint16 if len(w) <= 1 << 16 else np.int64))
                 s[own] += (total * total).mean(1)
                 w[own] += (self.p.rate / np.sqrt(s[own] + 1.0))[:, None] * total
 
 
+def row_sums(g: np.ndarray, rows: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the sum of g over the tokens that have each): rows has all rows of a token, g one line per token.
+
+    The first `most` tokens of all rows are added rank by rank, rows with many tokens before the others; what rows have
+    beyond that is added row by row.
+    """
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")  # of 16 bits: by radix
+    flat, token = flat[order], order // rows.shape[1]
+    cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    count = np.diff(cut, append=len(flat))
+    by = np.argsort(-count, kind="stable")
+    cut, count = cut[by], count[by]
+    total = np.take(g, token[cut], axis=0)
+    for k in range(1, min(most, count[0])):
+        n = np.searchsorted(-count, -k)  # rows with more than k
+        total[:n] += np.take(g, token[cut[:n] + k], axis=0)
+    for k in range(np.searchsorted(-count, -most)):
+        total[k] += np.take(g, token[cut[k] + most : cut[k] + count[k]], axis=0).sum(0)
+    return flat[cut], total
+
+
 def _tokens(events: Events, texts: pa.Array):
     """(names, count, mass, codes, starts, event, one, two): tokens of a slice, ends put in; one and two: events before."""
     names, codes, starts = words_of(texts)

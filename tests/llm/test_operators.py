@@ -169,6 +169,21 @@ def test_lm_head_join_and_held_out(spark):
     assert np.power(10, model.score(every, np.zeros_like(every), np.zeros_like(every))).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_step_learns_all_kinds_of_features():
+    p = maxent_lm.LmParams()
+    model = maxent_lm.MaxEnt(p, np.ones(p.classes * p.width))
+    event, one, two = np.array([5, 70, 900, 5]), np.array([1, 2, 3, 4]), np.array([11, 12, 13, 14])
+    model.learn(event, one, two, [np.zeros(len(w), np.float32) for w in model.w])
+    for w, rows in zip(model.w, model.rows(event, one, two)):
+        assert all(w[rows[:, kind]].any(axis=1).all() for kind in range(3))
+    rng = np.random.default_rng(2)
+    g, rows = rng.normal(size=(500, 4)), np.minimum(rng.zipf(1.3, (500, 3)), 60)
+    want = np.zeros((61, 4))
+    np.add.at(want, rows.ravel(), np.repeat(g, 3, axis=0))
+    own, total = maxent_lm.row_sums(g, rows, most=8)
+    assert sorted(own) == sorted(set(rows.ravel())) and np.allclose(want[own], total)
+
+
 def test_toxicity_and_language(spark, some, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (99, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(some, labels).collect()
