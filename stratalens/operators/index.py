@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens import constants as K
 from stratalens.functions import text
 
 
@@ -14,14 +13,19 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file_id", "path", "language", F.posexplode(F.split("content", "\n")).alias("i", "line")).select("file_id", "path", "language", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def trigram_postings(files: DataFrame, most_bytes: int = K.POSTING_BYTES) -> DataFrame:
+def posted(files: DataFrame, most_bytes: int | None) -> DataFrame:
+    """Files that get postings: all, or those of most_bytes at most (the reference's gate is K.POSTING_BYTES)."""
+    return files if most_bytes is None else files.where(F.col("byte_size") <= most_bytes)
+
+
+def trigram_postings(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """(trigram, file_id), one per file. Distinct within each file before any shuffle, as a file is one row."""
     per = F.flatten(F.transform(F.split("content", "\n"), text.trigrams))
-    return files.where(F.col("byte_size") <= most_bytes).select("file_id", F.explode(F.array_distinct(per)).alias("trigram"))
+    return posted(files, most_bytes).select("file_id", F.explode(F.array_distinct(per)).alias("trigram"))
 
 
-def word_postings(files: DataFrame, most_bytes: int = K.POSTING_BYTES) -> DataFrame:
-    return files.where(F.col("byte_size") <= most_bytes).select("file_id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
+def word_postings(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    return posted(files, most_bytes).select("file_id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:

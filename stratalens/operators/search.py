@@ -20,12 +20,19 @@ def status(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("savings_pct", F.expr("CASE WHEN outline_tokens < naive_tokens THEN (naive_tokens - outline_tokens) * 100 div naive_tokens ELSE 0L END"))
 
 
+def beside(files: DataFrame, found: DataFrame, most_bytes: int | None) -> DataFrame:
+    """The files found in an index, and those too long for it (over most_bytes), which are read directly."""
+    if most_bytes is None:
+        return files.join(found, "file_id", "left_semi")
+    return files.where(F.col("byte_size") <= most_bytes).join(found, "file_id", "left_semi").unionByName(files.where(F.col("byte_size") > most_bytes))
+
+
 def candidates(files: DataFrame, query: str, postings: DataFrame | None = None) -> DataFrame:
-    """Files whose postings hold all trigrams of the query; files beyond the posting limit are not found."""
+    """Files whose postings hold all trigrams of the query."""
     grams = sorted({query[i : i + 3] for i in range(len(query) - 2)})
     if postings is None:  # without an index the same test is made on the texts, which costs less than making one
         held = [F.col("content").contains(g) for g in grams if "\n" not in g]
-        return files.where(F.col("byte_size") <= K.POSTING_BYTES).where(F.lit(len(held) == len(grams)) & ~paths.any_of([~h for h in held])).select("file_id")
+        return files.where(F.lit(len(held) == len(grams)) & ~paths.any_of([~h for h in held])).select("file_id")
     return postings.where(F.col("trigram").isin(grams)).groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("file_id")
 
 
@@ -38,25 +45,25 @@ def scoped(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     return hits.join(s, inside, "left").groupBy(*keys).agg(best.alias("b")).select(*keys, "b.scope", "b.scope_kind")
 
 
-def search(files: DataFrame, query: str, symbols: DataFrame | None = None, limit: int | None = 50, postings: DataFrame | None = None) -> DataFrame:
-    """Lines that contain the query, by path and line; queries under three bytes find nothing."""
+def search(files: DataFrame, query: str, symbols: DataFrame | None = None, limit: int | None = 50, postings: DataFrame | None = None, most_bytes: int | None = None) -> DataFrame:
+    """Lines that contain the query, by path and line; queries under three bytes find nothing. most_bytes: the postings'."""
     if len(query.encode()) < 3:
         return index.lines(files.limit(0)).select("path", "line_no", "line", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("scope_kind"))
     if postings is None:  # the trigram test is implied by the verification
-        found = files.where((F.col("byte_size") <= K.POSTING_BYTES) & F.col("content").contains(query))
+        found = files.where(F.col("content").contains(query))
     else:
-        found = files.join(candidates(files, query, postings), "file_id", "left_semi").where(F.col("content").contains(query))
+        found = beside(files, candidates(files, query, postings), most_bytes).where(F.col("content").contains(query))
     hits = index.lines(found).where(F.col("line").contains(query)).select("file_id", "path", "line_no", "line")
     out = scoped(hits, symbols) if symbols is not None else hits.withColumn("scope", F.lit(None).cast("string")).withColumn("scope_kind", F.lit(None).cast("string"))
     out = out.drop("file_id")
     return out.orderBy("path", "line_no").limit(limit) if limit else out
 
 
-def find_word(files: DataFrame, word: str, limit: int | None = 50, postings: DataFrame | None = None) -> DataFrame:
+def find_word(files: DataFrame, word: str, limit: int | None = 50, postings: DataFrame | None = None, most_bytes: int | None = None) -> DataFrame:
     if postings is None:
-        found = files.where((F.col("byte_size") <= K.POSTING_BYTES) & F.col("content").contains(word))
+        found = files.where(F.col("content").contains(word))
     else:
-        found = files.join(postings.where(F.col("word") == word).select("file_id"), "file_id", "left_semi")
+        found = beside(files, postings.where(F.col("word") == word).select("file_id"), most_bytes)
     out = index.lines(found).where(F.array_contains(text.words(F.col("line")), word)).select("path", "line_no", "line")
     return out.orderBy("path", "line_no").limit(limit) if limit else out
 

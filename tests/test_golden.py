@@ -137,3 +137,27 @@ def test_watch(spark, tmp_path):
     e = spark.createDataFrame([("a.py", "modify", 1), ("a.py", "delete", 2), ("c.py", "create", 1)], "path string, op string, version long")
     out = watch.apply_changes(f, e, lambda p: tree(spark, ("c.py", "3")))
     assert sorted(r.path for r in out.collect()) == ["b.py", "c.py"]
+
+
+LONG_TEXT = "filler line\n" * 50_000 + "the token = qzx\n" + "License and more"  # over 512 KiB
+
+
+def test_texts_over_the_posting_gate(spark):
+    f = tree(spark, ("a.txt", "the License"), ("b.txt", LONG_TEXT))
+    assert f.where("byte_size > 524288").count() == 1
+    assert [(r.path, r.line_no) for r in search.search(f, "token = ").collect()] == [("b.txt", 50_001)]
+    assert [(r.path, r.line_no) for r in search.find_word(f, "the").collect()] == [("a.txt", 1), ("b.txt", 50_001)]
+    assert {r.path for r in search.search(f, "License", postings=index.trigram_postings(f)).collect()} == {"a.txt", "b.txt"}
+    assert index.trigram_postings(f).where("trigram = 'qzx'").count() == 1 and index.word_postings(f).where("word = 'qzx'").count() == 1
+    gated = index.trigram_postings(f, 1000), index.word_postings(f, 1000)
+    assert gated[0].where("trigram = 'qzx'").count() == 0
+    assert [(r.path, r.line_no) for r in search.search(f, "License", postings=gated[0], most_bytes=1000).collect()] == [("a.txt", 1), ("b.txt", 50_002)]
+    assert [r.line_no for r in search.find_word(f, "token", postings=gated[1], most_bytes=1000).collect()] == [50_001]
+
+
+@pytest.mark.parametrize("name,table,cols", [("search_token", "documents", "0L doc_id, 'en' lang, 'a' source"), ("search_phrase", "documents", "0L doc_id, 'en' lang, 'a' source"), ("find_word", "documents", "0L doc_id, 'en' lang, 'a' source"), ("find_word_conversations", "conversations", "0L conv_id, 1 turn, 'user' role"), ("trigram_posting_sizes", "documents", "0L doc_id, 'en' lang, 'a' source"), ("word_posting_sizes", "documents", "0L doc_id, 'en' lang, 'a' source")])
+def test_queries_over_a_long_text(spark, tmp_path, name, table, cols):
+    from stratalens.queries import QUERIES
+
+    spark.range(1).selectExpr(*cols.split(", ")).withColumn("text", F.lit(LONG_TEXT)).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
