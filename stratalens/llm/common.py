@@ -176,7 +176,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = np.asarray(split.offsets) - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
     starts = np.concatenate([[0], np.cumsum(keep)])[ends]
     coded = flat.filter(filled).dictionary_encode()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), starts.astype(np.int64)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64), starts.astype(np.int64)
 
 
 def each_text(starts: np.ndarray) -> np.ndarray:

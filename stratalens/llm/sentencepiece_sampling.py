@@ -9,21 +9,21 @@ Sampling is A-star over the tree of prefixes, with perturbed log-probabilities a
 Gumbel-perturbed log-probability below it, which the backward sums of the lattice make exact: a path is followed to its
 end at once, and all that branches off it at one chunk waits in the queue as one set, whose key is a Gumbel of that
 set's mass, truncated at the key above. The queue's best set gives the next segmentation. After k of them the best key
-that still waits, kappa, gives the inclusion score 1 - exp(-exp(log_prob - kappa)), to weigh samples by.
+that still waits, kappa, gives the inclusion score 1 - exp(-exp(log_prob - kappa)), to weigh samples by. For long texts
+it is too small for a double, so its logarithm comes beside it.
 
 Random numbers are hashes of the row's key, the sample, the chunk and the step: reruns agree, in whatever order rows
 come. Null and empty texts have one segmentation, without pieces. If a text has fewer than k segmentations, it has as
-many rows. Repeated rows with one key get equal samples. Spaces become U+2581 with one before the text; a U+2581 in a
-text comes back as a space. Extra columns are not read.
+many rows. Repeated rows with one key get equal samples. Spaces become U+2581 with one before the text. `decoder` turns
+ids back into texts; a U+2581 in a text comes back as a space, and round_trip is false there. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +32,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from stratalens.llm.common import as_text, documents, mix, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_ALL = (1 << 64) - 1
 _BASE, _SPREAD, BUCKET_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 16
-CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Beyond so many levels or steps of one chunk the loops go on without numpy: a very long word is alone there.
+DEEP = 256
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ class Vocabulary:
         every = range(m.get_piece_size())
         self.pieces = [m.id_to_piece(i) for i in every]
         self.byte_id = np.array([m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        self.raw = [b"" if m.is_control(i) or m.is_unknown(i) else p.encode() for i, p in enumerate(self.pieces)]
+        self.raw = [b"" if m.is_control(i) or m.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_id):
             self.raw[i] = bytes([b])
         self.raw_len = np.array([len(x) for x in self.raw], np.int32)
@@ -99,17 +102,15 @@ class Vocabulary:
                 out[rest[hit]] = ids[x[hit]]
         return out
 
-    def spelled(self, ids: np.ndarray) -> bytes:
-        """The bytes that the pieces spell, with marks."""
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text's bytes: marks as spaces, without the first."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.raw)):
+            raise ValueError("an id is not in the vocabulary")
         n = self.raw_len[ids]
         ends = np.cumsum(n, dtype=np.int32)
         at = np.repeat(self.raw_at[ids] - ends + n, n)
         at += np.arange(len(at), dtype=np.int32)
-        return self.blob[at].tobytes()
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text: marks as spaces, without the first."""
-        return self.spelled(ids).replace(MARK.encode(), b" ")[1:]
+        return self.blob[at].tobytes()[1:]
 
 
 def rolling(codes: np.ndarray) -> np.ndarray:
@@ -135,14 +136,14 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.start = np.zeros(0, np.int64)
+        self.start, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for name, kind in {**self.NODES, **self.EDGES}.items():
             setattr(self, name, np.zeros(1, kind))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk here. Numbers hold until the next call."""
+        """The number of each distinct chunk here, spaces as marks. Numbers hold until the next call."""
         if self.nodes > self.room:
-            self.clear()
+            self.thin()
         out = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(out < 0)
         length = np.fromiter(map(len, map(chunks.__getitem__, new.tolist())), np.int64, len(new))
@@ -155,8 +156,29 @@ class Lattices:
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)]
         for a, b in zip(cuts, cuts[1:]):
             self.add(self.part(own[a:b], length[a:b], self.v))
+        self.asked = np.concatenate([self.asked, np.zeros(len(self.start) - len(self.asked), np.int32)])
+        self.asked[out] += 1
         return out
 
+    def thin(self) -> None:
+        """Keeps the chunks asked for most often, in half the room at most; what is dropped is made anew when it comes."""
+        size = np.diff(np.append(self.start, self.nodes))
+        per = np.bincount(np.minimum(self.asked, 1000), size, 1001)
+        least = max(2, int(np.searchsorted(-np.cumsum(per[::-1])[::-1], -self.room / 2)))
+        keep = np.flatnonzero(self.asked >= least)
+        if not len(keep):
+            return self.clear()
+        names, size = list(self.known), size[keep]
+        node = np.arange(size.sum()) + np.repeat(self.start[keep] - np.cumsum(size) + size, size)
+        fan = self.first[node + 1] - self.first[node]
+        edge = np.arange(fan.sum()) + np.repeat(self.first[node] - np.cumsum(fan) + fan, fan)
+        got = {name: getattr(self, name)[node if name in self.NODES else edge] for name in (*self.NODES, *self.EDGES)}
+        got |= {"start": np.cumsum(size) - size, "first": np.cumsum(fan) - fan}
+        asked = self.asked[keep] // 2
+        self.clear()
+        self.add(got)
+        self.known, self.asked = {names[k]: i for i, k in enumerate(keep.tolist())}, asked
+
     def add(self, x: dict[str, np.ndarray]) -> None:
         n, m = len(x["code"]), len(x["piece"])
         self.start = np.concatenate([self.start, x["start"] + self.nodes])
@@ -174,7 +196,7 @@ class Lattices:
     @staticmethod
     def part(chunks: list[str], length: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
         start, total = np.cumsum(length) - length, int(length.sum())
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.frombuffer("".join(chunks).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
         left = (np.repeat(start + length, length) - np.arange(total)).astype(np.int32)  # characters to the chunk's end
         found, h, at, n = [], np.zeros(total, np.uint64), np.arange(total, dtype=np.int32), 0
         single = np.zeros(total, bool)
@@ -190,14 +212,17 @@ class Lattices:
             at, h = at[go], h[go]
         bare = np.flatnonzero(~single).astype(np.int32)  # characters that are no piece: as bytes
         found.append((bare, np.full(len(bare), -1), 1))
-        found = found[::-1]
-        node = np.concatenate([x[0] for x in found])
-        order = np.argsort(node, kind="stable")
-        node = node[order]
-        piece = np.concatenate([x[1] for x in found])[order].astype(np.int32)
-        size = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])[order]
-        fan = np.bincount(node, minlength=total)
+        fan = np.zeros(total, np.int32)
+        for x, *_ in found:
+            fan[x] += 1
         first = np.cumsum(fan) - fan
+        free, many = first.astype(np.int32), int(fan.sum())
+        piece, size = np.empty(many, np.int32), np.empty(many, np.int32)
+        for x, y, n in found[::-1]:  # a node's longest pieces first
+            to = free[x]
+            piece[to], size[to] = y, n
+            free[x] += 1
+        node = np.repeat(np.arange(total, dtype=np.int32), fan)
         weight = np.where(piece >= 0, v.weight[piece], -20.0)
         ahead = np.where(left[node] == size, total, node + size)  # the end of all chunks: nothing lies beyond, one way
         beta, ways = np.zeros(total + 1), np.ones(total + 1)
@@ -205,7 +230,7 @@ class Lattices:
         most = int(left.max(initial=0))
         level = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")  # short integers sort fast
         cuts = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=most + 1)[1:])]) if total else np.zeros(1, np.int64)
-        for a, b in zip(cuts, cuts[1:]):  # from the chunks' ends to their starts
+        for a, b in zip(cuts[: DEEP + 1], cuts[1 : DEEP + 1]):  # from the chunks' ends to their starts
             x = level[a:b]
             if not len(x):
                 continue
@@ -220,6 +245,16 @@ class Lattices:
             beta[x] = top + np.log(sum_)
             prob[e] = y / np.repeat(sum_, n)
             ways[x] = np.minimum(np.add.reduceat(ways[to], cut), 1e300)
+        for x in level[cuts[DEEP] :].tolist() if most > DEEP else []:  # a few nodes a level: the same, one by one
+            a, b = int(first[x]), int(first[x] + fan[x])
+            to = ahead[a:b].tolist()
+            own = [w + beta.item(t) for w, t in zip(weight[a:b].tolist(), to)]
+            top = max(own)
+            y = [math.exp(v - top) for v in own]
+            sum_ = math.fsum(y)
+            beta[x] = top + math.log(sum_)
+            prob[a:b] = [v / sum_ for v in y]
+            ways[x] = min(sum(ways.item(t) for t in to), 1e300)
         cum, x, k = prob.copy(), np.flatnonzero(fan > 1), 1
         while len(x):  # each node's own running sums
             cum[first[x] + k] += cum[first[x] + k - 1]
@@ -229,10 +264,10 @@ class Lattices:
         return {"start": start, "first": first, "code": code, "left": left, "ways": np.minimum(ways[:-1], 1e30), "piece": piece, "size": size, "prob": prob, "cum": cum}
 
     def sample(self, chunk: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One free segmentation for each occurrence: (log-probability, occurrence of each edge, edge), in order."""
+        """One free segmentation for each occurrence: (log-probability, where its edges start and the end, edges)."""
         pos, occ, logp = self.start[chunk], np.arange(len(chunk)), np.zeros(len(chunk))
         steps, step = [], 0
-        while len(occ):
+        while len(occ) and step < DEEP:
             u, edge = uniform(occ, step), self.first[pos]
             open_ = np.flatnonzero(self.cum[edge] <= u)
             while len(open_):
@@ -243,6 +278,20 @@ class Lattices:
             n = self.size[edge]
             go = np.flatnonzero(self.left[pos] > n)
             occ, pos, step = occ[go], pos[go] + n[go], step + 1
+        for o, at in zip(occ.tolist(), pos.tolist()):  # very long words: a few, one by one
+            edges, n = [], DEEP
+            while at >= 0:
+                for u in uniform(o, np.arange(n, n + 4096)).tolist():
+                    e = self.first.item(at)
+                    while self.cum.item(e) <= u:
+                        e += 1
+                    edges.append(e)
+                    at = at + self.size.item(e) if self.left.item(at) > self.size.item(e) else -1
+                    if at < 0:
+                        break
+                n += 4096
+            logp[o] += np.log(self.prob[edges]).sum()
+            steps += [(np.array([o]), np.array([e])) for e in edges] if len(edges) < DEEP else [(np.full(len(edges), o), np.array(edges))]
         return (logp, *in_order([s[0] for s in steps], [s[1] for s in steps], len(chunk)))
 
     def rest(self, chunk: int, taken: list[list[int]]) -> list:
@@ -263,7 +312,7 @@ class Lattices:
 
     def _open(self, pos: int, node: list | None) -> tuple[list[int], list[float]]:
         """The edges' lengths, and of each edge's probability what isn't taken."""
-        a, b = int(self.first[pos]), int(self.first[pos + 1])
+        a, b = self.first.item(pos), self.first.item(pos + 1)
         size, prob = self.size[a:b].tolist(), self.prob[a:b].tolist()
         for k, n in enumerate(size):
             if node is not None and n in node[2]:
@@ -282,10 +331,10 @@ class Lattices:
             while prob[k] == 0.0:  # where rounding has led to what is taken
                 k -= 1
             n = size[k]
-            logp += float(np.log(self.prob[int(self.first[pos]) + k]))
+            logp += math.log(self.prob.item(self.first.item(pos) + k))
             out.append(n)
             node = node[2].get(n) if node is not None else None
-            if self.left[pos] <= n:
+            if self.left.item(pos) <= n:
                 return logp, out
             pos, step = pos + n, step + 1
 
@@ -323,12 +372,19 @@ def in_order(occ: list[np.ndarray], values: list[np.ndarray], n: int) -> tuple[n
     """Values of step after step, put in the order of occurrence, then step. Step s of an occurrence follows s - 1."""
     count = np.zeros(n, np.int64)
     for o in occ:
-        count[o] += 1
+        count += np.bincount(o, minlength=n) if len(o) > n // 8 else 0
+        if len(o) <= n // 8:
+            np.add.at(count, o, 1)
     at = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), np.int64)
-    for k, (o, x) in enumerate(zip(occ, values)):
-        out[at[o] + k] = x
-    return np.repeat(np.arange(n), count), out
+    for o, x in zip(occ, values):
+        if len(o) > 1 and o[0] == o[-1]:  # steps of one occurrence
+            out[at[o[0]] + np.arange(len(o))] = x
+            at[o[0]] += len(o)
+        else:
+            out[at[o]] = x
+            at[o] += 1
+    return np.append(np.cumsum(count) - count, len(out)), out
 
 
 def gumbel_below(mass: np.ndarray, cap: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -337,27 +393,54 @@ def gumbel_below(mass: np.ndarray, cap: np.ndarray, u: np.ndarray) -> np.ndarray
         return np.where(mass == -np.inf, -np.inf, -np.logaddexp(-cap, np.log(-np.log(u)) - mass))
 
 
-def segment(keys: np.ndarray, texts: list[str], lat: Lattices, p: SampleParams) -> list[list[tuple[float, float, float, np.ndarray]]]:
-    """For each text its samples: (log_prob, perturbed log_prob, inclusion score, piece ids)."""
-    marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
-    split = [CHUNK.findall(t) for t in marked]
-    count = np.fromiter(map(len, split), np.int64, len(split))
+def chunks(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts, marks as spaces, and how many each text has. A chunk starts where spaces do, and at and after a line feed."""
+    marked = pc.replace_substring(texts, MARK, " ").cast(pa.large_string())
+    marked = pc.if_else(pc.equal(pc.binary_length(marked), 0), marked, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), marked, pa.scalar(" ", pa.large_string())))
+    marked = marked.combine_chunks() if isinstance(marked, pa.ChunkedArray) else marked
+    at = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[: at[-1]]
+    space, feed = data == 32, data == 10
+    begin = feed.copy()
+    begin[1:] |= feed[:-1] | space[1:] & ~space[:-1]
+    begin[at[:-1][at[:-1] < at[1:]]] = True
+    begin[: at[0]] = False
+    starts = np.append(np.flatnonzero(begin), len(data))
+    cut = np.searchsorted(starts[:-1], at)
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)).dictionary_encode(), np.diff(cut)
+
+
+def gumbel_one(mass: float, cap: float, u: float) -> float:
+    """As gumbel_below."""
+    a, b = -cap, math.log(-math.log(u)) - mass
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
+def segment(keys: np.ndarray, texts: pa.Array, lat: Lattices, p: SampleParams) -> list[list[tuple[float, float, float, np.ndarray]]]:
+    """For each text its samples: (log_prob, perturbed log_prob, log of the inclusion score, piece ids)."""
+    coded, count = chunks(texts)
     first = np.cumsum(count) - count
-    coded = pa.array([c for s in split for c in s], pa.string()).dictionary_encode()
-    code = np.asarray(coded.indices).astype(np.int64)
-    del split
-    code = lat.numbers(coded.dictionary.to_pylist())[code]
+    code = lat.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
     doc = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(code)) - first[doc]
     key = mix(keys.astype(np.uint64) ^ np.uint64(p.seed))
 
     own_key = key[doc] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # of each occurrence
 
-    def draw(keys: np.ndarray, sample: int, step: int) -> np.ndarray:
-        h = mix(keys + np.uint64((sample * 0x632BE59BD9B4E019 + (step + 1) * 0xA0761D6478BD642F) % (1 << 64)))
+    def draw(keys: np.ndarray, sample: int, step: int | np.ndarray) -> np.ndarray:
+        if isinstance(step, np.ndarray):
+            step = (step + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(sample * 0x632BE59BD9B4E019 & _ALL)
+        else:
+            step = np.uint64((sample * 0x632BE59BD9B4E019 + (step + 1) * 0xA0761D6478BD642F) & _ALL)
+        h = mix(keys + step)
         return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
-    one = lambda at, sample, step: float(draw(own_key[at : at + 1], sample, step)[0])
+    def one(at: int, sample: int, step: int) -> float:  # as draw
+        h = (own_key.item(at) + sample * 0x632BE59BD9B4E019 + (step + 1) * 0xA0761D6478BD642F) & _ALL
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _ALL
+        h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+        return ((h ^ h >> 33) >> 11) / (1 << 53) + 0.5 / (1 << 53)
+
     full = np.arange(len(texts))
     none = count == 0
     cap = -np.log(-np.log(draw(key, 0, -2)))  # the largest key of all
@@ -369,37 +452,22 @@ def segment(keys: np.ndarray, texts: list[str], lat: Lattices, p: SampleParams)
         ds = np.array([t[0] for t in turn], np.int64)
         at = np.array([t[1] for t in turn], np.int64)
         n = count[ds] - at
-        occ_of = np.repeat(np.arange(len(ds)), n)
-        occ = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ds] + at, n)
-        chunk, keys_ = code[occ], own_key[occ]
-        logp, piece_of, edges = lat.sample(chunk, lambda o, step: draw(keys_[o], sample, step))
-        before = np.array([0.0 if t[2] is None else t[2]["phi"] for t in turn])
         begin = np.cumsum(n) - n
-        spans = list(zip(begin.tolist(), (begin + n).tolist()))
-        # running sums of each text by itself: the numbers don't depend on the texts beside it
-        run = np.concatenate([np.cumsum(logp[lo:hi]) for lo, hi in spans]) if spans else logp
+        occ = np.arange(n.sum()) + np.repeat(first[ds] + at - begin, n)
+        keys_ = own_key[occ]
+        logp, edge_at, edges = lat.sample(code[occ], lambda o, step: draw(keys_[o], sample, step))
+        before = np.array([0.0 if t[2] is None else t[2]["phi"] for t in turn])
         top = np.array([cap[t[0]] if t[2] is None else t[2]["key"] for t in turn])
-        above = np.repeat(before, n)
-        above[1:] += run[:-1]
-        above[begin[n > 0]] = before[n > 0]
-        # Below exp(-120) of its start a path's sets are beyond the reach of doubles: one before them has exp(-70) or more.
-        near = np.flatnonzero(above > np.repeat(before - 120, n))
-        left = np.where(lat.ways[lat.start[chunk[near]]] > 1, np.maximum(-np.expm1(logp[near]), 1e-15), 0.0)
-        with np.errstate(divide="ignore"):
-            mass = above[near] + np.log(left)
-        waiting = np.full(len(occ), -np.inf)
-        waiting[near] = gumbel_below(mass, np.repeat(top, n)[near], draw(keys_[near], sample, -3))
-        edge_cut = np.searchsorted(piece_of, np.concatenate([begin, [len(occ)]]))
         need = p.k - sample  # of one path no more sets than this can still be asked for
         for k, (d, a, parent) in enumerate(turn):
-            lo, hi = spans[k]
-            phi = (parent["phi"] if parent else 0.0) + (float(run[hi - 1]) if hi > lo else 0.0)
-            me = {"parent": parent, "from": a, "edges": edges[edge_cut[k] : edge_cut[k + 1]], "of": piece_of[edge_cut[k] : edge_cut[k + 1]] - lo, "log_prob": phi, "key": float(top[k])}
+            lo, hi = int(begin[k]), int(begin[k] + n[k])
+            # each text by itself: the numbers don't depend on the texts beside it
+            phi = float(before[k]) + float(logp[lo:hi].sum())
+            me = {"parent": parent, "from": a, "edges": edges, "edge_at": edge_at, "lo": lo, "hi": hi, "log_prob": phi, "key": float(top[k])}
             found[d].append(me)
-            own = waiting[lo:hi]
-            for i in range(hi - lo) if hi - lo <= need else [int(own.argmax())] if need == 1 else np.argpartition(own, -need)[-need:].tolist():
-                if own[i] > -np.inf:
-                    heapq.heappush(queue[d], (-float(own[i]), sample, int(a + i), me, float(above[lo + i]), 1))
+        for k, i, key_, phi0 in branches(lat, code, occ, begin, n, logp, before, top, lambda o: draw(keys_[o], sample, -3), need):
+            d, a, _ = turn[k]
+            heapq.heappush(queue[d], (-key_, sample, a + i, found[d][-1], phi0, 1))
         if sample + 1 == p.k:
             break
         turn = []
@@ -415,7 +483,7 @@ def segment(keys: np.ndarray, texts: list[str], lat: Lattices, p: SampleParams)
             if gone + 1 < lat.ways[lat.start[c]] and rest > 0:
                 base = me if not ("taken" in me and me["at"] == i) else me["base"]
                 again = {"taken": [*taken, lengths], "at": i, "base": base, "parent": base}
-                value_ = float(gumbel_below(np.array([phi0 + np.log(rest)]), np.array([-score]), np.array([one(first[d] + i, sample + 1, -4)]))[0])
+                value_ = gumbel_one(phi0 + math.log(rest), -score, one(first[d] + i, sample + 1, -4))
                 heapq.heappush(queue[d], (-value_, sample + 0.5, i, again, phi0, gone + 1))
             turn.append((d, i + 1, turned))
     paths = [path_edges(s, lat, code, first[d]) for d, samples in enumerate(found) for s in samples]
@@ -425,21 +493,52 @@ def segment(keys: np.ndarray, texts: list[str], lat: Lattices, p: SampleParams)
     for d, samples in enumerate(found):
         kappa, rows = -queue[d][0][0] if queue[d] else -np.inf, []
         for s in samples:
-            score = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(s["log_prob"] - kappa, 50.0))))
-            rows.append((s["log_prob"], s["key"], score, ids[at : ends[k]]))
+            rows.append((s["log_prob"], s["key"], log_inclusion(s["log_prob"], kappa), ids[at : ends[k]]))
             at, k = ends[k], k + 1
-        out.append(rows if count[d] else [(0.0, float(cap[d]), 1.0, np.zeros(0, np.int64))])
+        out.append(rows if count[d] else [(0.0, float(cap[d]), 0.0, np.zeros(0, np.int64))])
     return out
 
 
+def log_inclusion(log_prob: float, kappa: float) -> float:
+    """ln(1 - exp(-exp(log_prob - kappa))), which a long text's tiny probabilities don't bring to ln(0)."""
+    x = log_prob - kappa
+    if kappa == -math.inf or x > 3.5:
+        return 0.0
+    return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
+
+
+def branches(lat: Lattices, code: np.ndarray, occ: np.ndarray, begin: np.ndarray, n: np.ndarray, logp: np.ndarray, before: np.ndarray, top: np.ndarray, uniform, need: int) -> Iterator[tuple[int, int, float, float]]:
+    """For each path its `need` best sets that branch off it: (path, chunk of it, key, log-probability before the chunk)."""
+    k, wide = np.flatnonzero(n), 64
+    while len(k):
+        # Below exp(-120) of its start a path's sets are beyond the reach of doubles: one before them has exp(-70) or more.
+        inside = np.arange(wide) < n[k][:, None]
+        place = np.where(inside, begin[k][:, None] + np.arange(wide), 0)
+        after = before[k][:, None] + np.cumsum(np.where(inside, logp[place], 0.0), 1)
+        above = np.concatenate([before[k][:, None], after[:, :-1]], 1)
+        go_on = (n[k] > wide) & (after[:, -1] > before[k] - 120)
+        x, y = np.nonzero(inside & (above > before[k][:, None] - 120) & ~go_on[:, None])
+        own = place[x, y]
+        left = np.where(lat.ways[lat.start[code[occ[own]]]] > 1, np.maximum(-np.expm1(logp[own]), 1e-15), 0.0)
+        with np.errstate(divide="ignore"):
+            mass = above[x, y] + np.log(left)
+        waiting = np.full(inside.shape, -np.inf)
+        waiting[x, y] = gumbel_below(mass, top[k][x], uniform(own))
+        best = np.argsort(-waiting, 1, kind="stable")[:, :need] if need > 1 else waiting.argmax(1)[:, None]
+        i, j = np.nonzero(np.take_along_axis(waiting, best, 1) > -np.inf)
+        c = best[i, j]
+        yield from zip(k[i].tolist(), c.tolist(), waiting[i, c].tolist(), above[i, c].tolist())
+        k, wide = k[go_on], wide * 4
+
+
 def self_lengths(path: dict, i: int, lat: Lattices) -> list[int]:
     """The lengths by which a path cuts chunk i of its text."""
     while path is not None and not ("edges" in path and i >= path["from"]):
         if "lengths" in path and path["at"] == i:
             return path["lengths"]
         path = path["parent"]
-    own = path["edges"][np.searchsorted(path["of"], i - path["from"]) : np.searchsorted(path["of"], i - path["from"], "right")]
-    return lat.size[own].tolist()
+    at = path["edge_at"][path["lo"] + i - path["from"] :]
+    return lat.size[path["edges"][at[0] : at[1]]].tolist()
 
 
 def path_edges(path: dict, lat: Lattices, code: np.ndarray, first: int) -> np.ndarray:
@@ -447,8 +546,8 @@ def path_edges(path: dict, lat: Lattices, code: np.ndarray, first: int) -> np.nd
     parts, end = [], None
     while path is not None:
         if "edges" in path:
-            keep = path["edges"] if end is None else path["edges"][: np.searchsorted(path["of"], end - path["from"])]
-            parts.append(keep)
+            stop = path["hi"] if end is None else path["lo"] + max(0, end - path["from"])
+            parts.append(path["edges"][path["edge_at"][path["lo"]] : path["edge_at"][stop]])
             end = path["from"] if end is None else min(end, path["from"])
         elif "lengths" in path:
             if end is None or path["at"] < end:
@@ -458,36 +557,49 @@ def path_edges(path: dict, lat: Lattices, code: np.ndarray, first: int) -> np.nd
     return np.concatenate(parts[::-1])
 
 
-def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SampleParams = SampleParams(), model_file: str = MODEL, output: str = "ids") -> DataFrame:
-    """One row per sample: id, sample (from 1), n_pieces, log_prob, perturbed, inclusion, round_trip, and by `output` the piece ids (`ids`) or `ids_sha256` of them as little-endian 32-bit integers (`digest`)."""
+def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SampleParams = SampleParams(), model_file: str = MODEL) -> DataFrame:
+    """One row per sample: id, sample (from 1), n_pieces, log_prob, perturbed, inclusion and its logarithm log_inclusion, round_trip (whether decoding gives the text back), ids."""
     p = params
     sent = docs.sparkSession.sparkContext.broadcast(open(model_file, "rb").read())  # the model's file: fixed size
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("t"))
-    names = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if output == "ids" else "ids_sha256"]
+    names = ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "round_trip", "ids"]
+    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(sent.value, p.sharpness, p.room)
-        v = lat.v
         for b in batches:
             texts, keys = as_text(b.column("t")), np.asarray(b.column("key")).view(np.uint64)
             for i, j in slices(texts, p.slice_bytes):
-                own = texts[i:j].to_pylist()
-                row, cols = [], [[] for _ in range(7)]
-                for k, samples in enumerate(segment(keys[i:j], own, lat, p)):
-                    want = (MARK + own[k].replace(" ", MARK)).encode() if own[k] else b""
-                    for s, (log_prob, perturbed, score, ids) in enumerate(samples):
+                row, cols, every = [], [[] for _ in kinds], []
+                for k, samples in enumerate(segment(keys[i:j], texts[i:j], lat, p)):
+                    own = texts[i + k].as_buffer().to_pybytes()
+                    for s, (log_prob, perturbed, log_score, ids) in enumerate(samples):
                         row.append(i + k)
-                        what = ids.astype("<i4")
-                        for x, y in zip(cols, (s + 1, len(ids), log_prob, perturbed, score, v.spelled(ids) == want, what if output == "ids" else hashlib.sha256(what.tobytes()).hexdigest())):
+                        every.append(ids)
+                        for x, y in zip(cols, (s + 1, len(ids), log_prob, perturbed, math.exp(log_score), log_score, lat.v.decode(ids) == own)):
                             x.append(y)
-                kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()) if output == "ids" else pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
-                del cols, row
+                ends = np.cumsum([0, *map(len, every)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds)), ids], names)
+                del cols, row, every, ids
             tidy()
 
     kind = rows.dtypes[0][1]
-    return rows.mapInArrow(run, f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, " + ("ids array<int>" if output == "ids" else "ids_sha256 string"))
+    return rows.mapInArrow(run, f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double, round_trip boolean, ids array<int>")
+
+
+def decoder(spark: SparkSession, model_file: str = MODEL):
+    """A column function ids -> text. Null ids give null; no ids the empty text; bytes that are no UTF-8 U+FFFD. An id that the vocabulary lacks is an error."""
+    sent = spark.sparkContext.broadcast(open(model_file, "rb").read())
+
+    @arrow_udf("string")
+    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = lattices(sent.value, SampleParams.sharpness, SampleParams.room).v
+        for column in parts:
+            yield pa.array([v.decode(np.asarray(x.values)).decode(errors="replace") if x.is_valid else None for x in column], pa.string())
+
+    return decode
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(documents(spark, sf_dir), output="digest").withColumnRenamed("id", "doc_id")
+    return sample_segmentations(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -244,17 +245,48 @@ def test_sentencepiece_is_the_same_with_what_is_kept():
     v, p = sp.Vocabulary(open(sp.MODEL, "rb").read(), 1.0), sp.SampleParams(k=3)
     texts = ["", "a", "ab ab  cd\n", "\U0001d11e\u2581x", "z" * 300, *(f"word{i % 7} other {i}" for i in range(60))]
     keys = np.arange(len(texts), dtype=np.uint64)
-    whole = sp.segment(keys, texts, sp.Lattices(v, 1_000_000), p)
+    whole = sp.segment(keys, pa.array(texts), sp.Lattices(v, 1_000_000), p)
     small = sp.Lattices(v, 50)  # cleared again and again
-    apart = [x for i in range(0, len(texts), 4) for x in sp.segment(keys[i : i + 4], texts[i : i + 4], small, p)]
+    apart = [x for i in range(0, len(texts), 4) for x in sp.segment(keys[i : i + 4], pa.array(texts[i : i + 4]), small, p)]
     assert [[(*s[:3], s[3].tolist()) for s in x] for x in whole] == [[(*s[:3], s[3].tolist()) for s in x] for x in apart]
 
 
+def test_sentencepiece_decodes(spark):
+    rows = [(1, "plain text, twice  spaced \n\n x"), (2, "a\u2581b"), (3, ""), (4, None), (5, " lead \U0001d11e \x00 \xa0"), (6, "ab" * 4000), (7, "\u2581")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sp.sample_segmentations(d, params=sp.SampleParams(k=4))
+    for r in got.withColumn("back", sp.decoder(spark)("ids")).collect():
+        text = dict(rows)[r.id] or ""
+        assert r.back == text.replace("\u2581", " ") and r.round_trip == (r.back == text)
+        assert r.log_inclusion <= 0 and math.isfinite(r.log_inclusion) and r.n_pieces == len(r.ids)
+
+
+def test_sentencepiece_inclusion_scores():
+    """Weighed by 1 / inclusion, samples add up to the whole distribution."""
+    v = sp.Lattices(sp.Vocabulary(open(sp.MODEL, "rb").read(), 0.15), 1000)
+    got = sp.segment(mix(np.arange(3000).astype(np.uint64)), pa.array(["abx cd"] * 3000), v, sp.SampleParams(k=3))
+    assert np.mean([sum(math.exp(s[0] - s[2]) for s in r) for r in got]) == pytest.approx(1, abs=0.03)
+    assert [sp.log_inclusion(x, 0.0) for x in (5, 0, -50)] == pytest.approx([0, math.log(1 - math.exp(-1)), -50], abs=1e-9)
+
+
+def test_sentencepiece_thins_what_is_kept():
+    lat = sp.Lattices(sp.Vocabulary(open(sp.MODEL, "rb").read(), 1.0), 60)
+    often = ["the", " word", " again"]
+    for k in range(20):
+        lat.numbers([*often, f" rare{k}x{k}", f" seldom{k}"])
+    assert set(often) <= set(lat.known) and lat.nodes < 200
+    own = sp.Lattices(lat.v, 10_000)
+    for x in lat.known:
+        k = own.numbers([x])[0]
+        a, b = lat.start[lat.known[x]], own.start[k]
+        assert np.array_equal(lat.prob[lat.first[a] : lat.first[a + len(x)]], own.prob[own.first[b] : own.first[b + len(x)]])
+
+
 def test_sentencepiece_frequencies():
     v = sp.Lattices(sp.Vocabulary(open(sp.MODEL, "rb").read(), 0.15), 1000)
     n = 4000
-    got = sp.segment(mix(np.arange(n).astype(np.uint64)), ["abx cd"] * n, v, sp.SampleParams(k=2))
-    p = {tuple(s[3].tolist()): math.exp(s[0]) for r in sp.segment(np.arange(1, dtype=np.uint64), ["abx cd"], v, sp.SampleParams(k=99)) for s in r}
+    got = sp.segment(mix(np.arange(n).astype(np.uint64)), pa.array(["abx cd"] * n), v, sp.SampleParams(k=2))
+    p = {tuple(s[3].tolist()): math.exp(s[0]) for r in sp.segment(np.arange(1, dtype=np.uint64), pa.array(["abx cd"]), v, sp.SampleParams(k=99)) for s in r}
     assert sum(p.values()) == pytest.approx(1)
     second = collections.Counter(tuple(r[1][3].tolist()) for r in got)
     for x, px in p.items():
