@@ -1,17 +1,21 @@
 """Substring dedup with a log-structured fingerprint index.
 
 Every window of `words` words that contains a repeat contains, at the same place, the smallest of its word n-gram
-hashes; those smallest hashes (one in nine or so) are what the index holds. The index is a list of immutable runs; a
-run has, for each bucket of the hash space, one sorted array of hashes with counts. A batch becomes a sorted run, is
-merge-joined bucket by bucket with the runs before it, and hashes seen twice are hits. When the runs are more than
-`fanout`, compaction merges them into one. Hits set bits in a bitmap whose size has a bound. A second reading of the
-texts hashes in full only windows whose smallest hash may be a hit, with 64 bits and 32 more by other constants; what
-one task sees twice leaves it once. Windows that agree in all 96 bits in a bucket are repeats: that is the verification.
-Words that repeats cover are removed; windows are judged on the input.
+hashes; those smallest hashes are what the index holds. The index is a list of immutable runs; a run has, for each
+bucket of the hash space, one sorted array of hashes with counts. A batch becomes a sorted run, is merge-joined bucket
+by bucket with the runs before it, and hashes seen twice are hits. When the runs are more than `fanout`, compaction
+merges them into one. An index with a path outlives its process: a manifest lists the runs that count.
+
+To judge texts, hits set bits in a bitmap whose size has a bound; a reading of the texts hashes in full only windows
+whose smallest hash may be a hit. Windows with equal hashes are compared: those of one task word by word at once; others
+as spans. A span is a stretch of windows of one text whose partner (the first place with the same hash, for that one the
+second) is a stretch of another; the bytes of both are read again and compared by their SHA-256. Should any two differ,
+the hashes collided, and all windows are hashed anew with other constants until none do. Words that repeats cover are
+removed; windows are judged on the input.
 
 Words are bytes between white space, unchanged. Null and empty texts have no words. A document shorter than a window
 loses nothing. Repeated rows repeat all their windows, as any two documents do. An empty table gives no rows. Extra
-columns are not read.
+columns are not read. A file of 2**32 rows or more is refused.
 """
 
 from __future__ import annotations
@@ -26,60 +30,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import FILE, ROW, Workspace, addressable, as_text, bitmap, documents, maybe_in, mix, slices
+from stratalens.llm.common import FILE, ROW, Workspace, addressable, as_text, bitmap, documents, hash_strings, maybe_in, mix, slices, words_of
 
 
 @dataclass(frozen=True)
 class SubstringParams:
     words: int = 35
-    gram: int = 15
-    batches: int = 2
+    gram: int = 18
+    batches: int = 6
     fanout: int = 4
     bucket_rows: int = 60_000  # hashes in a bucket, about
     max_bits: int = 31  # of the bitmap
+    first_bits: int = 96  # of a window's hash that count at first; tests take fewer, so that they collide
 
 
-def _random(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, n, np.uint64, endpoint=False)
-
-
-_BYTE, _STEP = _random(1, 256), _random(2, 4) | np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        base = int(_STEP[0])
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(a hash for each word of each text, where each text's words start and the end)."""
-    at = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    word = ~_BLANK[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    begin = word.copy()
-    begin[1:] &= ~word[:-1] | edge[1:-1]
-    end = word.copy()
-    end[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _power(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=run[1:])
-    return mix((run[last] - run[first]) * down[first] + (last - first).astype(np.uint64)), np.searchsorted(first, at)
+_STEP = np.random.default_rng(2).integers(0, 1 << 64, 4, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def grams(w: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -132,8 +97,11 @@ def _blobs(bucket: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]
 
 
 _RUN = np.dtype([("h", "<u8"), ("n", "<u4")])
-_WINDOW = np.dtype([("h", "<u8"), ("v", "<u4"), ("pos", "<u4"), ("file", "<u4"), ("row", "<u8")])
-_PLACE = np.dtype([("file", "<u4"), ("row", "<u8"), ("pos", "<u4")])
+_WINDOW = np.dtype([("h", "<u8"), ("v", "<u4"), ("pos", "<u4"), ("file", "<u8"), ("row", "<u4")])
+#: A window and its partner; what is its own partner has been compared.
+_PLACE = np.dtype([("file", "<u8"), ("row", "<u4"), ("pos", "<u4"), ("pfile", "<u8"), ("prow", "<u4"), ("ppos", "<u4")])
+#: n windows in a row of one text, and where its partner's begin.
+_SPAN = np.dtype([("pos", "<u4"), ("n", "<u4"), ("pfile", "<u8"), ("prow", "<u4"), ("ppos", "<u4")])
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,17 +121,50 @@ def _read(column: pa.ChunkedArray, kind: np.dtype) -> list[np.ndarray]:
 class FingerprintIndex:
     """Sorted immutable runs of hashes. `add` merge-joins a batch with them and makes it a run."""
 
-    def __init__(self, ws: Workspace, fanout: int):
-        self.ws, self.fanout, self.runs, self.made = ws, fanout, [], 0
+    def __init__(self, spark: SparkSession, path: str | None = None, params: SubstringParams = SubstringParams()):
+        self.p, self.ws = params, Workspace(spark, "fingerprints", path)
+        known = self.ws.get("manifest", {}) if path else {}
+        self.runs, self.made, self.bits = known.get("runs", []), known.get("made", 0), known.get("bits")
 
-    def _history(self) -> DataFrame:
-        out = self.ws.spark.createDataFrame([], "bucket long, run binary")
-        for r in self.runs:
-            out = out.union(self.ws.spark.read.schema("bucket long, run binary, hits binary").parquet(self.ws.path(r)).select("bucket", "run"))
-        return out
+    def _note(self) -> None:
+        self.ws.put("manifest", {"runs": self.runs, "made": self.made, "bits": self.bits})
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch: (bucket, blob of hashes with counts). Returns (bucket, hits): sorted hashes seen twice, here or before."""
+    def _read(self, *columns: str) -> DataFrame:
+        """Of all runs: bucket, run (sorted hashes with counts), hits (sorted hashes seen twice by the time of the run)."""
+        out = self.ws.spark.createDataFrame([], _RUN_SCHEMA)
+        for r in self.runs:
+            out = out.union(self.ws.read(r, _RUN_SCHEMA))
+        return out.select(*columns)
+
+    def ingest(self, docs: DataFrame, text_col: str = "text") -> None:
+        """Takes a batch of texts in."""
+        self.add(self.fingerprints(docs.select(F.col(text_col).alias("t"))).select("bucket", "blob"))
+
+    def fingerprints(self, rows: DataFrame, batches: int = 1) -> DataFrame:
+        """(batch, bucket, blob of hashes with counts) of the texts t, dealt into batches."""
+        p = self.p
+        if self.bits is None:
+            size = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
+            self.bits = max(0, int(size / 50 / p.bucket_rows - 1).bit_length())
+        bits = self.bits
+
+        def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                texts = as_text(b.column("t"))
+                for i, j in slices(texts, 2_000_000):
+                    names, codes, starts = words_of(texts[i:j])
+                    w = hash_strings(names)[codes]
+                    h, n = np.unique(chosen(*anchors(w, starts, p), p), return_counts=True)
+                    run = np.empty(len(h), _RUN)
+                    run["h"], run["n"] = h, n
+                    where, blobs = _blobs(_bucket(h, bits), run)
+                    part = int(mix(starts[-1:].astype(np.uint64) + w[:1].sum())[0] % np.uint64(batches)) if len(w) else 0
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(where), pa.int32()), pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "blob"])
+
+        return rows.mapInArrow(index, "batch int, bucket long, blob binary")
+
+    def add(self, batch: DataFrame) -> None:
+        """batch: (bucket, blob of hashes with counts)."""
 
         def join(new: pa.Table, old: pa.Table) -> pa.Table:
             key = (new if new.num_rows else old).column("bucket")[0].as_py()
@@ -177,171 +178,244 @@ class FingerprintIndex:
             return pa.table({"bucket": [key], "run": pa.array([run.tobytes()], pa.binary()), "hits": pa.array([run["h"][seen].tobytes()], pa.binary())})
 
         name, self.made = f"run-{self.made}", self.made + 1
-        out = batch.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(join, "bucket long, run binary, hits binary")
-        out = self.ws.save(out, name)
+        self.ws.save(batch.groupBy("bucket").cogroup(self._read("bucket", "run").groupBy("bucket")).applyInArrow(join, _RUN_SCHEMA), name)
         self.runs.append(name)
-        if len(self.runs) > self.fanout:
+        if len(self.runs) > self.p.fanout:
             self.compact()
-        return out.select("bucket", "hits")
+        self._note()
 
     def compact(self) -> None:
+        """Merges all runs into one, in finer buckets if theirs have grown."""
+        held = self._read("run").select(F.sum(F.octet_length("run"))).first()[0] or 0
+        bits = self.bits
+        while held / _RUN.itemsize > 4 * self.p.bucket_rows << bits:
+            bits += 2
+
         def merge(t: pa.Table) -> pa.Table:
             parts = _read(t.column("run"), _RUN)
             run = _summed(*(np.concatenate([x[c] for x in parts]) for c in ("h", "n")))
-            return pa.table({"bucket": [t.column("bucket")[0].as_py()], "run": pa.array([run.tobytes()], pa.binary()), "hits": pa.array([None], pa.binary())})
+            hits = np.unique(np.concatenate([np.zeros(0, "<u8"), *_read(t.column("hits"), np.dtype("<u8"))]))
+            where, runs = _blobs(_bucket(run["h"], bits), run)
+            found = dict(zip(*_blobs(_bucket(hits, bits), hits)))
+            return pa.table({"bucket": pa.array(where, pa.int64()), "run": pa.array(runs, pa.binary()), "hits": pa.array([found.get(k, b"") for k in where], pa.binary())})
 
         name, old, self.made = f"run-{self.made}", self.runs, self.made + 1
-        self.ws.save(self._history().groupBy("bucket").applyInArrow(merge, "bucket long, run binary, hits binary"), name)
-        self.runs = [name]  # hits of the runs before are read still: they stay until the workspace goes
+        self.ws.save(self._read("bucket", "run", "hits").groupBy("bucket").applyInArrow(merge, _RUN_SCHEMA), name)
+        self.runs, self.bits = [name], bits
+        self._note()
+        self.ws.drop(*old)
+
+    def hit_bits(self) -> tuple[np.ndarray, int]:
+        """A bitmap of all hits and the logarithm of its size: 16 to 32 bits for each hit, up to the bound."""
+        self.bits = self.bits or 0
+        bits, hits = self.bits, self._read("bucket", "hits")
+        n = hits.select(F.sum(F.octet_length("hits"))).first()[0] or 0
+        size_bits = min(self.p.max_bits, max(20, bits + 3, int(n * 2).bit_length()))
+        low = size_bits - bits
+
+        def paint(t: pa.Table) -> pa.Table:
+            own = np.zeros(1 << (low - 3), np.uint8)
+            for h in _read(t.column("hits"), np.dtype("<u8")):
+                slot = (h >> np.uint64(64 - size_bits)).astype(np.int64) & ((1 << low) - 1)
+                np.bitwise_or.at(own, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+            return pa.table({"bucket": [t.column("bucket")[0].as_py()], "bits": pa.array([own.tobytes()], pa.binary())})
+
+        table = np.zeros(1 << (size_bits - 3), np.uint8)  # at most 2**(max_bits - 3) bytes
+        for r in hits.groupBy("bucket").applyInArrow(paint, "bucket long, bits binary").toLocalIterator():
+            table[r["bucket"] << (low - 3) : (r["bucket"] + 1) << (low - 3)] = np.frombuffer(r["bits"], np.uint8)
+        return table, size_bits
+
+
+_RUN_SCHEMA = "bucket long, run binary, hits binary"
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def repeats(docs: DataFrame, text_col: str, p: SubstringParams, ws: Workspace) -> tuple[DataFrame, list[str]]:
-    """(file number, row, blob of the positions of windows that occur elsewhere too) and the files."""
-    spark = docs.sparkSession
-    files = sorted(r[0] for r in docs.select(FILE).distinct().toLocalIterator())  # no more than Spark's own list of files
-    number = spark.sparkContext.broadcast({f: i for i, f in enumerate(files)})
-    rows = docs.select(F.col(text_col).alias("t"), FILE, ROW)
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = max(0, int(size / 50 / p.bucket_rows - 1).bit_length())  # of the bucket's number
+def _same(codes: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Whether n words from a on are those from b on."""
+    out = np.ones(len(a), bool)
+    for k in range(n):
+        out &= codes[a + k] == codes[b + k]
+    return out
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = as_text(b.column("t"))
-            for k, (i, j) in enumerate(slices(texts, 2_000_000)):
-                w, starts = word_hashes(texts[i:j])
-                h, n = np.unique(chosen(*anchors(w, starts, p), p), return_counts=True)
-                run = np.empty(len(h), _RUN)
-                run["h"], run["n"] = h, n
-                where, blobs = _blobs(_bucket(h, bits), run)
-                part = int(mix(starts[-1:].astype(np.uint64) + w[:1].sum())[0] % np.uint64(p.batches)) if len(w) else 0
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(where), pa.int32()), pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "blob"])
-
-    arrived = ws.save(rows.mapInArrow(index, "batch int, bucket long, blob binary"), "arrived")
-    log, hits = FingerprintIndex(ws, p.fanout), None
-    for k in range(p.batches):
-        found = log.add(arrived.where(F.col("batch") == k).select("bucket", "blob"))
-        hits = found if hits is None else hits.union(found)
-    n_hits = hits.select(F.sum(F.octet_length("hits"))).first()[0] or 0
-    size_bits = min(p.max_bits, max(20, bits + 3, int(n_hits * 2).bit_length()))  # 16 to 32 bits for each hit, up to the bound
-
-    def paint(t: pa.Table) -> pa.Table:
-        own = np.zeros(1 << (size_bits - bits - 3), np.uint8)
-        for h in _read(t.column("hits"), np.dtype("<u8")):
-            slot = (h >> np.uint64(64 - size_bits)).astype(np.int64) & ((1 << (size_bits - bits)) - 1)
-            np.bitwise_or.at(own, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
-        return pa.table({"bucket": [t.column("bucket")[0].as_py()], "bits": pa.array([own.tobytes()], pa.binary())})
-
-    table = np.zeros(1 << (size_bits - 3), np.uint8)  # at most 2**(max_bits - 3) bytes
-    for r in hits.groupBy("bucket").applyInArrow(paint, "bucket long, bits binary").toLocalIterator():
-        table[r["bucket"] << (size_bits - bits - 3) : (r["bucket"] + 1) << (size_bits - bits - 3)] = np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(table)
-    ws.drop("arrived", *[f"run-{k}" for k in range(log.made)])
-    ws.release_shuffles()
+
+def _grouped(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each window's group, which windows are not the first): windows sorted by hash."""
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["h"][1:] != windows["h"][:-1]) | (windows["v"][1:] != windows["v"][:-1])
+    first = np.flatnonzero(new)
+    return np.repeat(first, np.diff(np.append(first, len(windows)))), ~new
+
+
+def _places(windows: np.ndarray, partners: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Windows with their partners by groups of up to 256 rows of one file."""
+    out = np.empty(len(windows), _PLACE)
+    for c in ("file", "row", "pos"):
+        out[c], out[f"p{c}"] = windows[c], partners[c]
+    part = (out["file"] ^ (out["row"] >> np.uint32(8)).astype(np.uint64)).view(np.int64)
+    order = np.argsort(part, kind="stable")
+    return _blobs(part[order], out[order])
+
+
+def repeats(rows: DataFrame, index: FingerprintIndex, table, size_bits: int, attempt: int, ws: Workspace) -> DataFrame:
+    """(file, row, blob of spans) of windows that occur elsewhere too, unless their hashes collide. rows: t, file, row."""
+    p, bits = index.p, max(1, index.bits)
+    strong = attempt or p.first_bits >= 96
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        bitmap_ = table.value
         for b in batches:
             texts = as_text(b.column("t"))
-            file = np.array([number.value[f] for f in b.column(FILE).to_pylist()], np.uint32)
-            row = np.asarray(b.column(ROW)).astype(np.uint64)
+            file, row = np.asarray(b.column("file")).view(np.uint64), np.asarray(b.column("row"))
+            if len(row) and row.max() >= 1 << 32:
+                raise ValueError("a file has too many rows")
             for i, j in slices(texts, 2_000_000):
-                w, starts = word_hashes(texts[i:j])
+                names, codes, starts = words_of(texts[i:j])
+                w = hash_strings(names)[codes]
                 _, small, whole = anchors(w, starts, p)
                 slot = (small >> np.uint64(64 - size_bits)).astype(np.int64)
-                at = np.flatnonzero(whole & (table[slot >> 3] >> (slot & 7) & 1 > 0))
+                at = np.flatnonzero(whole & (bitmap_[slot >> 3] >> (slot & 7) & 1 > 0))
                 out = np.empty(len(at), _WINDOW)
+                w = hash_strings(names, attempt)[codes] if attempt else w
                 out["h"] = grams(w, p.words, _STEP[2])[at]
                 out["v"] = grams(w, p.words, _STEP[3])[at] >> np.uint64(32)
+                if not strong:
+                    out["h"], out["v"] = out["h"] >> np.uint64(64 - p.first_bits) << np.uint64(64 - p.first_bits), 0
                 doc = np.searchsorted(starts, at, "right") - 1
                 out["pos"], out["file"], out["row"] = at - starts[doc], file[i + doc], row[i + doc]
-                out = out[np.argsort(out["h"], kind="stable")]
-                # what repeats right here is known to repeat: it goes out as one row without a place, and as places
-                again = (out["h"][1:] == out["h"][:-1]) & (out["v"][1:] == out["v"][:-1])
-                twice = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(out) else np.zeros(0, bool)
-                lead = twice & ~np.concatenate([[False], again]) if len(out) else twice
-                known = out[twice]
-                rest = out[~twice | lead]
-                rest["file"][lead[~twice | lead]] = 0xFFFFFFFF
-                where, blobs = _blobs(_bucket(rest["h"], bits), rest)
-                places = _places(known)
+                order = np.lexsort((out["v"], out["h"])) if not strong else np.argsort(out["h"], kind="stable")
+                out, at = out[order], at[order]
+                # what repeats right here is compared right here; of such a group only the first goes on to meet others
+                lead, later = _grouped(out)
+                member = np.flatnonzero(later)
+                member = member[_same(codes, at[member], at[lead[member]], p.words)]
+                known = np.unique(np.concatenate([member, lead[member]]))
+                on = np.ones(len(out), bool)
+                on[member] = False
+                places = _places(out[known], out[known])
+                out = out[on]
+                where, blobs = _blobs(_bucket(out["h"], bits), out)
                 over = [x & ((1 << bits) - 1) for x in places[0]]  # places only pass through a bucket
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*where, *over], pa.int64()), pa.array([*[None] * len(where), *places[0]], pa.int64()), pa.array([*blobs, *places[1]], pa.binary())], ["bucket", "part", "blob"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([*where, *over], pa.int64()), pa.array([*[None] * len(where), *places[0]], pa.int64()), pa.array([*blobs, *places[1]], pa.binary())], ["bucket", "part", "blob"])
 
-    def verify(t: pa.Table) -> pa.Table:
+    def meet(t: pa.Table) -> pa.Table:
         own = t.filter(pc.is_null(t.column("part")))
         past = t.filter(pc.is_valid(t.column("part"))).select(["part", "blob"])
         every = np.concatenate([np.zeros(0, _WINDOW), *_read(own.column("blob"), _WINDOW)])
-        every = every[np.lexsort((every["v"], every["h"]))]
-        same = (every["h"][1:] == every["h"][:-1]) & (every["v"][1:] == every["v"][:-1])
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(every) else np.zeros(0, bool)
-        part, blobs = _places(every[twice & (every["file"] != 0xFFFFFFFF)])
+        every = every[np.argsort(every["h"], kind="stable")]
+        again = every["h"][1:] == every["h"][:-1]
+        every = every[np.concatenate([again, [False]]) | np.concatenate([[False], again])] if len(every) else every
+        every = every[np.lexsort((every["pos"], every["row"], every["file"], every["v"], every["h"]))]
+        partner, later = _grouped(every)
+        alone = ~later & ~np.append(later[1:], False) if len(every) else later
+        partner[~later] += 1
+        at = np.flatnonzero(~alone)
+        part, blobs = _places(every[at], every[partner[at]])
         return pa.concat_tables([pa.table({"part": pa.array(part, pa.int64()), "blob": pa.array(blobs, pa.binary())}), past])
 
     def gather(t: pa.Table) -> pa.Table:
         every = np.concatenate(_read(t.column("blob"), _PLACE))
-        every = every[np.lexsort((every["pos"], every["row"], every["file"]))]
-        cut = np.flatnonzero(np.concatenate([[True], (every["row"][1:] != every["row"][:-1]) | (every["file"][1:] != every["file"][:-1])]))
-        spots = [x.astype("<u4").tobytes() for x in np.split(every["pos"], cut[1:])]
-        return pa.table({"file": pa.array(every["file"][cut].astype(np.int64)), "row": pa.array(every["row"][cut].astype(np.int64)), "at": pa.array(spots, pa.binary())})
+        known = (every["file"] == every["pfile"]) & (every["row"] == every["prow"]) & (every["pos"] == every["ppos"])
+        every = every[np.lexsort((~known, every["pos"], every["row"], every["file"]))]
+        step = lambda *cs: np.any([every[c][1:] != every[c][:-1] for c in cs], axis=0)
+        every = every[np.concatenate([[True], step("file", "row", "pos")])]  # of two entries for a place the one that is known
+        text = np.concatenate([[True], step("file", "row")])
+        known = (every["file"] == every["pfile"]) & (every["row"] == every["prow"]) & (every["pos"] == every["ppos"])
+        new = text | np.concatenate([[True], step("pfile", "prow") | (every["pos"][1:] != every["pos"][:-1] + 1) | (every["ppos"][1:] != every["ppos"][:-1] + 1) | (known[1:] != known[:-1])])
+        cut = np.flatnonzero(new)
+        spans = np.empty(len(cut), _SPAN)
+        spans["n"] = np.diff(np.append(cut, len(every)))
+        for c in ("pos", "pfile", "prow", "ppos"):
+            spans[c] = every[c][cut]
+        first = np.flatnonzero(text[cut])
+        blobs = [x.tobytes() for x in np.split(spans, first[1:])]
+        return pa.table({"file": pa.array(every["file"][cut[first]].view(np.int64)), "row": pa.array(every["row"][cut[first]].astype(np.int64)), "spans": pa.array(blobs, pa.binary())})
 
     made = rows.mapInArrow(windows, "bucket long, part long, blob binary")
-    places = made.groupBy("bucket").applyInArrow(verify, "part long, blob binary")
-    found = ws.save(places.groupBy("part").applyInArrow(gather, "file long, row long, at binary"), "found")
+    places = made.groupBy("bucket").applyInArrow(meet, "part long, blob binary")
+    found = ws.save(places.groupBy("part").applyInArrow(gather, "file long, row long, spans binary"), f"found-{attempt}")
     ws.release_shuffles()
-    return found, files
+    return found
 
 
-def _places(windows: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Positions by groups of 256 documents: the files' and rows' numbers without their last bits."""
-    out = np.empty(len(windows), _PLACE)
-    for c in ("file", "row", "pos"):
-        out[c] = windows[c]
-    part = (windows["file"].astype(np.int64) << 31) | (windows["row"] >> np.uint64(8)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return _blobs(part[order], out[order])
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per span that is still to be compared."""
+    names = ["file", "row", "pos", "n", "pfile", "prow", "ppos"]
+    for b in batches:
+        parts = [np.frombuffer(x.as_buffer(), _SPAN) for x in b.column("spans")]
+        spans, count = np.concatenate([np.zeros(0, _SPAN), *parts]), [len(x) for x in parts]
+        own = [np.repeat(np.asarray(b.column(c)), count) for c in ("file", "row")]
+        cols = [*own, spans["pos"], spans["n"], np.ascontiguousarray(spans["pfile"]).view(np.int64), spans["prow"], spans["ppos"]]
+        open_ = (cols[0] != cols[4]) | (cols[1] != cols[5]) | (cols[2] != cols[6])
+        yield pa.RecordBatch.from_arrays([pa.array(c[open_].astype(np.int64)) for c in cols], names)
 
 
 def _keep(words: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, text = [], [], []
-            for t, at in zip(as_text(b.column("t")), b.column("at")):
+            n, gone, text, digests = [], [], [], []
+            for t, blob, asked in zip(as_text(b.column("t")), b.column("spans"), b.column("asked").to_pylist()):
                 own = t.as_buffer().to_pybytes().split()
                 n.append(len(own))
-                if at.is_valid and len(at.as_py()):
+                digests.append([{**a, "sha": hashlib.sha256(b" ".join(own[a["pos"] : a["pos"] + a["n"] + words - 1])).digest()} for a in asked or ()])
+                if blob.is_valid:
                     step = np.zeros(len(own) + 1, np.int64)
-                    spots = np.frombuffer(at.as_buffer(), "<u4").astype(np.int64)
-                    np.add.at(step, spots, 1)
-                    np.add.at(step, spots + words, -1)
+                    spans = np.frombuffer(blob.as_buffer(), _SPAN)
+                    ends = np.minimum(spans["pos"].astype(np.int64) + spans["n"] + words - 1, len(own))
+                    np.add.at(step, np.minimum(spans["pos"].astype(np.int64), len(own)), 1)
+                    np.add.at(step, ends, -1)
                     live = np.cumsum(step[:-1]) == 0
                     own = [own[i] for i in np.flatnonzero(live).tolist()]
                 gone.append(n[-1] - len(own))
                 text.append(b" ".join(own))
-            rest = [b.column(c) for c in b.schema.names if c not in ("t", "at")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], [*[c for c in b.schema.names if c not in ("t", "at")], "n_words", "n_removed", "kept_text"])
+            rest = [b.column(c) for c in ("id", "file", "row")]
+            kind = pa.list_(pa.struct([("pos", pa.int64()), ("n", pa.int64()), ("sha", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(digests, kind)], ["id", "file", "row", "n_words", "n_removed", "kept_text", "digests"])
 
     return keep
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SubstringParams = SubstringParams()) -> DataFrame:
-    """id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
+def judge(docs: DataFrame, index: FingerprintIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, n_removed, kept_text for docs: all the rows that the index has taken in, in whatever batches."""
     ws = Workspace(docs.sparkSession, "substring")
-    docs = addressable(docs, ws) if FILE not in docs.columns else docs
-    found, files = repeats(docs, text_col, params, ws)
-    names = docs.sparkSession.createDataFrame(list(enumerate(files)), "no long, name string")
-    found = found.join(names, F.col("file") == F.col("no")).select(F.col("name").alias("f"), F.col("row").alias("r"), "at")
-    key = F.xxhash64(FILE, ROW)
-    rows = maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), FILE, ROW), key, bitmap(found, F.xxhash64("f", "r"), 24), 24)
-    clear = rows.where("NOT maybe").select("id", "t", F.lit(None).cast("binary").alias("at"))
-    rest = rows.where("maybe").join(found, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r")), "left").select("id", "t", "at")
-    kind = dict(rows.dtypes)["id"]
-    return clear.union(rest).mapInArrow(_keep(params.words), f"id {kind}, n_words long, n_removed long, kept_text string")
+    base = addressable(docs, ws, id=id_col, t=text_col)
+    table, size_bits = index.hit_bits()
+    sent, attempt = docs.sparkSession.sparkContext.broadcast(table), 0
+    kind = dict(base.dtypes)["id"]
+    schema = f"id {kind}, file long, row long, n_words long, n_removed long, kept_text string, digests array<struct<pos: long, n: long, sha: binary>>"
+    while True:
+        rows = base.select("id", "t", F.xxhash64(FILE, F.lit(attempt)).alias("file"), F.col(ROW).alias("row"))
+        found = repeats(rows.select("t", "file", "row"), index, sent, size_bits, attempt, ws)
+        links = ws.save(found.mapInArrow(_links, "file long, row long, pos long, n long, pfile long, prow long, ppos long"), f"links-{attempt}")
+        asked = links.select("file", "row", "pos", "n").union(links.select("pfile", "prow", "ppos", "n")).distinct()
+        asked = asked.groupBy("file", "row").agg(F.collect_list(F.struct("pos", "n")).alias("asked"))  # distinct spans of one text
+        found = found.join(asked, ["file", "row"], "left").select(F.col("file").alias("f"), F.col("row").alias("r"), "spans", "asked")
+        marked = maybe_in(rows, F.xxhash64("file", "row"), bitmap(found, F.xxhash64("f", "r"), 24), 24)
+        rest = marked.where("maybe").join(found, (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")), "left").select("id", "t", "file", "row", "spans", "asked")
+        judged = ws.save(rest.mapInArrow(_keep(index.p.words), schema), f"judged-{attempt}")
+        digest = judged.select(F.col("file").alias("f"), F.col("row").alias("r"), F.explode("digests").alias("d")).select("f", "r", F.col("d.pos").alias("at"), F.col("d.n").alias("m"), "d.sha")
+        own = links.join(digest, (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")) & (F.col("pos") == F.col("at")) & (F.col("n") == F.col("m")))
+        own = own.select("pfile", "prow", "ppos", "n", F.col("sha").alias("mine")).distinct()
+        both = own.join(digest, (F.col("pfile") == F.col("f")) & (F.col("prow") == F.col("r")) & (F.col("ppos") == F.col("at")) & (F.col("n") == F.col("m")))
+        if not both.where("mine <> sha").limit(1).count():
+            break
+        ws.drop(f"found-{attempt}", f"links-{attempt}", f"judged-{attempt}")
+        attempt += 1
+    clear = marked.where("NOT maybe").select("id", "t", "file", "row", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<struct<pos: long, n: long>>").alias("asked"))
+    return clear.mapInArrow(_keep(index.p.words), schema).union(judged).select("id", "n_words", "n_removed", "kept_text")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SubstringParams = SubstringParams()) -> DataFrame:
+    """id, n_words, n_removed, kept_text (the words that stay, joined by one space). One table, dealt into batches."""
+    index = FingerprintIndex(docs.sparkSession, None, params)
+    arrived = index.ws.save(index.fingerprints(docs.select(F.col(text_col).alias("t")), params.batches), "arrived")
+    for k in range(params.batches):
+        index.add(arrived.where(F.col("batch") == k).select("bucket", "blob"))
+    index.ws.drop("arrived")
+    index.ws.release_shuffles()
+    return judge(docs, index, id_col, text_col)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
