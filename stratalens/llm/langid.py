@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -37,7 +37,8 @@ FAMILIES = {
 @dataclass(frozen=True)
 class LangParams:
     per_lang: int = 500  # expected rows learned from for each language: the bound on the sample
-    max_bytes: int = 200_000  # a longer text of the sample counts as several rows of this many bytes
+    block: int = 200_000  # bytes of one text whose grams are held at once
+    max_langs: int = 1000  # more distinct values than this are an error: they can't be languages
     bits: int = 16
     scale: float = 30.0
     cost: float = 4.0
@@ -85,17 +86,23 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, p:
     return w
 
 
-def learn(samples: list[tuple[str, bytes]], p: LangParams) -> dict:
+def vector(text: bytes, p: LangParams) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed grams of a whole text and their shares: 2**bits at most, however long it is."""
+    total = np.zeros(1 << p.bits)
+    for at in range(0, max(1, len(text)), p.block):
+        g = grams(text[at : at + p.block + 3].translate(_FOLD) + (_PAD if at + p.block >= len(text) else b""), p.bits)
+        total += np.bincount(g.ravel(), minlength=1 << p.bits)
+    idx = np.flatnonzero(total)
+    return idx, total[idx] / total.sum() * p.scale
+
+
+def learn(samples: list[tuple[str, np.ndarray, np.ndarray]], p: LangParams) -> dict:
     """The model: classifiers as columns of one matrix. First one per family, then one per pair within a family."""
-    langs = sorted({x for x, _ in samples})
+    y = np.array([x for x, *_ in samples], dtype=object)
+    rows = [(idx, v) for _, idx, v in samples]
+    langs = sorted(set(y))
     fams = sorted({family_of(x) for x in langs})
-    rows, y = [], []
-    for lang, data in samples:
-        for at in range(0, max(1, len(data)), p.max_bytes):
-            idx, n = np.unique(grams(data[at : at + p.max_bytes].translate(_FOLD) + _PAD, p.bits), return_counts=True)
-            rows.append((idx, n / n.sum() * p.scale))
-            y.append(lang)
-    y, dims, cols = np.array(y, dtype=object), 1 << p.bits, []
+    dims, cols = 1 << p.bits, []
     of = np.array([family_of(x) for x in y], dtype=object)
     for k, f in enumerate(fams):
         cols.append(svm(rows, np.where(of == f, 1.0, -1.0), dims, p, k) if len(fams) > 1 else np.zeros(dims + 1))
@@ -145,20 +152,41 @@ def decide(model: dict, m: np.ndarray) -> tuple[list[str], np.ndarray]:
     return pred.tolist(), score
 
 
+_SPACE = 1 << 62
+
+
+def chance(n: Column, per_lang: int) -> Column:
+    """Below which of 2**62 hash values a row of a language with n rows is learned from; at least one for any n."""
+    share = F.floor(F.lit(float(per_lang)) / n * float(_SPACE)).cast("long")
+    return F.when(n <= per_lang, F.lit(_SPACE)).otherwise(F.greatest(share, F.lit(1).cast("long")))
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int, p: LangParams) -> dict | None:
+    """The sample: about per_lang rows of each language, as vectors of 2**bits values at most, made before they meet in one task."""
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(remainder("k", folds) != held_out).where("l IS NOT NULL AND t IS NOT NULL")
-    counts = {r["l"]: r["count"] for r in rows.select("l", "k").groupBy("l").count().collect()}  # one row per language
-    if not counts:
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    if (many := counts.count()) > p.max_langs:
+        raise ValueError(f"{many} languages; the model is built for max_langs = {p.max_langs} at most")
+    if not many:
         return None
-    share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, int(min(1.0, p.per_lang / n) * (1 << 20)))])
-    picked = rows.where(F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(1)), F.lit(1 << 20)) < share[F.col("l")])
+    share = counts.select(F.col("l").alias("of"), chance(F.col("n"), p.per_lang).alias("below"))
+    hashed = F.pmod(F.xxhash64(F.col("k").cast("string"), "t", F.lit(1)), F.lit(_SPACE))
+    picked = rows.join(F.broadcast(share), F.col("l") == F.col("of")).where(hashed < F.col("below"))  # max_langs rows at most
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [vector(t.as_buffer().to_pybytes(), p) for t in b.column("t")]
+            lists = [pa.array([x[k].astype(t) for x in got], pa.list_(a)) for k, t, a in ((0, np.int32, pa.int32()), (1, np.float32, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), *lists], ["l", "h", "idx", "v"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [(lang, text.encode()) for b in batches for lang, text in zip(b.column("l").to_pylist(), b.column("t").to_pylist())]
+        samples = [(lang, np.asarray(i.values), np.asarray(v.values).astype(float)) for b in batches for lang, i, v in zip(b.column("l").to_pylist(), b.column("idx"), b.column("v"))]
         if samples:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(samples, p))], pa.binary())], ["model"])
 
-    got = picked.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "t").mapInArrow(train, "model binary").collect()
+    once = picked.groupBy("l", hashed.alias("h")).agg(F.any_value("t").alias("t"))  # a row that is repeated a million times is one row of the sample
+    made = once.mapInArrow(digest, "l string, h long, idx array<int>, v array<float>")
+    got = made.repartition(1).sortWithinPartitions("h", "l", "idx").mapInArrow(train, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 

@@ -28,6 +28,7 @@ STEMS = (4, 5, 6)
 class ToxicityParams:
     bits: int = 20  # features are hashed to 2**bits
     sample_rows: int = 12_000  # the bound on labelled rows that are learned from
+    sample_features: int = 60_000_000  # the bound on their features: rows of the sample beyond it are left out
     slice_bytes: int = 4_000_000  # of text whose features are held at once: a worker's memory grows with it
     epochs: int = 6
     alpha: float = 1.0
@@ -99,8 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen, bias = Ftrl(p), [], np.array([1 << p.bits])
+        room = p.sample_features
         for b in batches:
-            seen += [(np.concatenate([x.values.to_numpy(), bias]), float(y > 0)) for x, y in zip(b.column("idx"), b.column("y").to_pylist())]
+            for x, y in zip(b.column("idx"), b.column("y").to_pylist()):
+                room -= len(x.values)
+                if room >= 0:
+                    seen.append((np.concatenate([x.values.to_numpy(), bias]), float(y > 0)))
         for _ in range(p.epochs):
             for x, y in seen:
                 model.learn(x, y, p.toxic_weight)
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         tidy()
 
     key = next(f"{t} " for n, t in docs.select(F.col(id_col).alias("k")).dtypes)
-    found = rows.mapInArrow(digest, f"k {key}, y double, idx array<int>").repartition(1).sortWithinPartitions(F.xxhash64("k", F.lit(3)), "k", "y")
+    found = rows.mapInArrow(digest, f"k {key}, y double, idx array<int>").orderBy(F.xxhash64("k", F.lit(3)), "k", "y", "idx").limit(p.sample_rows)  # an id may have many rows
     out = found.mapInArrow(learn, "f long, w double").toArrow()
     return out.column("f").to_numpy(), out.column("w").to_numpy()
 
