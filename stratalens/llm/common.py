@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import json
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,11 @@ def remainder(id_col: str, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), an own temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset: on one machine (tests) an own temporary one, on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None:
             at = shared_dir.own = tempfile.mkdtemp(prefix="stratalens-")
@@ -42,22 +47,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written to the shared folder, to cut lineage: any executor can read them again after a loss."""
+    """Tables written to the shared folder, to cut lineage: any executor can read them again after a loss.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    Without `root` the folder is a new one, and goes when the driver's JVM ends: results may still be read from it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root = spark, (root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}").rstrip("/")
+        if root is None:
+            fs, at = self._fs("")
+            fs.mkdirs(at)
+            fs.deleteOnExit(at)
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"
 
+    def _fs(self, label: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(label).rstrip("/"))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def save(self, df: DataFrame, label: str, mode: str = "overwrite") -> DataFrame:
         df.write.mode(mode).option("compression", "zstd").parquet(self.path(label))
-        return self.spark.read.schema(df.schema).parquet(self.path(label))
+        return self.read(label, df.schema)
+
+    def read(self, label: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(label))
+
+    def exists(self, label: str) -> bool:
+        fs, at = self._fs(label)
+        return fs.exists(at)
 
     def drop(self, *labels: str) -> None:
         for label in labels:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(label))
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = self._fs(label)
+            fs.delete(at, True)
+
+    def put(self, label: str, value: dict) -> None:
+        """Writes a small record under a new version; the last whole version counts."""
+        version = self.get(label, (0, None), versioned=True)[0] + 1
+        fs, at = self._fs(f"{label}/{version:08d}.json")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        if version > 2:
+            self.drop(f"{label}/{version - 2:08d}.json")
+
+    def get(self, label: str, default=None, versioned: bool = False):
+        fs, at = self._fs(label)
+        for f in sorted((str(f.getPath()) for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []:
+            with contextlib.suppress(ValueError):  # cut short while it was written
+                value = json.loads(self.spark.read.text(f, wholetext=True).first()[0])
+                return (int(f.rsplit("/", 1)[1].split(".")[0]), value) if versioned else value
+        return default
 
     def release_shuffles(self) -> None:
         """Has the JVM drop what is unreachable, so that its cleaner deletes the shuffle files of ended steps."""
@@ -102,19 +143,32 @@ def bitmap_bytes(bm: DataFrame, bits: int) -> np.ndarray:
 FILE, ROW = "__file", "__row"
 
 
-def addressable(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """docs with the file and the row number of each row. What doesn't come straight from files is written first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-    except Exception as e:
-        if "UNRESOLVED" not in str(e) and "_metadata" not in str(e):
-            raise
-    kept = ws.save(docs, "addressable")
+def _from_files(docs: DataFrame) -> bool:
+    """Whether each row is one row of a file: filters and projections over one table of files, nothing else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("Relation", "LogicalRelation"))
+
+
+def addressable(docs: DataFrame, ws: Workspace, label: str = "addressable", **columns: str | Column) -> DataFrame:
+    """The named columns with the file and the row number of each row: no other column of docs can clash with them.
+
+    What doesn't come straight from files with row numbers is written first."""
+    picked = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
+    if _from_files(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            return docs.select(*picked, meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
+        except AnalysisException as e:
+            if "_metadata" not in str(e) and "row_index" not in str(e):
+                raise
+    kept = ws.save(docs.select(*picked), label)
     return kept.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """docs less the rows whose keys are in dropped. Only rows that a bitmap can't clear are shuffled."""
+    """docs (as addressable gives them) less the rows whose keys are in dropped. Only rows that a bitmap can't clear are shuffled."""
     key = F.xxhash64(*keys)
     marked = maybe_in(docs, key, bitmap(dropped, key))
     clear, rest = marked.where("NOT maybe").drop("maybe"), marked.where("maybe").drop("maybe")

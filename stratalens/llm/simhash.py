@@ -9,6 +9,13 @@ into the node; a search adds up differences on the way down and prunes a node as
 over HEAVY is dealt into cells, each pair of its parts one cell. A group gives each member's link to the smallest of its
 local component, not all pairs; components over these links are the result.
 
+`similar_dedup` links texts by a similarity instead: five-word shingle sets with a Jaccard similarity of 0.8 or more.
+Such texts differ in about 10 of 64 bits, too many for blocks that miss none at a price that grows with the rows. There
+fingerprints have 128 bits, the routes are random bit masks (as many as bring a pair at the limit together with the
+probability `recall`), the same index searches each group within the bits that the similarity allows, and the true
+similarity of each pair found is computed from the texts before it counts. A member of a group asks for its nearest and
+its first neighbour, not for all, so that a large cluster gives a star and not all its pairs.
+
 Null texts and texts without words have fingerprint 0, linked like any other. Null ids get fingerprints and components,
 but never name one, unless a component has no other. Repeated rows get equal answers. Extra columns are not read.
 """
@@ -18,15 +25,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from stratalens.llm.common import FILE, ROW, Workspace, as_text, documents, tidy
+from stratalens.llm.common import FILE, ROW, Workspace, addressable, as_text, bitmap, documents, maybe_in, mix, tidy
 from stratalens.llm.graph import components
 
 
@@ -38,40 +46,79 @@ class SimHashParams:
     heavy_rows: int = 8192
 
 
+@dataclass(frozen=True)
+class SimilarParams:
+    shingle: int = 5
+    similarity: float = 0.8
+    recall: float = 0.98  # the chance that some route brings a pair at the limit together
+    slack: float = 3.0  # standard deviations that a pair at the limit may lie beyond its expected bits
+    group_rows: int = 128
+    heavy_rows: int = 8192
+    seed: int = 23
+
+    @property
+    def apart(self) -> float:
+        """The chance that one bit differs, at the limit: the angle between two sets."""
+        return acos(2 * self.similarity / (1 + self.similarity)) / pi
+
+    def bits(self, n: int) -> int:
+        return ceil(n * self.apart + self.slack * sqrt(n * self.apart * (1 - self.apart)))
+
+
 LEAF, FANOUT = 32, 16
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle, repeats included, some at a time; of fewer words one, of no words none."""
     words = text.lower().split()  # bytes: A-Z only, and the six white space bytes only
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     a, b = [0, *ends[: n - 1].tolist()], (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        f = xxhash.xxh64_intdigest
-        h = np.array([f(joined[i:j], 42) for i, j in zip(a[at : at + (1 << 15)], b[at : at + (1 << 15)])], np.uint64)
+    f, step = xxhash.xxh64_intdigest, 1 << 15
+    for at in range(0, n, step):
+        yield np.array([f(joined[i:j], 42) for i, j in zip(a[at : at + step], b[at : at + step])], np.uint64)
+
+
+def _bits_over_half(parts: Iterator[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, p: SimHashParams) -> DataFrame:
-    """id, fp (the 64 bits as a signed long) and, where docs has them, file and row."""
-    place = [c for c in (FILE, ROW) if c in docs.columns]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *place)
+def fingerprint(text: bytes, shingle: int) -> int:
+    return _bits_over_half(shingle_hashes(text, shingle))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def fingerprints(docs: DataFrame, p: SimHashParams | SimilarParams) -> DataFrame:
+    """docs: id, t and, where they have them, file and row. t becomes fp, the 64 bits as a signed long; for SimilarParams
+    fp and fp2, 128 bits of the set of shingles, the second half out of the hashes mixed once more."""
+    rest, fps = [c for c in docs.columns if c != "t"], ["fp", "fp2"] if isinstance(p, SimilarParams) else ["fp"]
+
+    def bits(text: bytes) -> tuple[int, ...]:
+        if len(fps) == 1:
+            return (fingerprint(text, p.shingle),)
+        h = shingle_set(text, p.shingle)
+        return _bits_over_half([h]), _bits_over_half([mix(h + np.uint64(p.seed))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_text(b.column("t"))
-            fp = np.array([fingerprint(x.as_buffer().to_pybytes(), p.shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp), *[b.column(c) for c in place]], ["id", "fp", *place])
+            made = np.array([bits(x.as_buffer().to_pybytes()) for x in as_text(b.column("t"))], np.uint64).reshape(-1, len(fps))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made.T]], [*rest, *fps])
         tidy()
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(make, ", ".join([f"id {kinds['id']}", "fp long", *[f"{c} {kinds[c]}" for c in place]]))
+    kinds = dict(docs.dtypes)
+    return docs.select(*rest, "t").mapInArrow(make, ", ".join([*[f"{c} {kinds[c]}" for c in rest], *[f"{c} long" for c in fps]]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -152,75 +199,172 @@ def local_links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[member], fps[label[member]]
 
 
-def _search(most: int):
+def near_links(p: SimilarParams):
+    """For a group's 128-bit fingerprints (n, 2): (member, other) with each member's nearest and first neighbour."""
+    one, both = p.bits(64), p.bits(128)
+
+    def find(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = fps[:, 0].copy()
+        for k in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(k)
+        fps = fps[np.lexsort((fps[:, 1], rank))]
+        index, pairs = GrayIndex(np.ascontiguousarray(fps[:, 0])), []
+        for at in range(0, len(fps), 512):
+            i, j = index.near(fps[at : at + 512, 0], one)
+            i, d = i + at, np.bitwise_count(fps[i + at] ^ fps[j]).sum(1)
+            ok = (d <= both) & (i != j)
+            i, j, d = i[ok], j[ok], d[ok]
+            for order in (np.lexsort((j, d, i)), np.lexsort((j, i))):
+                first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+                pairs.append(np.stack([i[first], j[first]], 1))
+        pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+        return fps[pairs[:, 0]], fps[pairs[:, 1]]
+
+    return find
+
+
+def _search(find, fps: list[str]):
+    """find: the links of one group. Rows have route, part, cell and fps, the columns of a fingerprint."""
+    names = [f"{side}{k or ''}" for side in "ab" for k in range(len(fps))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by group, then Gray rank; a group may go over from one batch to the next."""
+        """Rows arrive sorted by group; a group may go over from one batch to the next."""
         held: list[np.ndarray] = []
-        key = None
-        out_a, out_b = [], []
+        key, out = None, []
 
         def close() -> None:
-            fps = np.concatenate(held)
-            if len(fps) > 1:
-                a, b = local_links(fps, most)
-                out_a.append(a)
-                out_b.append(b)
-
-        for batch in batches:
-            fp = np.asarray(batch.column("fp")).view(np.uint64)
-            cols = [np.asarray(batch.column(c)) for c in ("route", "part", "cell")]
+            own = np.concatenate(held)
+            if len(own) > 1:
+                a, b = find(own if len(fps) > 1 else own[:, 0])
+                out.append(np.concatenate([a.reshape(len(a), len(fps)), b.reshape(len(b), len(fps))], 1))
+
+        def batch() -> pa.RecordBatch:
+            every = np.concatenate(out).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in every.T], names)
+
+        for b in batches:
+            fp = np.stack([np.asarray(b.column(c)).view(np.uint64) for c in fps], 1)
+            cols = [np.asarray(b.column(c)) for c in ("route", "part", "cell")]
             new = np.any([c[1:] != c[:-1] for c in cols], axis=0) if len(fp) > 1 else np.zeros(0, bool)
             cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]])
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
                     continue
-                own = tuple(c[a] for c in cols)
+                own = tuple(c[i] for c in cols)
                 if own != key:
                     if held:
                         close()
                     key, held = own, []
-                held.append(fp[a:b])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
-                out_a, out_b = [], []
+                held.append(fp[i:j])
+            if out:
+                yield batch()
+                out.clear()
         if held:
             close()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
-
-    return run
-
-
-def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
-    """Edges (a, b) that connect just what fingerprints at most max_bits apart connect. nodes: distinct fp."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(m) for m in routes(nodes.count(), p)]
-    dealt = nodes.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("route", "mask")).select("fp", "route", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
-    heavy = dealt.groupBy("route", "part").agg(F.count("*").alias("n")).where(F.col("n") > p.heavy_rows)
-    heavy = heavy.select(F.col("route").alias("hr"), F.col("part").alias("hp"), F.ceil(F.col("n") / (p.heavy_rows // 2)).cast("int").alias("parts"))
+        if out:
+            yield batch()
+
+    return run, ", ".join(f"{c} long" for c in names)
+
+
+def search_groups(nodes: DataFrame, masks: list[int], find, heavy_rows: int) -> DataFrame:
+    """What `find` gives for each group of nodes that agree on the bits of a mask. nodes: distinct fp, or fp and fp2, for
+    which masks have 128 bits, the upper ones for fp2."""
+    fps = nodes.columns
+    words = [[m >> 64 * k & (1 << 64) - 1 for k in range(len(fps))] for m in masks]
+    mask = F.array(*[F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in ws]) for ws in words])
+    own = [F.col(c).bitwiseAND(F.col("mask")[k]) for k, c in enumerate(fps)]
+    part = own[0] if len(own) == 1 else F.xxhash64(*own)  # groups that share a hash only have more members
+    dealt = nodes.select(*fps, F.posexplode(mask).alias("route", "mask")).select(*fps, "route", part.alias("part"))
+    heavy = dealt.groupBy("route", "part").agg(F.count("*").alias("n")).where(F.col("n") > heavy_rows)
+    heavy = heavy.select(F.col("route").alias("hr"), F.col("part").alias("hp"), F.ceil(F.col("n") / (heavy_rows // 2)).cast("int").alias("parts"))
     if heavy.limit(1).count():
         dealt = dealt.join(heavy, (F.col("route") == F.col("hr")) & (F.col("part") == F.col("hp")), "left")
-        mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
+        mine = F.pmod(F.xxhash64(*fps, F.lit(7)), F.col("parts")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, mine) * F.col("parts") + F.greatest(x, mine))
-        dealt = dealt.select("fp", "route", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
+        dealt = dealt.select(*fps, "route", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
     else:
         dealt = dealt.withColumn("cell", F.lit(0))
-    dealt = dealt.repartition("route", "part", "cell").sortWithinPartitions("route", "part", "cell", gray_rank(F.col("fp")))
-    return dealt.mapInArrow(_search(p.max_bits), "a long, b long").distinct()
+    order = [gray_rank(F.col("fp"))] if len(fps) == 1 else []
+    dealt = dealt.repartition("route", "part", "cell").sortWithinPartitions("route", "part", "cell", *order)
+    return dealt.mapInArrow(*_search(find, fps)).distinct()
+
+
+def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
+    """Edges (a, b) that connect just what fingerprints at most max_bits apart connect. nodes: distinct fp."""
+    return search_groups(nodes, routes(nodes.count(), p), lambda fps: local_links(fps, p.max_bits), p.heavy_rows)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
-    """id, fingerprint, component_id, in_component (rows in the component) and, where docs has them, file and row."""
+    """id, fingerprint, component_id, in_component (rows in the component)."""
     ws = Workspace(docs.sparkSession, "simhash")
-    rows = ws.save(fingerprints(docs, id_col, text_col, params), "fingerprints")
+    rows = ws.save(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), params), "fingerprints")
     nodes = ws.save(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "nodes")
     label = components(links(nodes.select("fp"), params), ws)
     own = nodes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("n").alias("in_component")).withColumnRenamed("label", "l")
     own = own.join(least, F.col("label") == F.col("l")).select(F.col("fp").alias("own_fp"), "component_id", "in_component")
     out = rows.join(own, F.col("fp") == F.col("own_fp"))
-    place = [c for c in (FILE, ROW) if c in rows.columns]
-    return out.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "in_component", *place)
+    return out.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "in_component")
+
+
+def sampled_routes(n: int, p: SimilarParams) -> list[int]:
+    """Random masks of 128 bits, so wide that a random group has about group_rows of n fingerprints, and enough for
+    `recall` of pairs at the limit that differ in a standard deviation more bits than expected."""
+    wide, apart = max(4, (n // p.group_rows).bit_length()), p.apart + sqrt(p.apart * (1 - p.apart) / 128)
+    count = ceil(log(1 - p.recall) / log(1 - (1 - apart) ** wide))
+    rng = np.random.default_rng(p.seed)
+    return [sum(1 << int(b) for b in rng.choice(128, wide, replace=False)) for _ in range(count)]
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace) -> DataFrame:
+    """Edges (a, b) between nodes (as 32 hex digits) whose texts have the similarity. nodes: fp, fp2, file and row of one
+    text; texts: t, file and row of all."""
+    name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+    found = search_groups(nodes.select("fp", "fp2"), sampled_routes(nodes.count(), p), near_links(p), p.heavy_rows)
+    pairs = ws.save(found.select(name("a", "a1").alias("a"), name("b", "b1").alias("b")), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = ws.save(nodes.select(name("fp", "fp2").alias("own"), F.col(FILE).alias("f"), F.col(ROW).alias("r")).join(asked, F.col("own") == F.col("node")).select("node", "f", "r"), "asked")
+    some = maybe_in(texts, F.xxhash64(FILE, ROW), bitmap(asked, F.xxhash64("f", "r"))).where("maybe").select("t", FILE, ROW)
+    some = some.join(asked, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("node", "t")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x.as_buffer().to_pybytes(), p.shingle).tobytes() for x in as_text(b.column("t"))], pa.binary())], ["node", "held"])
+
+    own = ws.save(some.mapInArrow(sets, "node string, held binary"), "sets")
+
+    @arrow_udf("double")
+    def jaccard(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in parts:
+            out = []
+            for x, y in zip(left, right):
+                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(both / max(1, len(a) + len(b) - both))
+            yield pa.array(out, pa.float64())
+
+    both = pairs.join(own.select(F.col("node").alias("na"), F.col("held").alias("ha")), F.col("a") == F.col("na")).join(own.select(F.col("node").alias("nb"), F.col("held").alias("hb")), F.col("b") == F.col("nb"))
+    return both.where(jaccard("ha", "hb") >= p.similarity).select("a", "b")
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimilarParams = SimilarParams(), place: bool = False) -> DataFrame:
+    """id, component_id (smallest id), in_component, kept (one row of each component: the first by id, file, row), file and row.
+
+    place: docs have the last two columns already, as `addressable` gives them."""
+    p, ws = params, Workspace(docs.sparkSession, "similar")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), FILE, ROW) if place else addressable(docs, ws, id=id_col, t=text_col)
+    rows = ws.save(fingerprints(texts, p), "fingerprints")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW))
+    nodes = ws.save(rows.groupBy("fp", "fp2").agg(best.alias("rep"), F.count("*").alias("n")), "nodes")
+    name = F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("fp2"), 16, "0"))
+    label = components(similar_links(rows, nodes.select("fp", "fp2", f"rep.{FILE}", f"rep.{ROW}"), texts, p, ws), ws)
+    own = nodes.withColumn("name", name).join(label, F.col("name") == F.col("node"), "left").select("fp", "fp2", "rep", "n", F.coalesce("label", "name").alias("label"))
+    least = own.groupBy("label").agg(F.min("rep").alias("first"), F.sum("n").alias("in_component")).withColumnRenamed("label", "l")
+    own = own.join(least, F.col("label") == F.col("l")).select(F.col("fp").alias("f1"), F.col("fp2").alias("f2"), "first", "in_component")
+    out = rows.join(own, (F.col("fp") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
+    kept = (F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(ROW) == F.col(f"first.{ROW}"))
+    return out.select("id", F.col("first.id").alias("component_id"), "in_component", kept.alias("kept"), FILE, ROW)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
