@@ -3,13 +3,18 @@
 Counts are exact and cover all training texts. The base needs the count of every word: the most frequent words are
 broadcast (HEAD of them, of HEAD_BYTES bytes at most: a fixed bound), the others' counts come by a join.
 
-The model's events are the `slots` most frequent of: words, the end, and tails. A tail is the set of words outside the
-vocabulary that end in the same two letters' hash; a tail word's probability is its tail's times its add-one share of
-it, with one more for words never seen. Events are sorted by frequency into classes. The probability of an event is that
-of its class times that of the event within it, both softmaxes over sums of hashed weights: of the word before (2-gram),
-the two before (3-gram), the one before the last (skip), and a bias from the counts. Each task runs gradient steps over
-its whole share of the training texts from the same start, each step for all three kinds of features; the tasks' weights
-are averaged in a tree, weighed by tokens.
+The model grows with the counted vocabulary (`LmParams.shape`). Its events are the most frequent of: words, the end, and
+tails. A tail is the set of words without an event of their own that end in the same two letters' hash; a tail word's
+probability is its tail's times its add-one share of it, with one more for words never seen. Events are sorted by
+frequency into classes. The probability of an event is that of its class times that of the event within it, both
+softmaxes over sums of hashed weights: of the word before (2-gram), the two before (3-gram), the one before the last
+(skip), and a bias from the counts. As a context a word is itself if it is known `context` times, else its tail.
+
+Training goes in synchronous rounds, each over its own hash fold of the training texts. All tasks start a round from the
+same weights and add up, for every weight, how often its feature and output met and how often the model expected it: the
+gradient is the difference. The sums meet in a tree, and each weight then moves along its gradient at a rate of its own,
+one over the logarithmic mean of both counts: by the logarithm of their ratio. So weights don't depend on how rows are
+dealt to tasks, but for rounding.
 
 Null and empty texts are one end. Without training texts the model is uniform and N = V = 0. Repeated rows get equal
 scores. Extra columns are not read.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +34,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace, as_text, documents, each_text, mix, remainder, slices, sums, words_of
+from stratalens.llm.common import Workspace, as_text, documents, each_text, hash_strings, mix, remainder, slices, sums, tidy, words_of
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of the model."""
+
+    classes: int
+    width: int  # events in a class
+    tails: int
+    class_bits: int  # rows of weights for classes
+    event_bits: int  # rows of weights for events within classes
 
 
 @dataclass(frozen=True)
 class LmParams:
-    classes: int = 32
-    width: int = 32  # events in a class
-    tails: int = 192
-    class_bits: int = 14  # rows of weights for classes
-    event_bits: int = 15  # rows of weights for events within classes
+    rounds: int = 2
+    rate: float = 0.5
+    smooth: float = 1.0
+    context: int = 30  # how often a word is seen that is a context of its own
+    max_classes: int = 128  # bounds the weights, which are broadcast, to 2**18 and 2**19 rows of so many
     head: int = 300_000
     head_bytes: int = 64
-    batch: int = 4096
-    rate: float = 0.35
-    merge: int = 32  # shards averaged at once
+    batch: int = 8192
+    merge: int = 32  # shards added up at once
+    tasks: int = 2048  # most tasks that add up gradients, whose tables are as large as the model
+
+    def shape(self, words: int) -> Shape:
+        """For a vocabulary of so many distinct words."""
+        c = min(self.max_classes, 4 * ceil((12 + words**0.2) / 4))
+        bits = int(log2(16 * c * c))
+        return Shape(c, c, c * c * 3 // 16, bits, bits + 1)
 
 
 END = "\n"  # no word has it
-_START = 1 << 20
+_START = np.uint64(1)
 
 
 def tail_of(word: str, tails: int) -> int:
@@ -75,7 +98,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 class Events:
     """Maps tokens to events. Broadcast: at most head words, slots and tails."""
 
-    def __init__(self, head: list[tuple[str, int]], tails: list[tuple[int, int]], words: int, p: LmParams):
+    def __init__(self, head: list[tuple[str, int]], tails: list[tuple[int, int]], words: int, p: Shape):
         self.p = p
         own = head[:words]  # by count
         ranked = sorted([(c, 0, w) for w, c in own] + [(m, 1, t) for t, m in tails], key=lambda x: (-x[0], x[1], str(x[2])))
@@ -87,6 +110,7 @@ class Events:
                 self.tail_event[x], self.tail_mass[x] = k, m
         self.mass = np.array([max(c, 0.5) for c, *_ in ranked], np.float64)
         self.known = {w: c << 16 | self.event.get(w, 0xFFFF) for w, c in head}
+        del self.event
         self.tail = {}  # of two letters
 
     def of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +130,8 @@ class Events:
 
 
 class MaxEnt:
-    def __init__(self, p: LmParams, mass: np.ndarray):
-        self.p = p
+    def __init__(self, p: Shape, mass: np.ndarray, batch: int = 8192):
+        self.p, self.batch = p, batch
         full = np.full(p.classes * p.width, 1e-9)
         full[: len(mass)] = mass
         full = full.reshape(p.classes, p.width)
@@ -117,7 +141,7 @@ class MaxEnt:
 
     def rows(self, event: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of weights that each token's features hash to: (tokens, 3) for its class, and within it."""
-        a, b = one.astype(np.uint64), two.astype(np.uint64)
+        a, b = one, two
         f = np.stack([a * np.uint64(3) + np.uint64(1), mix(a * np.uint64(0x9E3779B97F4A7C15) + b), b * np.uint64(3) + np.uint64(2)], 1)
         c = (event // self.p.width).astype(np.uint64)[:, None]
         at = mix(f * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.p.class_bits)
@@ -139,26 +163,33 @@ class MaxEnt:
     def score(self, event: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each token's event."""
         out = np.empty(len(event))
-        for i in range(0, len(event), self.p.batch):
-            e = event[i : i + self.p.batch]
+        for i in range(0, len(event), self.batch):
+            e = event[i : i + self.batch]
             k, total = np.arange(len(e)), 0.0
-            for (x, z), hit in zip(self.forward(e, *self.rows(e, one[i : i + self.p.batch], two[i : i + self.p.batch])), (e // self.p.width, e % self.p.width)):
+            for (x, z), hit in zip(self.forward(e, *self.rows(e, one[i : i + self.batch], two[i : i + self.batch])), (e // self.p.width, e % self.p.width)):
                 total = total + np.log10(x[k, hit].astype(np.float64)) - np.log10(z)
-            out[i : i + self.p.batch] = total
+            out[i : i + self.batch] = total
         return out
 
-    def learn(self, event: np.ndarray, one: np.ndarray, two: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One gradient step per batch, for all kinds of features; each row's rate falls with its squares (seen)."""
-        for i in range(0, len(event), self.p.batch):
-            e = event[i : i + self.p.batch]
-            rows = self.rows(e, one[i : i + self.p.batch], two[i : i + self.p.batch])
-            k = np.arange(len(e))
-            for w, r, (g, z), hit, s in zip(self.w, rows, self.forward(e, *rows), (e // self.p.width, e % self.p.width), seen):
-                g *= (-1 / z)[:, None]
-                g[k, hit] += 1
-                own, total = row_sums(g, r.astype(np.uint16 if len(w) <= 1 << 16 else np.int64))
-                s[own] += (total * total).mean(1)
-                w[own] += (self.p.rate / np.sqrt(s[own] + 1.0))[:, None] * total
+    def tables(self) -> list[np.ndarray]:
+        """(observed, expected) for each table of weights."""
+        return [np.zeros((2, *w.shape), np.float32) for w in self.w]
+
+    def gather(self, event: np.ndarray, one: np.ndarray, two: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Adds to sums how often each row of weights met each output, and how often the model expected it."""
+        for i in range(0, len(event), self.batch):
+            e = event[i : i + self.batch]
+            rows = self.rows(e, one[i : i + self.batch], two[i : i + self.batch])
+            for r, (x, z), hit, (seen, expected) in zip(rows, self.forward(e, *rows), (e // self.p.width, e % self.p.width), sums):
+                x *= (1 / z)[:, None]
+                own, total = row_sums(x, r.astype(np.uint16) if len(seen) <= 1 << 16 else r)
+                expected[own] += total
+                np.add.at(seen.reshape(-1), (r * seen.shape[1] + hit[:, None]).ravel(), np.float32(1))
+
+    def step(self, sums: list[np.ndarray], p: LmParams) -> None:
+        for w, (seen, expected) in zip(self.w, sums):
+            for at in range(0, len(w), 4096):
+                w[at : at + 4096] += p.rate * np.log((seen[at : at + 4096] + p.smooth) / (expected[at : at + 4096] + p.smooth))
 
 
 def row_sums(g: np.ndarray, rows: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -183,58 +214,72 @@ def row_sums(g: np.ndarray, rows: np.ndarray, most: int = 32) -> tuple[np.ndarra
     return flat[cut], total
 
 
-def _tokens(events: Events, texts: pa.Array):
-    """(names, count, mass, codes, starts, event, one, two): tokens of a slice, ends put in; one and two: events before."""
+def _tokens(events: Events, texts: pa.Array, context: int):
+    """(names, count, mass, codes, starts, event, one, two): tokens of a slice, ends put in; one and two: the words before."""
     names, codes, starts = words_of(texts)
     names = [*names, END]
     event, count, mass = events.of(names)
+    word = np.where(count >= context, hash_strings(names), mix(event.astype(np.uint64) + np.uint64(2)))
     code = np.insert(codes, starts[1:], len(names) - 1)
     starts = starts + np.arange(len(starts))
-    e = event[code]
-    one, two = np.concatenate([[_START], e[:-1]]), np.concatenate([[_START, _START], e[:-2]])[: len(e)]
+    h = word[code]
+    one, two = np.concatenate([[_START], h[:-1]]), np.concatenate([[_START, _START], h[:-2]])[: len(h)]
     one[starts[:-1]], two[starts[:-1]] = _START, _START
     second = starts[:-1] + 1
     two[second[second < starts[1:]]] = _START
-    return names, count, mass, code, starts, e, one, two
-
-
-def train(rows: DataFrame, events: Events, ws: Workspace, p: LmParams) -> list[np.ndarray]:
-    """Weights, averaged over the tasks' own gradient descents through all training texts t."""
-    spark = rows.sparkSession
-    sent, block = spark.sparkContext.broadcast(events), 256
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = MaxEnt(p, sent.value.mass), 0
-        seen = [np.zeros(len(w), np.float32) for w in model.w]
-        for b in batches:
-            texts = lowered(as_text(b.column("t")))
-            for i, j in slices(texts):
-                *_, e, one, two = _tokens(sent.value, texts[i:j])
-                model.learn(e, one, two, seen)
-                n += len(e)
-        for k, w in enumerate(model.w if n else []):
-            for at in range(0, len(w), block):
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([float(n)]), pa.array([w[at : at + block].astype(np.float16).tobytes()], pa.binary())], names)
-
-    def average(t: pa.Table) -> pa.Table:
-        n = np.asarray(t.column("n"))
-        total = sum(m / n.sum() * np.frombuffer(x.as_buffer(), np.float16).astype(np.float32) for m, x in zip(n, t.column("w")))
-        return pa.table([[t.column("shard")[0].as_py() // p.merge], pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("at")[0].as_py()], pa.int32()), [float(n.sum())], pa.array([total.astype(np.float16).tobytes()], pa.binary())], names=names)
-
-    names, schema = ["shard", "part", "at", "n", "w"], "shard long, part int, at int, n double, w binary"
-    shards, level = ws.save(rows.mapInArrow(descend, schema), "shards-0"), 0
-    while True:  # a tree: merge shards to one, until one is left
-        top = shards.select(F.max("shard")).first()[0]
-        if not top:
-            break
-        level += 1
-        shards = ws.save(shards.groupBy(F.expr(f"shard div {p.merge}").alias("g"), "part", "at").applyInArrow(average_by(average), schema), f"shards-{level}")
-    out = MaxEnt(p, events.mass).w
-    for r in shards.toLocalIterator():  # the weights: of fixed size
-        w = np.frombuffer(r["w"], np.float16).astype(np.float32)
-        out[r["part"]][r["at"] : r["at"] + block] = w.reshape(-1, out[r["part"]].shape[1])
-    ws.drop(*[f"shards-{k}" for k in range(level + 1)])
-    return out
+    return names, count, mass, code, starts, event[code], one, two
+
+
+def train(rows: DataFrame, events: Events, ws: Workspace, p: LmParams, shape: Shape) -> list[np.ndarray]:
+    """The weights after all rounds. rows: t, fold (below p.rounds)."""
+    spark, block = rows.sparkSession, 256
+    sent, model = spark.sparkContext.broadcast(events), MaxEnt(shape, events.mass, p.batch)
+    tasks = min(p.tasks, 2 * spark.sparkContext.defaultParallelism)
+    names, schema = ["shard", "part", "at", "w"], "shard long, part int, at int, w binary"
+
+    def descend(weights):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = MaxEnt(shape, sent.value.mass, p.batch)
+            model.w = weights.value
+            sums, n = model.tables(), 0
+            for b in batches:
+                texts = lowered(as_text(b.column("t")))
+                for i, j in slices(texts, 2_000_000):
+                    *_, e, one, two = _tokens(sent.value, texts[i:j], p.context)
+                    model.gather(e, one, two, sums)
+                    n += len(e)
+            for k, x in enumerate(sums if n else []):
+                for at in range(0, x.shape[1], block):
+                    if x[:, at : at + block].any():
+                        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([x[:, at : at + block].tobytes()], pa.binary())], names)
+            del sums
+            tidy()
+
+        return run
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column("w"))
+        return pa.table([[t.column("shard")[0].as_py() // p.merge], pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("at")[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=names)
+
+    for turn in range(p.rounds):
+        weights = spark.sparkContext.broadcast(model.w)  # of a size that max_classes bounds
+        made = rows.where(F.col("fold") == turn).select("t").coalesce(tasks).mapInArrow(descend(weights), schema)
+        shards, level = ws.save(made, f"shards-{turn}-0"), 0
+        while True:  # a tree: `merge` shards to one, until one is left
+            top = shards.select(F.max("shard")).first()[0]
+            if not top and level:
+                break
+            level += 1
+            shards = ws.save(shards.groupBy(F.expr(f"shard div {p.merge}").alias("g"), "part", "at").applyInArrow(average_by(add), schema), f"shards-{turn}-{level}")
+        sums = model.tables()
+        for r in shards.toLocalIterator():  # as large as the model
+            x = sums[r["part"]]
+            own = np.frombuffer(r["w"], np.float32).reshape(2, -1, x.shape[2])
+            x[:, r["at"] : r["at"] + own.shape[1]] = own
+        model.step(sums, p)
+        ws.drop(*[f"shards-{turn}-{k}" for k in range(level + 1)])
+        weights.unpersist()
+    return model.w
 
 
 def average_by(f):
@@ -246,31 +291,32 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     p, spark = params, docs.sparkSession
     ws = Workspace(spark, "maxent")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    learn = rows.where(remainder("id", folds) != held_out).select("t")
+    learn = rows.where(remainder("id", folds) != held_out).select("t", F.pmod(F.xxhash64("id", "t"), F.lit(p.rounds)).alias("fold"))
     counts = ws.save(count_words(learn), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    words = p.classes * p.width - p.tails
+    shape = p.shape(v)
+    words = shape.classes * shape.width - shape.tails
     short = counts.where(F.octet_length("word") <= p.head_bytes)
     if v > 4 * p.head:  # twice as many as wanted, and the error of the quantile, are left to sort
         cut = short.agg(F.percentile_approx("c", max(0.0, 1 - 2 * p.head / v - 1 / 5000), 10_000)).first()[0]
         short = short.where(F.col("c") >= (cut or 0))
     head = [(r["word"], r["c"]) for r in short.orderBy(F.desc("c"), "word").limit(p.head).toLocalIterator()]
     slots = spark.createDataFrame(head[:words], "w string, k long")  # as many words as the model has slots
-    tails = counts.join(F.broadcast(slots), F.col("word") == F.col("w"), "left_anti").groupBy(F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(p.tails)).cast("int").alias("tail")).agg((F.sum("c") + F.count("*") + 1).alias("m"))
-    masses = {k: 1 for k in range(p.tails)} | {r["tail"]: r["m"] for r in tails.collect()}  # one row per tail
-    events = Events(head, sorted(masses.items()), words, p)
-    weights = train(learn, events, ws, p)
+    tails = counts.join(F.broadcast(slots), F.col("word") == F.col("w"), "left_anti").groupBy(F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(shape.tails)).cast("int").alias("tail")).agg((F.sum("c") + F.count("*") + 1).alias("m"))
+    masses = {k: 1 for k in range(shape.tails)} | {r["tail"]: r["m"] for r in tails.collect()}  # one row per tail
+    events = Events(head, sorted(masses.items()), words, shape)
+    weights = train(learn, events, ws, p, shape)
     sent, model_ = spark.sparkContext.broadcast(events), spark.sparkContext.broadcast(weights)
     base = np.log10(n + v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         events = sent.value
-        model = MaxEnt(p, events.mass)
+        model = MaxEnt(shape, events.mass, p.batch)
         model.w = model_.value
         for b in batches:
             texts, row = lowered(as_text(b.column("t"))), np.asarray(b.column("row"))
-            for i, j in slices(texts):
-                names, count, mass, code, starts, e, one, two = _tokens(events, texts[i:j])
+            for i, j in slices(texts, 2_000_000):
+                names, count, mass, code, starts, e, one, two = _tokens(events, texts[i:j], p.context)
                 plain = np.log10(np.maximum(count, 0) + 1.0)  # of words outside the head: by the join
                 tail = np.where(mass > 0, plain - np.log10(np.maximum(mass, 1)), 0.0)
                 own = model.score(e, one, two) + tail[code]

@@ -325,18 +325,50 @@ def test_lm_head_join_and_held_out(spark):
     assert all(abs(a[k].base_score - b[k].base_score) < 1e-6 * abs(b[k].base_score) and a[k].n_known == b[k].n_known for k in b)
     held = [r for r in b.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    model = maxent_lm.MaxEnt(small, np.ones(small.classes * small.width))
-    every = np.arange(small.classes * small.width)
-    assert np.power(10, model.score(every, np.zeros_like(every), np.zeros_like(every))).sum() == pytest.approx(1, abs=1e-3)
+    shape = small.shape(1000)
+    model = maxent_lm.MaxEnt(shape, np.ones(shape.classes * shape.width))
+    every = np.arange(shape.classes * shape.width)
+    assert np.power(10, model.score(every, np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, tmp_path):
+    d = spark.read.parquet(f"{D}/documents.parquet")
+    got = []
+    for n in (1, 24):
+        d.repartition(n).write.parquet(str(tmp_path / f"p{n}"))
+        got.append({r.id: r.score for r in maxent_lm.lm_scores(spark.read.parquet(str(tmp_path / f"p{n}"))).collect()})
+    assert all(got[0][k] == pytest.approx(got[1][k], rel=1e-4) for k in got[0])
+
+
+def test_lm_grows_with_the_vocabulary():
+    p = maxent_lm.LmParams()
+    shapes = [p.shape(10**k) for k in range(2, 12)]
+    assert all(a.classes < b.classes or b.classes in (p.max_classes, a.classes) for a, b in zip(shapes, shapes[1:])) and shapes[-1].classes > 3 * shapes[2].classes
 
 
 def test_lm_step_learns_all_kinds_of_features():
     p = maxent_lm.LmParams()
-    model = maxent_lm.MaxEnt(p, np.ones(p.classes * p.width))
-    event, one, two = np.array([5, 70, 900, 5]), np.array([1, 2, 3, 4]), np.array([11, 12, 13, 14])
-    model.learn(event, one, two, [np.zeros(len(w), np.float32) for w in model.w])
-    for w, rows in zip(model.w, model.rows(event, one, two)):
-        assert all(w[rows[:, kind]].any(axis=1).all() for kind in range(3))
+    shape = p.shape(80_000)
+    mass = np.ones(shape.classes * shape.width)
+    model = maxent_lm.MaxEnt(shape, mass)
+    rng = np.random.default_rng(1)
+    event = rng.integers(0, len(mass), 300)
+    one, two = mix(event.astype(np.uint64)), mix(event.astype(np.uint64) + np.uint64(9))
+    sums = model.tables()
+    model.gather(event, one, two, sums)
+    rows = model.rows(event, one, two)
+    for w, r, x, hit in zip(model.w, rows, sums, (event // shape.width, event % shape.width)):
+        want = np.zeros((2, *w.shape))
+        for t in range(len(event)):
+            for row in r[t]:
+                want[0, row, hit[t]] += 1
+                want[1, row] += 1 / w.shape[1]  # weights are zero and masses equal
+        assert np.allclose(x, want, atol=1e-4)
+    before = model.score(event, one, two).sum()
+    model.step(sums, p)
+    assert model.score(event, one, two).sum() > before
+    for w, r in zip(model.w, rows):
+        assert all(w[r[:, kind]].any(axis=1).all() for kind in range(3))
     rng = np.random.default_rng(2)
     g, rows = rng.normal(size=(500, 4)), np.minimum(rng.zipf(1.3, (500, 3)), 60)
     want = np.zeros((61, 4))
