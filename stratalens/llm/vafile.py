@@ -3,25 +3,28 @@
 Vectors become integers; each stripe of them is a file of its own: one byte per component (the cell), the cells' edges,
 and the exact vectors beside. A query first scans the cells alone: they bound its score from below and above. The kth
 best lower bound rules most vectors out. The others' exact vectors are read in the order of their upper bounds until the
-kth exact score is above the next bound. Each task takes one group of queries and one stripe; the stripes' answers meet
-by query, k rows each.
+kth exact score is above the next bound. A stripe has a bounded number of bytes and is sent to one task, once; the
+queries stream past it, a copy for each stripe, and the stripes' answers meet by query, k rows each.
 
 Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. Vectors of
 different length are never compared. A query's own id is no candidate, also where its row is repeated; equal scores go
-to the smaller id. Repeated rows ask once. Scores beyond 64 bits stop at the largest long. Extra columns are not read.
+to the smaller id. Repeated rows ask once. Scores are ranked whole, and those beyond 64 bits shown as the largest long.
+Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace
+from stratalens.llm.common import Workspace, tidy
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,8 @@ class VaParams:
     k: int = 20
     scale: int = 64
     cells: int = 32  # per component; 256 at most
-    stripe_rows: int = 65_536  # most vectors in a stripe
-    query_rows: int = 4096  # most queries in a group
+    stripe_bytes: int = 32_000_000  # most of a stripe's exact vectors
+    least_rows: int = 2048  # a stripe has as many at least, however many tasks could run
     block: int = 128  # queries whose bounds are held at once
 
 
@@ -44,101 +47,114 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     return rows.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten()).reshape(-1, dim) if dim else np.zeros((len(column), 0), np.int64)
+def _matrix(column, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten()).reshape(-1, dim) if dim else np.zeros((len(column), 0), np.int64)
 
 
 def _pack(cells: int):
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         """One stripe as one row: ids, edges and widths of cells, cells, exact vectors."""
         dim = key[0].as_py()
-        t = t.sort_by([("id", "ascending"), ("tie", "ascending")])
         v = _matrix(t.column("v"), dim)
         lo, hi = (v.min(0), v.max(0)) if dim else (v[0], v[0])
-        width = np.maximum(1, -(-(hi - lo + 1) // cells)) if dim else lo
-        cell = ((v - lo) // width).astype(np.uint8) if dim else v.astype(np.uint8)
-        blob = [np.asarray(t.column("id")).astype(np.int64), lo.astype(np.int64), width.astype(np.int64), cell, v.astype(np.int64)]
+        # widths as floats: the range of 64-bit numbers may not fit one
+        width = np.maximum(1, np.ceil((hi.astype(np.float64) - lo + 1) / cells)).astype(np.uint64)
+        cell = np.minimum((v.view(np.uint64) - lo.view(np.uint64)) // width, 255).astype(np.uint8) if dim else v.astype(np.uint8)
+        blob = [np.asarray(t.column("id")).astype(np.int64), lo.astype(np.int64), width, cell, v.astype(np.int64)]
         return pa.table({"dim": pa.array([dim], pa.int32()), "stripe": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(("ids", "lo", "width", "cells", "exact"), blob)}})
 
     return pack
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
-
-
-def search_stripe(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, lo: np.ndarray, width: np.ndarray, cells: np.ndarray, exact: np.ndarray, p: VaParams):
-    """(place of the query, id, score) of each query's k best in one stripe."""
-    dim, out = q.shape[1], ([], [], [])
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(exact).max(initial=0)) * max(dim, 1) >= _EXACT
-    edge = lo + cells.astype(np.int64) * width
-    corner = edge.astype(np.float64)
-    for at in range(0, len(q), p.block):
-        part = q[at : at + p.block].astype(np.float64)
-        base = part @ corner.T
-        up, down = np.maximum(part, 0) @ (width - 1.0), np.minimum(part, 0) @ (width - 1.0)
-        for i in range(len(part)):
-            own = ids == q_ids[at + i]
-            if big:  # beyond what doubles hold exactly: no bounds, whole numbers of any length
-                s = np.array([int(x) for x in exact.astype(object) @ q[at + i].astype(object)], dtype=object)
-                s = np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s], np.int64)
-                live = np.flatnonzero(~own)
-                top = live[np.lexsort((ids[live], -s[live].astype(object)))[: p.k]]
-                got, score = top, s[top]
+class Stripe:
+    def __init__(self, dim: int, ids: np.ndarray, lo: np.ndarray, width: np.ndarray, cells: np.ndarray, exact: np.ndarray, big: bool, p: VaParams):
+        """big: scores may be beyond what doubles hold exactly."""
+        self.dim, self.ids, self.exact, self.big, self.p = dim, ids, exact, big, p
+        self.span = width.astype(np.float64) - 1
+        self.corner = (lo + cells.astype(np.float64) * width).astype(np.float64)
+        # of bounds in doubles, for vectors whose scores they don't hold: what rounding may take
+        self.slack = np.abs(self.corner).max(initial=0) + self.span.max(initial=0) if big else 0.0
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """(place of the query, ids, scores) of each query's k best here."""
+        for at in range(0, len(q), self.p.block):
+            part = q[at : at + self.p.block].astype(np.float64)
+            base = part @ self.corner.T
+            margin = np.abs(part).sum(1) * self.slack * (self.dim + 8) * 2.0**-50
+            up, down = np.maximum(part, 0) @ self.span + margin, np.minimum(part, 0) @ self.span - margin
+            for i in range(len(part)):
+                own = self.ids == q_ids[at + i]
+                k = min(self.p.k, len(own) - int(own.sum()))
+                if k:
+                    yield at + i, *self._nearest(q[at + i], np.where(own, -np.inf, base[i] + up[i]), np.where(own, -np.inf, base[i] + down[i]), k)
+
+    def _nearest(self, q: np.ndarray, upper: np.ndarray, lower: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        sure = np.partition(lower, len(lower) - k)[len(lower) - k]
+        order = np.flatnonzero((upper >= sure) & (upper > -np.inf))
+        order = order[np.argsort(-upper[order], kind="stable")]
+        got, score, seen = np.zeros(0, np.int64), [], 0
+        while seen < len(order) and (len(got) < k or upper[order[seen]] >= float(score[-1])):
+            read = order[seen : seen + max(2 * k, 64)]
+            seen += len(read)
+            got = np.concatenate([got, read])
+            if self.big:
+                score += [int(x) for x in self.exact[read].astype(object) @ q.astype(object)]
+                best = sorted(range(len(got)), key=lambda x: (-score[x], self.ids[got[x]]))[:k]
             else:
-                upper = np.where(own, -np.inf, base[i] + up[i])
-                n = len(ids) - int(own.sum())
-                if not n:
-                    continue
-                k = min(p.k, n)
-                lower = np.where(own, -np.inf, base[i] + down[i])
-                sure = np.partition(lower, len(lower) - k)[len(lower) - k]
-                order = np.flatnonzero(upper >= sure)
-                order = order[np.argsort(-upper[order], kind="stable")]
-                got, score, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-                while seen < len(order) and (len(got) < k or upper[order[seen]] >= score[-1]):
-                    read = order[seen : seen + max(2 * k, 64)]
-                    seen += len(read)
-                    got = np.concatenate([got, read])
-                    score = np.concatenate([score, exact[read] @ q[at + i]])
-                    best = _best(score, ids[got], k)
-                    got, score = got[best], score[best]
-            out[0].append(np.full(len(got), at + i))
-            out[1].append(ids[got])
-            out[2].append(score)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+                score = np.concatenate([np.asarray(score, np.int64), self.exact[read] @ q])
+                best = np.lexsort((self.ids[got], -score))[:k]
+            got, score = got[best], [score[x] for x in best]
+        return self.ids[got], score
 
 
 def top_k(vectors: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str = "embedding", params: VaParams = VaParams()) -> DataFrame:
     """query_id, rank, vec_id, score. asks: which rows of `vectors` are queries."""
     p, spark = params, vectors.sparkSession
     ws = Workspace(spark, "vafile")
-    rows = integers(vectors.withColumn("asks__", asks), id_col, vector_col, p.scale).withColumn("dim", F.size("v"))
+    rows = integers(vectors, id_col, vector_col, p.scale).withColumn("dim", F.size("v"))
     queries = integers(vectors.where(asks), id_col, vector_col, p.scale).withColumn("dim", F.size("v")).distinct()
-    n, nq = rows.count(), queries.count()
-    per = min(p.stripe_rows, max(2048, -(-n // spark.sparkContext.defaultParallelism)))
-    stripes, groups = max(1, -(-n // per)), max(1, -(-nq // p.query_rows))
-    rows = rows.withColumn("stripe", F.pmod(F.xxhash64("id", "v"), F.lit(stripes))).withColumn("tie", F.xxhash64("v"))
-    blob = ", ".join(f"{c} binary" for c in ("ids", "lo", "width", "cells", "exact"))
-    file = ws.save(rows.groupBy("dim", "stripe").applyInArrow(_pack(p.cells), f"dim int, stripe long, {blob}"), "stripes")
-    file = file.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int")).withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
-
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        dim, got = key[0].as_py(), [[], [], [], []]
-        ids, q = np.asarray(left.column("id")).astype(np.int64), _matrix(left.column("v"), dim)
-        tie = np.asarray(left.column("tie"))
-        for k in range(right.num_rows if len(ids) else 0):
-            lo, width, exact, own = (np.frombuffer(right.column(c)[k].as_py(), np.int64) for c in ("lo", "width", "exact", "ids"))
-            cells = np.frombuffer(right.column("cells")[k].as_py(), np.uint8)
-            at, vec, score = search_stripe(ids, q, own, lo, width, cells.reshape(len(own), dim), exact.reshape(len(own), dim), p)
-            for x, y in zip(got, (ids[at], tie[at], vec, score)):
-                x.append(y)
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in zip(("query_id", "tie", "vec_id", "score"), got)})
-
-    by = ["dim", "stripe", "group"]
-    found = asked.withColumn("tie", F.xxhash64("v")).groupBy(*by).cogroup(file.groupBy(*by)).applyInArrow(search, "query_id long, tie long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id", "tie").orderBy(F.desc("score"), "vec_id"))
+    largest = F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))), F.lit(0.0)))
+    per = rows.groupBy("dim").agg(F.count("*").alias("n"), largest.alias("largest"))
+    least = F.least(F.lit(spark.sparkContext.defaultParallelism), F.ceil(F.col("n") / p.least_rows))
+    stripes = F.greatest(least, F.ceil(F.col("n") * (F.col("dim") + 1) * 8 / p.stripe_bytes)).cast("long")
+    big = F.col("largest") * F.col("largest") * F.greatest("dim", F.lit(1)) >= float(_EXACT)
+    per = ws.save(per.select(F.col("dim").alias("d"), stripes.alias("stripes"), big.alias("big")), "dims")
+    # dealt by a running number: repeated rows are spread like any others
+    dealt = rows.withColumn("no", F.monotonically_increasing_id()).join(per, F.col("dim") == F.col("d")).select("dim", "id", "v", F.pmod(F.xxhash64("no"), "stripes").alias("stripe"))
+    blobs = ["ids", "lo", "width", "cells", "exact"]
+    file = ws.save(dealt.groupBy("dim", "stripe").applyInArrow(_pack(p.cells), f"dim int, stripe long, {', '.join(f'{c} binary' for c in blobs)}"), "stripes")
+    file = file.join(per, F.col("dim") == F.col("d")).select("dim", "stripe", "big", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<long>").alias("v"), *blobs)
+    asked = queries.join(per, F.col("dim") == F.col("d")).select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), "big", F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), "v", *[F.lit(None).cast("binary").alias(c) for c in blobs])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: a stripe, then its queries."""
+        stripe, at = None, None
+        for b in batches:
+            dims, nos, kinds, ids = (np.asarray(b.column(c).fill_null(0)) for c in ("dim", "stripe", "kind", "id"))
+            cuts = np.concatenate([[0], np.flatnonzero((dims[1:] != dims[:-1]) | (nos[1:] != nos[:-1]) | (kinds[1:] != kinds[:-1])) + 1, [len(dims)]])
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if kinds[i] == 0:
+                    dim, raw = int(dims[i]), {c: np.frombuffer(b.column(c)[int(i)].as_buffer(), t) for c, t in zip(blobs, (np.int64, np.int64, np.uint64, np.uint8, np.int64))}
+                    n, at = len(raw["ids"]), (dims[i], nos[i])
+                    stripe = Stripe(dim, raw["ids"], raw["lo"], raw["width"], raw["cells"].reshape(n, dim), raw["exact"].reshape(n, dim), b.column("big")[int(i)].as_py(), p)
+                elif at == (dims[i], nos[i]):  # a stripe without rows has no file
+                    q, out = _matrix(b.column("v")[i:j], stripe.dim), [[], [], [], []]
+                    for k, vec, score in stripe.search(ids[i:j], q):
+                        for x, y in zip(out, ([ids[i + k]] * len(vec), [k] * len(vec), vec.tolist(), score)):
+                            x.extend(y)
+                    tie = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in np.ascontiguousarray(q)], np.uint64).view(np.int64)[out[1]] if len(q) else np.zeros(0, np.int64)
+                    short = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in out[3]]
+                    wide = [(int(x) + (1 << 191)).to_bytes(24) for x in out[3]] if stripe.big else [None] * len(short)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(tie, pa.int64()), pa.array(out[2], pa.int64()), pa.array(short, pa.int64()), pa.array(wide, pa.binary())], ["query_id", "tie", "vec_id", "score", "wide"])
+        del stripe
+        tidy()
+
+    met = file.unionByName(asked).repartition("dim", "stripe").sortWithinPartitions("dim", "stripe", "kind")
+    found = met.mapInArrow(search, "query_id long, tie long, vec_id long, score long, wide binary")
+    rank = F.row_number().over(W.partitionBy("query_id", "tie").orderBy(F.desc("wide"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 

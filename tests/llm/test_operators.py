@@ -409,6 +409,29 @@ def test_top_k(spark):
     assert vafile.top_k(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def top_by_hand(rows, k):
+    own = [(i, np.floor(64 * np.array(e, float))) for i, e in rows]
+    whole = [(i, [int(max(-(2.0**63), min(x, 2.0**63 - 1024)) if abs(x) < 2.0**63 else (2**63 - 1 if x > 0 else -(2**63))) for x in e]) for i, e in own]
+    out = []
+    for i, e in whole:
+        if i % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(e, x)), j) for j, x in whole if j != i)[:k]
+            out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -x))) for r, (x, j) in enumerate(s)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1, 1e12, 3e17])
+def test_top_k_beyond_64_bits_and_ties(spark, size):
+    """Scores that doubles don't hold, that longs don't hold, and many that are equal at the kth place; several stripes."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 4)) * size
+    rows = [(i, [float(x) for x in base[i % 12]]) for i in range(150)] + [(200 + i, [float(x) for x in rng.normal(size=4) * size]) for i in range(150)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    p = vafile.VaParams(k=7, stripe_bytes=2000, cells=16)
+    got = sorted(map(tuple, vafile.top_k(v, F.col("vec_id") % 20 == 0, params=p).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == top_by_hand(rows, 7)
+
+
 def test_token_counts(some, none):
     got = token_counts.token_counts(some)
     per = got.groupBy("id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("d"), F.count("*").alias("c"))
