@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import FILE, ROW, Workspace, addressable, as_text, bitmap, documents, hash_strings, maybe_in, mix, slices, words_of
+from stratalens.llm.common import FILE, ROW, Workspace, addressable, as_text, bitmap, documents, hash_strings, maybe_in, mix, slices, tidy, words_of
 
 
 @dataclass(frozen=True)
 class SubstringParams:
     words: int = 35
     gram: int = 18
-    batches: int = 6
+    batches: int = 5
     fanout: int = 4
     bucket_rows: int = 60_000  # hashes in a bucket, about
     max_bits: int = 31  # of the bitmap
@@ -151,7 +151,7 @@ class FingerprintIndex:
         def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
                 texts = as_text(b.column("t"))
-                for i, j in slices(texts, 2_000_000):
+                for i, j in slices(texts, 1_000_000):
                     names, codes, starts = words_of(texts[i:j])
                     w = hash_strings(names)[codes]
                     h, n = np.unique(chosen(*anchors(w, starts, p), p), return_counts=True)
@@ -160,6 +160,7 @@ class FingerprintIndex:
                     where, blobs = _blobs(_bucket(h, bits), run)
                     part = int(mix(starts[-1:].astype(np.uint64) + w[:1].sum())[0] % np.uint64(batches)) if len(w) else 0
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(where), pa.int32()), pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "blob"])
+            tidy()
 
         return rows.mapInArrow(index, "batch int, bucket long, blob binary")
 
@@ -271,7 +272,7 @@ def repeats(rows: DataFrame, index: FingerprintIndex, table, size_bits: int, att
             file, row = np.asarray(b.column("file")).view(np.uint64), np.asarray(b.column("row"))
             if len(row) and row.max() >= 1 << 32:
                 raise ValueError("a file has too many rows")
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 1_000_000):
                 names, codes, starts = words_of(texts[i:j])
                 w = hash_strings(names)[codes]
                 _, small, whole = anchors(w, starts, p)
@@ -299,6 +300,7 @@ def repeats(rows: DataFrame, index: FingerprintIndex, table, size_bits: int, att
                 where, blobs = _blobs(_bucket(out["h"], bits), out)
                 over = [x & ((1 << bits) - 1) for x in places[0]]  # places only pass through a bucket
                 yield pa.RecordBatch.from_arrays([pa.array([*where, *over], pa.int64()), pa.array([*[None] * len(where), *places[0]], pa.int64()), pa.array([*blobs, *places[1]], pa.binary())], ["bucket", "part", "blob"])
+        tidy()
 
     def meet(t: pa.Table) -> pa.Table:
         own = t.filter(pc.is_null(t.column("part")))
@@ -373,6 +375,7 @@ def _keep(words: int):
             rest = [b.column(c) for c in ("id", "file", "row")]
             kind = pa.list_(pa.struct([("pos", pa.int64()), ("n", pa.int64()), ("sha", pa.binary())]))
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(digests, kind)], ["id", "file", "row", "n_words", "n_removed", "kept_text", "digests"])
+        tidy()
 
     return keep
 
