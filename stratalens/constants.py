@@ -16,14 +16,16 @@ SKIP_DIRS = ".git .zig-cache zig-out node_modules target .mypy_cache __pycache__
 SKIP_FRAGMENTS = ["go/pkg/mod", "go/pkg/sumdb", "go/pkg/cache"]
 SKIP_EXTENSIONS = ".exe .dll .so .dylib .o .a .lib .pyc .pyo .class .jar .war .wasm .min.js .min.css .png .jpg .jpeg .gif .bmp .ico .svg .mp3 .mp4 .avi .mov .webm .zip .tar .gz .bz2 .xz .rar .7z .pdf .doc .docx .xls .xlsx .sqlite .db .lock".split()
 HIDDEN_ALLOWED = [".gitignore", ".env", ".env.example"]
-MAX_FILES, MAX_BYTES, MAX_FILE, POSTING_BYTES, CHANGE_LOG = 100_000, 1 << 30, 10 << 20, 512 << 10, 1000
+MAX_FILES, MAX_BYTES, MAX_FILE, POSTING_BYTES, CHANGE_LOG, ANSWER_ROWS = 100_000, 1 << 30, 10 << 20, 512 << 10, 1000, 10_000
 
 # Words end at these characters.
 DELIMITERS = " \t\n\r(){}[];:.,\"'<>?!=+-*/&|^%~#@`"
 
-SYMBOL_KINDS = "function method struct enum union trait interface type_alias constant variable import module macro test impl class comment unknown".split()
 TAG_KINDS = {"interface": "class", "type": "type_alias", "implementation": "impl", "use": "import"} | {k: k for k in "function method class struct enum macro module constant variable impl union trait test import".split()}
 
+# Python modules that are never files of the workspace.
+PYTHON_STDLIB = "os sys re json time datetime math random collections itertools functools typing pathlib subprocess threading asyncio logging unittest io abc enum dataclasses contextlib copy shutil tempfile hashlib base64 struct socket http urllib csv sqlite3 argparse".split()
+
 # Security rules: (text, rule, severity, any case).
 SECURITY = [
     ("-----BEGIN", "private_key_block", "critical", False), ("sk_live_", "stripe_live_key", "critical", False),
@@ -69,6 +71,10 @@ CLONE_LINES = 6
 GENERATED = ["generated/", ".pb.go", ".gen.", "_pb2.py", "/gen/", ".g.dart", "/node_modules/", "/vendor/", ".lock"]
 CONTROL_FLOW = r"\b(if|for|while|switch|case|catch|elif|when|loop|&&|\|\||\?)\b|\?"
 
+# Literals that a change of a file should mind.
+PLAN_PORTS = "5432 6379 3306 27017 4222 9092".split()
+PLAN_PATHS = ['"/home/', '"/etc/', '"/var/', '"/opt/', '"/usr/']
+
 # Command classifier.
 SEARCH_COMMANDS = {"grep", "egrep", "fgrep", "rg", "ag", "ack"}
 READ_COMMANDS = {"cat", "head", "tail", "less", "more", "bat", "sed"}

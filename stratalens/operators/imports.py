@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens import constants as K
 from stratalens.functions import paths
 
 Q = r"""["']([^"']+)["']"""
@@ -24,9 +25,9 @@ SPECS = {
     "go": [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$'],
     "typescript": [rf"\bfrom\s+{Q}", rf"^\s*import\s+{Q}", rf"\brequire\(\s*{Q}"], "javascript": [rf"\bfrom\s+{Q}", rf"^\s*import\s+{Q}", rf"\brequire\(\s*{Q}"],
     "java": [r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;"], "kotlin": [r"^\s*import\s+([\w.]+)"], "scala": [r"^\s*import\s+([\w.]+?)\.?(?:\{.*)?\s*$"], "lua": [rf"\brequire\s*\(?\s*{Q}"],
-    "c": [r"^\s*#\s*include\s+(\"[^\"]+|<[^>]+)"], "cpp": [r"^\s*#\s*include\s+(\"[^\"]+|<[^>]+)"], "zig": [r'@import\("([^"]+)"\)'], "ruby": [rf"^\s*require(?:_relative)?\s*\(?\s*{Q}"],
+    "c": [r"^\s*#\s*include\s+[\"<]([^\">]+)"], "cpp": [r"^\s*#\s*include\s+[\"<]([^\">]+)"], "zig": [r'@import\("([^"]+)"\)'], "ruby": [rf"^\s*require(?:_relative)?\s*\(?\s*{Q}"],
     "dart": [rf"^\s*(?:import|export|part)\s+{Q}"], "nix": [r"\bimport\s+([./][^\s;)]*)"], "css": [rf"@import\s+(?:url\()?{Q}"], "scss": [rf"@(?:use|import|forward)\s+{Q}"], "bash": [r"^\s*(?:source|\.)\s+(\S+)"],
-    "make": [r"^\s*(?:-include|sinclude|include)\s+(\S+)"], "html": [r"""(?:src|href)\s*=\s*["'](?!http|//)([^"']+)["']"""], "hcl": [r'^\s*source\s*=\s*"(\.[^"]*)"'], "r": [rf"\bsource\(\s*{Q}"],
+    "make": [r"^\s*(?:-include|sinclude|include)\s+([^#\n]+)"], "html": [r"""(?:src|href)\s*=\s*["'](?!http|//)([^"']+)["']"""], "hcl": [r'^\s*source\s*=\s*"(\.[^"]*)"'], "r": [rf"\bsource\(\s*{Q}"],
     "protobuf": [r'^\s*import\s+(?:public\s+|weak\s+)?"([^"]+)"'], "solidity": [r'^\s*import\b[^"]*"([^"]+)"'], "yaml": [r"^\s*-?\s*(?:include_tasks|import_tasks|import_playbook|include_playbook|include)\s*:\s*(\S+\.ya?ml)"],
     "jinja2": [rf"\{{%-?\s*(?:extends|include|import|from)\s+{Q}"],
 }
@@ -38,7 +39,6 @@ RELATIVE = {
 RELATIVE["javascript"] = RELATIVE["typescript"]
 DOTTED = {"java": ".java", "kotlin": ".kt", "scala": ".scala", "lua": ".lua"}
 ALL_MATCHES = ["python", "go", "c", "cpp"]
-PYTHON_STDLIB = "os sys re json time datetime math random collections itertools functools typing pathlib subprocess threading asyncio logging unittest io abc enum dataclasses contextlib copy shutil tempfile hashlib base64 struct socket http urllib csv sqlite3 argparse".split()
 
 
 @cache
@@ -54,20 +54,28 @@ def found_in(language: str, content: str) -> list[str]:
             hits += [(m.start(), k, x.split()[0]) for k, x in enumerate(m[1].split(",")) if x.split()]
     else:
         hits = [(m.start(1), 0, m[1]) for p in _compiled(language) for m in p.finditer(content)]
+        if language == "make":  # one directive may name several files
+            hits = [(at, k, x) for at, _, names in hits for k, x in enumerate(names.split())]
     tidy = [x.strip(" \t\r;,") for *_, x in sorted(hits)]
     return list(dict.fromkeys(x for x in tidy if x and len(x.encode()) <= 256))
 
 
+def in_brackets(spec: str, content: str) -> bool:
+    """Whether all includes of it are in angle brackets."""
+    return not re.search(rf'^\s*#\s*include\s+"{re.escape(spec)}', content, re.M)
+
+
 def specs(files: DataFrame) -> DataFrame:
-    """file_id, path, language, ord, spec: distinct per file, in order. Files are read where they are: no shuffle."""
+    """file_id, path, language, ord, spec, system (an include in angle brackets): distinct per file, in order. Files are
+    read where they are: no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, p, lang, k, x) for f, p, lang, c in zip(b["file_id"], b["path"], b["language"], b["content"]) for k, x in enumerate(found_in(lang, c))]
-            yield pd.DataFrame(rows, columns=["file_id", "path", "language", "ord", "spec"])
+            rows = [(f, p, lang, k, x, lang in ("c", "cpp") and in_brackets(x, c)) for f, p, lang, c in zip(b["file_id"], b["path"], b["language"], b["content"]) for k, x in enumerate(found_in(lang, c))]
+            yield pd.DataFrame(rows, columns=["file_id", "path", "language", "ord", "spec", "system"])
 
     known = files.where(F.col("language").isin("python", *SPECS)).select("file_id", "path", "language", "content")
-    return known.mapInPandas(run, "file_id long, path string, language string, ord int, spec string")
+    return known.mapInPandas(run, "file_id long, path string, language string, ord int, spec string, system boolean")
 
 
 def _join(d: Column, spec: Column) -> Column:
@@ -75,7 +83,7 @@ def _join(d: Column, spec: Column) -> Column:
 
 
 def candidates() -> Column:
-    """Path ends that a specifier may mean, best first. Columns: language, path (the importer's), spec."""
+    """Path ends that a specifier may mean, best first. Columns: language, path (the importer's), spec, system."""
     s, lang, d = F.col("spec"), F.col("language"), paths.dirname(F.col("path"))
     none = F.array().cast("array<string>")
 
@@ -91,12 +99,11 @@ def candidates() -> Column:
     rust_all = F.when(s.rlike(r"^(std|core|alloc)\b"), none).when(~s.contains("::"), F.array(_join(d, F.concat(s, F.lit(".rs"))), _join(d, F.concat(s, F.lit("/mod.rs"))))).otherwise(
         F.concat(shorter(F.concat(F.lit("src/"), rust), [".rs", "/mod.rs"]), F.when(rust.rlike("^[A-Z][^/]*$"), F.array(F.lit("src/lib.rs"))).otherwise(none)))
     python = F.replace(F.regexp_replace(s, r"^\.+", ""), F.lit("."), F.lit("/"))
-    python_all = F.when(F.regexp_extract(s, r"^([^.]*)", 1).isin(PYTHON_STDLIB) | (python == ""), none).otherwise(with_each(python, [".py", "/__init__.py"]))
+    python_all = F.when(F.regexp_extract(s, r"^([^.]*)", 1).isin(K.PYTHON_STDLIB) | (python == ""), none).otherwise(with_each(python, [".py", "/__init__.py"]))
     ts = F.regexp_replace(F.regexp_replace(s, r"^[@~]/", ""), r"\.(js|jsx|mjs|cjs)$", "")
     ts_base = F.when(s.startswith("."), _join(d, ts)).otherwise(ts)
     ts_all = F.when(s.rlike(r"^(\.|@/|~/)"), F.concat(with_each(ts_base, RELATIVE["typescript"]), F.array(F.when(s.startswith("."), _join(d, s)).otherwise(F.regexp_replace(s, r"^[@~]/", ""))))).otherwise(none)
-    include = F.regexp_replace(s, r'^["<]', "")
-    c_all = F.when(s.startswith("<"), none).otherwise(F.array(_join(d, include), include))
+    c_all = F.when(F.col("system"), none).otherwise(F.array(_join(d, s), s))
     out = F.when(lang == "rust", rust_all).when(lang == "python", python_all).when(lang.isin("typescript", "javascript"), ts_all).when(lang.isin("c", "cpp"), c_all)
     for k, ext in DOTTED.items():
         dotted = F.replace(s, F.lit("."), F.lit("/"))
@@ -117,6 +124,7 @@ def edges(files: DataFrame, found: DataFrame | None = None, fallback: bool = Tru
     """(src, dst), distinct, without loops."""
     found = specs(files) if found is None else found
     ends = files.select(F.col("file_id").alias("dst"), F.col("path").alias("target"), F.explode(paths.suffixes(F.col("path"))).alias("end"))
+    found = found if "system" in found.columns else found.withColumn("system", F.lit(False))
     asked = found.select("file_id", "language", "path", "ord", "spec", F.posexplode(candidates()).alias("rank", "end"))
     hits = asked.join(ends, "end")
     first = F.row_number().over(W.partitionBy("file_id", "ord").orderBy("rank", "target"))
@@ -129,6 +137,6 @@ def edges(files: DataFrame, found: DataFrame | None = None, fallback: bool = Tru
     hcl = hcl.join(folder.where(F.col("target").endswith(".tf")), F.col("pkg") == F.col("whole")).groupBy("file_id", "ord").agg(F.min_by("dst", "target").alias("dst"))
     hits = hits.unionByName(go).unionByName(hcl)
     if fallback:
-        rest = found.where(F.octet_length("spec") >= 6).join(hits.select("file_id", "ord"), ["file_id", "ord"], "left_anti").withColumn("end", F.regexp_replace("spec", r'^["<./]+', ""))
+        rest = found.where((F.octet_length("spec") >= 6) & ~F.col("system")).join(hits.select("file_id", "ord"), ["file_id", "ord"], "left_anti").withColumn("end", F.regexp_replace("spec", r'^["<./]+', ""))
         hits = hits.unionByName(rest.join(ends, "end").select("file_id", "ord", "dst"))
     return hits.where("file_id <> dst").select(F.col("file_id").alias("src"), "dst").distinct()
