@@ -16,10 +16,6 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, WORD_SPLIT), lambda w: F.octet_length(w) >= 2)
 
 
-def trigrams(c: Column) -> Column:
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-
-
 def captured(c: Column, most: int = 240) -> Column:
     return F.substring(F.btrim(c, F.lit(" \t\r")), 1, most)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens import constants as K
@@ -12,12 +15,13 @@ from stratalens.functions import paths
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder; where none is set (one machine), in a temporary one."""
+    """Cuts lineage in the shared checkpoint folder; where none is set: on one machine in a temporary one, on a cluster an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/stratalens-{uuid.uuid4().hex}")
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or f"{tempfile.gettempdir()}/stratalens-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
@@ -90,6 +94,21 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "node long, component long")
 
 
+def cycle_groups(edges: DataFrame, files: DataFrame, limit: int | None = 25, names: int = 8) -> DataFrame:
+    """component, size, files (the first few by path), of the largest cycles. files: file_id, path."""
+    own = components(edges).join(files.select(F.col("file_id").alias("node"), "path"), "node")
+    rank = F.row_number().over(W.partitionBy("component").orderBy("path"))
+    own = own.withColumn("rank", rank)
+    out = own.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rank") <= names, F.col("path")))), ",").alias("files"))
+    return out.orderBy(F.desc("size"), "component").limit(limit) if limit else out
+
+
+def coupling_top(metrics: DataFrame, most: int = 15) -> DataFrame:
+    """role, place, path, fan_in, fan_out: of each telling role those with most edges. metrics: as `coupling` gives them."""
+    place = F.row_number().over(W.partitionBy("role").orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "path"))
+    return metrics.where(F.col("role") != "normal").withColumn("place", place).where(F.col("place") <= most).select("role", "place", "path", "fan_in", "fan_out")
+
+
 def _spread(edges: DataFrame, values: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Passes the largest value on along edges from a to b until nothing changes."""
     values = _cut(values)

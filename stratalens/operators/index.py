@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +22,79 @@ def posted(files: DataFrame, most_bytes: int | None) -> DataFrame:
     return files if most_bytes is None else files.where(F.col("byte_size") <= most_bytes)
 
 
+def _trigrams(content: pa.Array, step: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, trigram as 63 bits), distinct: each three characters that stand in one line. About `step` bytes at a time."""
+    size = np.asarray(content.value_lengths().fill_null(0)) if hasattr(content, "value_lengths") else np.array([len(x.as_py() or "") for x in content])
+    run = (np.cumsum(size, dtype=np.int64) - 1).clip(0) // step
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(content)] if len(content) else []
+    for a, b in zip(edges, edges[1:]):
+        texts = [x or "" for x in content[a:b].to_numpy(zero_copy_only=False)]
+        code = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)  # no trigram goes over a line feed
+        row = np.repeat(np.arange(a, b), np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))[: len(code)]
+        line = code != 10
+        at = np.flatnonzero(line[:-2] & line[1:-1] & line[2:]) if len(code) > 2 else np.zeros(0, np.int64)
+        gram = code[at] << np.uint64(42) | code[at + 1] << np.uint64(21) | code[at + 2]
+        row = row[at]
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])) if len(row) else np.zeros(0, bool)
+        yield row[new], gram[new]
+
+
+def _spelled(gram: np.ndarray) -> pa.Array:
+    """The trigrams' text; each distinct one is spelled once."""
+    own, where = np.unique(gram, return_inverse=True)
+    codes = np.stack([own >> np.uint64(42), own >> np.uint64(21) & np.uint64(0x1FFFFF), own & np.uint64(0x1FFFFF)], 1).astype("<u4")
+    every = codes.tobytes().decode("utf-32-le")
+    return pa.array([every[i : i + 3] for i in range(0, len(every), 3)], pa.string()).take(pa.array(where))
+
+
 def trigram_postings(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """(trigram, file_id), one per file. Distinct within each file before any shuffle, as a file is one row."""
-    per = F.flatten(F.transform(F.split("content", "\n"), text.trigrams))
-    return posted(files, most_bytes).select("file_id", F.explode(F.array_distinct(per)).alias("trigram"))
+    """(file_id, trigram), one per file. Distinct within each file before any shuffle, as a file is one row."""
+    rows = posted(files, most_bytes).select("file_id", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, gram in _trigrams(b.column("content")):
+                for i in range(0, len(row), 200_000):
+                    yield pa.RecordBatch.from_arrays([b.column("file_id").take(pa.array(row[i : i + 200_000])), _spelled(gram[i : i + 200_000])], ["file_id", "trigram"])
+
+    return rows.mapInArrow(run, f"file_id {dict(rows.dtypes)['file_id']}, trigram string")
+
+
+def trigram_sizes(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """(trigram, files): how many files hold it. Counted where the texts are read; only counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, gram in _trigrams(b.column("content")):
+                own, n = np.unique(gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_spelled(own), pa.array(n)], ["trigram", "files"])
+
+    return posted(files, most_bytes).select("content").mapInArrow(run, "trigram string, files long").groupBy("trigram").agg(F.sum("files").alias("files"))
+
+
+BUCKETS = 256
+
+
+def save_postings(postings: DataFrame, path: str) -> None:
+    """Writes postings (trigram or word, file_id) by buckets of the term, so that a search reads a few folders only."""
+    term = next(c for c in postings.columns if c != "file_id")
+    postings.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def of_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms; of saved ones only their buckets are read."""
+    term = next(c for c in postings.columns if c not in ("file_id", "bucket"))
+    out = postings.where(F.col(term).isin(terms))
+    if "bucket" in postings.columns and terms:
+        own = postings.sparkSession.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)) for t in terms])).alias("b"))
+        out = out.where(F.col("bucket").isin(sorted({int(r["b"]) for r in own.collect()})))  # as many as terms asked for
+    return out
 
 
 def word_postings(files: DataFrame, most_bytes: int | None = None) -> DataFrame:

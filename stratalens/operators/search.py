@@ -33,7 +33,7 @@ def candidates(files: DataFrame, query: str, postings: DataFrame | None = None)
     if postings is None:  # without an index the same test is made on the texts, which costs less than making one
         held = [F.col("content").contains(g) for g in grams if "\n" not in g]
         return files.where(F.lit(len(held) == len(grams)) & ~paths.any_of([~h for h in held])).select("file_id")
-    return postings.where(F.col("trigram").isin(grams)).groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("file_id")
+    return index.of_terms(postings, grams).groupBy("file_id").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("file_id")
 
 
 def scoped(hits: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def search(files: DataFrame, query: str, symbols: DataFrame | None = None, limit
     """Lines that contain the query, by path and line; queries under three bytes find nothing. most_bytes: the postings'."""
     if len(query.encode()) < 3:
         return index.lines(files.limit(0)).select("path", "line_no", "line", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("scope_kind"))
-    if postings is None:  # the trigram test is implied by the verification
+    if postings is None or len(query) < 3:  # the trigram test is implied by the verification; two characters have none
         found = files.where(F.col("content").contains(query))
     else:
         found = beside(files, candidates(files, query, postings), most_bytes).where(F.col("content").contains(query))
@@ -63,7 +63,7 @@ def find_word(files: DataFrame, word: str, limit: int | None = 50, postings: Dat
     if postings is None:
         found = files.where(F.col("content").contains(word))
     else:
-        found = beside(files, postings.where(F.col("word") == word).select("file_id"), most_bytes)
+        found = beside(files, index.of_terms(postings, [word]).select("file_id"), most_bytes)
     out = index.lines(found).where(F.array_contains(text.words(F.col("line")), word)).select("path", "line_no", "line")
     return out.orderBy("path", "line_no").limit(limit) if limit else out
 
@@ -107,8 +107,8 @@ REEXPORT_STARTS = ["pub use ", "pub(crate) use ", "export "]
 
 def find_callers(files: DataFrame, symbols: DataFrame, name: str, limit: int | None = 100) -> DataFrame:
     """Lines that use a name outside its definitions, with what kind of use the first telling occurrence is."""
-    posted = index.word_postings(files).where(F.col("word") == name).select("file_id")
-    lines = index.lines(files.join(posted, "file_id", "left_semi")).where(F.col("line").contains(name))
+    # a file where the name is no word of its own has no line that passes the test of whole words below
+    lines = index.lines(files.where(F.col("content").contains(name))).where(F.col("line").contains(name))
     own = symbols.where(F.col("name") == name).select(F.col("file_id").alias("df"), "line_start", "line_end")
     lines = lines.join(own, (F.col("file_id") == F.col("df")) & F.col("line_no").between(F.col("line_start"), F.col("line_end")), "left_anti")
     t = F.ltrim(F.col("line"), F.lit(" \t"))

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens import constants as K
+
 # language: (pattern with the name as its only group, kind)
 _ID = r"([A-Za-z_$][\w$]*)"
 _C = [(rf"^\s*(?:typedef\s+)?struct\s+{_ID}\s*\{{?", "struct"), (rf"^\s*enum\s+{_ID}", "enum"), (rf"^\s*union\s+{_ID}", "union"), (rf"^#define\s+{_ID}", "macro"), (rf"^[A-Za-z_][\w\s*]*?\b{_ID}\s*\([^;]*\)\s*\{{", "function")]
@@ -101,6 +103,16 @@ def extract(files: DataFrame) -> DataFrame:
     return out.select("file_id", "path", "language", ord_.alias("ord"), "name", "kind", "line_start", "line_end", F.lit(None).cast("string").alias("detail"))
 
 
+def tag_kind(tag: Column) -> Column:
+    """The kind that a tag of a grammar's query stands for; `unknown` if none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in K.TAG_KINDS.items() for x in kv]), tag), F.lit("unknown"))
+
+
+def unquoted(name: Column) -> Column:
+    """A captured name without the one pair of double quotes round it."""
+    return F.regexp_replace(name, r'^"(.*)"$', "$1")
+
+
 def without_locals(symbols: DataFrame) -> DataFrame:
     """Drops constants and variables inside a function's body, unless they hold a symbol of another kind."""
     s = symbols.alias("s")

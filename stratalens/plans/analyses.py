@@ -210,20 +210,21 @@ def literals(files: DataFrame) -> DataFrame:
     lines = index.lines(f).where((line != "") & (F.octet_length("line") <= 2000))
     t = F.ltrim(line, F.lit(" \t"))
     comment = t.startswith("//") | t.startswith("/*") | t.startswith("*") | (t.startswith("#") & F.col("language").isin("python", "bash", "toml", "yaml"))
-    url = None
-    for s in K.SCHEMES:
-        one = F.regexp_extract("line", rf"(?:^|[^A-Za-z0-9_-])({s}://{_URL_END})", 1)
-        url = F.when(one != "", one) if url is None else url.when(one != "", one)
+    # each costly test only where a plain one doesn't rule it out, and once: the columns are used more than once below
+    first = [F.regexp_extract("line", rf"(?:^|[^A-Za-z0-9_-])({s}://{_URL_END})", 1) for s in K.SCHEMES]
+    url = F.when(line.contains("://"), F.coalesce(*[F.when(line.contains(f"{s}://"), F.nullif(x, F.lit(""))) for s, x in zip(K.SCHEMES, first)]))
     octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|0?[0-9]?[0-9])"
-    ip = F.regexp_extract("line", rf"(?:^|[^A-Za-z0-9.])({octet}\.{octet}\.{octet}\.{octet})(?:$|[^A-Za-z0-9.])", 1)
+    ip = F.when(line.rlike(r"\d\.\d{1,3}\.\d"), F.regexp_extract("line", rf"(?:^|[^A-Za-z0-9.])({octet}\.{octet}\.{octet}\.{octet})(?:$|[^A-Za-z0-9.])", 1)).otherwise("")
     bodies = F.concat(F.regexp_extract_all("line", F.lit(r'"([A-Za-z0-9_+/=-]{24,})"'), F.lit(1)), F.regexp_extract_all("line", F.lit(r"'([A-Za-z0-9_+/=-]{24,})'"), F.lit(1)))
-    secret = F.try_element_at(F.filter(bodies, lambda b: (F.length(b) >= 40) | (b.rlike("[A-Z].*[A-Z]") & b.rlike("[0-9].*[0-9]"))), F.lit(1))
+    secret = F.when((line.contains('"') | line.contains("'")) & (F.octet_length("line") >= 26), F.try_element_at(F.filter(bodies, lambda b: (F.length(b) >= 40) | (b.rlike("[A-Z].*[A-Z]") & b.rlike("[0-9].*[0-9]"))), F.lit(1)))
     abs_path, port = None, None
     for x in K.ABS_PATHS:
         abs_path = F.when(line.contains(x), x) if abs_path is None else abs_path.when(line.contains(x), x)
     for x in K.MAGIC_PORTS:
         port = F.when(line.contains(":" + x), ":" + x) if port is None else port.when(line.contains(":" + x), ":" + x)
-    todo = F.regexp_extract("line", r"(?:^|[^A-Za-z0-9_])(TODO|FIXME|XXX|HACK|BUG:)", 1)
+    todo = F.when(contains_any(line, ["TODO", "FIXME", "XXX", "HACK", "BUG:"]), F.regexp_extract("line", r"(?:^|[^A-Za-z0-9_])(TODO|FIXME|XXX|HACK|BUG:)", 1)).otherwise("")
+    lines = lines.select("path", "line_no", "line", comment.alias("comment"), url.alias("url"), ip.alias("ip"), secret.alias("secret"), todo.alias("todo"))
+    comment, url, ip, secret, todo = (F.col(c) for c in ("comment", "url", "ip", "secret", "todo"))
     local = lambda v: v.contains("localhost") | v.contains("127.0.0.1") | v.contains("0.0.0.0")
     s = lambda category, v: F.struct(category.alias("category"), v.alias("value"))
     rules = [
@@ -235,11 +236,20 @@ def literals(files: DataFrame) -> DataFrame:
     return _findings(lines, rules).select(path.alias("file"), F.col("line_no").alias("line"), "hit.category", "hit.value")
 
 
+def smallest(rows: DataFrame, keys: list[str], column: str, n: int) -> DataFrame:
+    """keys, first: the n smallest values, sorted. Rows beyond them go before they meet, so no group is held whole."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(column))
+    kept = rows.withColumn("rank", rank).where(F.col("rank") <= n)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("first"))
+
+
 def duplication(symbols: DataFrame) -> DataFrame:
     """name, kind, count, files: names defined in two files and more."""
     s = symbols.where(F.col("kind").isin(K.DUPLICATE_KINDS) & ~F.col("language").isin(K.DUPLICATE_SKIP_LANGUAGES) & (F.octet_length("name") > 3) & ~F.col("name").isin(K.DUPLICATE_SKIP_NAMES))
-    g = s.groupBy("name").agg(F.count_distinct("path").alias("count"), F.min_by("kind", F.struct("path", "ord")).alias("kind"), F.array_sort(F.collect_set("path")).alias("paths"))
-    return g.where("count >= 2").select("name", "kind", "count", F.array_join(F.slice("paths", 1, 8), ",").alias("files"))
+    per = s.groupBy("name", "path").agg(F.min_by("kind", "ord").alias("kind"))
+    g = per.groupBy("name").agg(F.count("*").alias("count"), F.min_by("kind", "path").alias("kind"))
+    first = smallest(per.select("name", "path"), ["name"], "path", 8)
+    return g.where("count >= 2").join(first, "name").select("name", "kind", "count", F.array_join("first", ",").alias("files"))
 
 
 def clones(files: DataFrame, symbols: DataFrame, least: int = K.CLONE_LINES) -> DataFrame:
@@ -249,8 +259,9 @@ def clones(files: DataFrame, symbols: DataFrame, least: int = K.CLONE_LINES) ->
     tidy = F.transform(parts, lambda x: F.regexp_replace(F.btrim(x, F.lit(" \t\r")), "[ \t]+", " "))
     kept = F.filter(tidy, lambda x: (x != "") & ~any_of([x.startswith(c) for c in K.CLONE_COMMENT]))
     body = files.select(F.col("file_id"), "content").join(s, "file_id").withColumn("kept", kept).where(F.size("kept") >= least)
-    g = body.withColumn("body", F.sha2(F.array_join("kept", "\n"), 256)).groupBy("body").agg(F.count("*").alias("count"), F.min(F.size("kept")).alias("lines"), F.array_sort(F.collect_list(F.concat_ws(":", "path", "name"))).alias("who"))
-    return g.where("count >= 2").select("lines", "count", F.array_join(F.slice("who", 1, 8), ",").alias("functions"))
+    body = body.select(F.sha2(F.array_join("kept", "\n"), 256).alias("body"), F.size("kept").alias("size"), F.concat_ws(":", "path", "name").alias("who"))
+    g = body.groupBy("body").agg(F.count("*").alias("count"), F.min("size").alias("lines")).where("count >= 2")
+    return g.join(smallest(body.select("body", "who"), ["body"], "who", 8), "body").select("lines", "count", F.array_join("first", ",").alias("functions"))
 
 
 def complexity(files: DataFrame) -> DataFrame:
@@ -322,18 +333,55 @@ def plan_symbol(files: DataFrame, symbols: DataFrame, edges: DataFrame, name: st
     return a.crossJoin(b).join(role, F.lit(True), "left")
 
 
+def literal_counts(files: DataFrame) -> DataFrame:
+    """file, urls, localhosts, magic_ports, abs_paths, todos: in how many lines of the file each kind occurs."""
+    line, t = F.col("line"), F.btrim("line", F.lit(" \t\r"))
+    lines = index.lines(files).where((t != "") & (F.octet_length("line") <= 2000))
+    url, local = contains_any(line, ["http://", "https://"]), contains_any(line, ["localhost", "127.0.0.1", "0.0.0.0"])
+    kinds = {"urls": url & ~local, "localhosts": url & local, "magic_ports": contains_any(line, [f":{p}" for p in K.PLAN_PORTS]), "abs_paths": contains_any(line, K.PLAN_PATHS), "todos": contains_any(t, ["TODO", "FIXME", "XXX"])}
+    found = lines.groupBy("path").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    return files.select("path").join(found, "path", "left").select(F.col("path").alias("file"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in kinds])
+
+
+def plan_file(files: DataFrame, symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """One row: what a change of a file touches, and the literals in it."""
+    from stratalens.operators import search
+
+    f = search.resolve_path(files, path)
+    node = f.select(F.col("file_id").alias("node"))
+    impact = graph.change_impact(edges, node)
+    role = graph.coupling(files.select(F.col("file_id").alias("node"), "path"), edges).join(node, "node", "left_semi").select(F.col("path").alias("file"), "fan_in", "fan_out", "role")
+    defs = symbols.join(f.select("file_id"), "file_id", "left_semi").agg(F.count("*").alias("definitions"))
+    reach = impact.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("transitive"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    return role.join(literal_counts(f), "file").crossJoin(defs).crossJoin(reach)  # single rows
+
+
+def plan_change(files: DataFrame, symbols: DataFrame, edges: DataFrame, target: str) -> DataFrame:
+    """The plan for a file if the target is a path of one, else for a symbol."""
+    if files.where((F.col("path") == target) | F.col("path").endswith("/" + target)).limit(1).count():
+        return plan_file(files, symbols, edges, target)
+    return plan_symbol(files, symbols, edges, target)
+
+
 def caller_groups(callers: DataFrame, samples: int = 3) -> DataFrame:
     """Callers by file, most first, with their first lines."""
-    first = F.slice(F.array_sort(F.collect_list("line_no")), 1, samples)
-    return callers.groupBy("path").agg(F.count("*").alias("count"), first.alias("lines")).orderBy(F.desc("count"), "path")
+    first = smallest(callers.select("path", "line_no"), ["path"], "line_no", samples)
+    return callers.groupBy("path").agg(F.count("*").alias("count")).join(first, "path").select("path", "count", F.col("first").alias("lines")).orderBy(F.desc("count"), "path")
+
 
+ANALYSES = {f.__name__: f for f in (security, dead_code, unwrap_audit, test_coverage, architecture, crossref, type_drift, db_schema, migration_parity, manifests, literals, duplication, clones, complexity, health)}
+ANALYSES["coupling"] = lambda files, edges: graph.coupling(files.select(F.col("file_id").alias("node"), "path"), edges)
+ANALYSES["cycles"] = lambda files, edges: graph.cycle_groups(edges, files)
+ANALYSES["literal_scan"] = literals
 
-ANALYSES = {f.__name__: f for f in (security, dead_code, unwrap_audit, test_coverage, architecture, crossref, type_drift, db_schema, migration_parity, manifests, literals, duplication, clones, health)}
 
 
 def analyze(name: str, **tables: DataFrame) -> DataFrame:
     """Runs an analysis by name on those of files, symbols and edges that it takes."""
     import inspect
 
+    if name not in ANALYSES:
+        raise ValueError(f"no such analysis: {name}")
+
     f = ANALYSES[name]
     return f(**{k: v for k, v in tables.items() if k in inspect.signature(f).parameters})
