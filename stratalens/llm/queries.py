@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_top_k": vafile.OP4_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
 }

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -556,5 +557,16 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
         assert some.columns[0] == "doc_id"
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, D), con.sql(queries.ORACLE_SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(tuple(dict(zip(want.columns, x))[c] for c in cols) for x in want.fetchall())
+
+
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 11))
