@@ -7,6 +7,7 @@ standard library's parser (`python_symbols`).
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -61,28 +62,48 @@ _ENDED = ["ruby", "lua", "elixir"]
 def declared(language: str, content: str) -> list[tuple[str, str, int, int]]:
     """(name, kind, first line, last line) of each declaration; of several patterns on one line the first counts."""
     lines = content.split("\n")
-    depth, level, indent = [0], 0, []
+    hits = [next(((m[1], kind) for p, kind in _compiled(language) if (m := p.search(x))), None) for x in lines]
+    if not any(hits):
+        return []
+    n, braces, indent = len(lines), [0], []
     for x in lines:
-        level += x.count("{") - x.count("}")
-        depth.append(level)
+        braces.append(braces[-1] + x.count("{") - x.count("}"))
         indent.append(len(x) - len(x.lstrip()) if x.strip() else -1)
-    out = []
+    closed = _next_not_above(braces)  # where the depth of braces is back at what it was before the line
+    filled = [i for i in range(n) if indent[i] >= 0]
+    dedent = dict(zip(filled, (filled[k] if k < len(filled) else n for k in _next_not_above([indent[i] for i in filled]))))
+    place = {i: k for k, i in enumerate(filled)}
+    ends: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
-        hit = next(((m[1], kind) for p, kind in _compiled(language) if (m := p.search(x))), None)
+        if x.strip() == "end":
+            ends.setdefault(indent[i], []).append(i)
+    out = []
+    for i, hit in enumerate(hits):
         if hit is None:
             continue
-        after = range(i + 1, len(lines))
         if language in _INDENTED and hit[1] in ("function", "method", "class"):
-            stop = next((j for j in after if 0 <= indent[j] <= indent[i]), len(lines))
-            end = max((j for j in range(i, stop) if indent[j] >= 0), default=i)
+            stop = dedent.get(i, n)
+            end = filled[(place[stop] if stop < n else len(filled)) - 1]
         elif language in _ENDED:
-            end = next((j for j in after if lines[j].strip() == "end" and indent[j] == indent[i]), i)
+            own = ends.get(indent[i], [])
+            k = bisect.bisect_right(own, i)
+            end = own[k] if k < len(own) else i
         else:
-            end = next((j for j in after if depth[j + 1] <= depth[i]), i) if depth[i + 1] > depth[i] else i
+            end = closed[i] - 1 if braces[i + 1] > braces[i] and closed[i] <= n else i
         out.append((*hit, i + 1, end + 1))
     return out
 
 
+def _next_not_above(values: list[int]) -> list[int]:
+    """For each place the next one with a value that is not larger; the length if there is none. One pass with a stack."""
+    out, open_ = [len(values)] * len(values), []
+    for i, v in enumerate(values):
+        while open_ and v <= values[open_[-1]]:
+            out[open_.pop()] = i
+        open_.append(i)
+    return out
+
+
 @cache
 def _compiled(language: str) -> list[tuple[re.Pattern, str]]:
     return [(re.compile(p), k) for p, k in PATTERNS.get(language, [])]
