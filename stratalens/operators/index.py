@@ -131,7 +131,26 @@ def splice(content: DataFrame, start: int, end: int, new: str) -> DataFrame:
     return content.withColumn("before_hash", F.xxhash64("content")).withColumn("content", out).withColumn("after_hash", F.xxhash64("content"))
 
 
+def running(rows: DataFrame, order: list[str], number: str, sums: dict[str, str]) -> DataFrame:
+    """Adds the row's number in the order (from 1) and running sums: {new column: column}. Rows are dealt by ranges of
+    the order; each range counts by itself and starts at what the ranges before it hold. No task sees all rows."""
+    from stratalens.operators.graph import _cut
+
+    part = _cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))  # written, as ranges are drawn anew each time
+    per = part.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()]).orderBy("__part")
+    names, before, offsets = ["__n", *[f"__{n}" for n in sums]], None, []
+    for r in per.toLocalIterator():  # one row per partition
+        before = before or [0] * len(names)
+        offsets.append((r["__part"], *before))
+        before = [a + (r[c] or 0) for a, c in zip(before, names)]
+    offset = rows.sparkSession.createDataFrame(offsets, ", ".join(["__p int", *[f"{c} long" for c in names]]))
+    w = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = part.join(F.broadcast(offset), F.col("__part") == F.col("__p"))  # as many rows as partitions
+    added = [(F.count("*").over(w) + F.col("__n")).alias(number), *[(F.sum(c).over(w) + F.col(f"__{n}")).alias(n) for n, c in sums.items()]]
+    return out.select(*[c for c in rows.columns if c not in (number, *sums)], *added)
+
+
 def numbered_changes(events: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "deleted").otherwise("modified")
-    seq = F.row_number().over(W.orderBy("ts", "event_id"))
-    return events.select(seq.cast("long").alias("seq"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), op.alias("op"), "ts")
+    rows = events.select("ts", "event_id", F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), op.alias("op"))
+    return running(rows, ["ts", "event_id"], "seq", {}).select("seq", "path", "op", "ts")

@@ -53,14 +53,14 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, ",".join(p)) for n, (p, _) in TOOLS.items()], "name string, parameters string")
 
 
-def call(tables: dict[str, DataFrame], name: str, **arguments) -> DataFrame:
+def call(tables: dict[str, DataFrame], tool: str, /, **arguments) -> DataFrame:
     """A tool's answer; an unknown tool or argument is an error."""
-    if name not in TOOLS:
-        raise ValueError(f"no such tool: {name}")
-    known, tool = TOOLS[name]
+    if tool not in TOOLS:
+        raise ValueError(f"no such tool: {tool}")
+    known, run = TOOLS[tool]
     if extra := set(arguments) - set(known):
-        raise ValueError(f"{name} takes no {', '.join(sorted(extra))}")
-    return tool(tables, **arguments)
+        raise ValueError(f"{tool} takes no {', '.join(sorted(extra))}")
+    return run(tables, **arguments)
 
 
 def answer(tables: dict[str, DataFrame], request: dict) -> dict:

@@ -151,10 +151,7 @@ def gitignore_filter(spark, d):
 
 @query("SELECT doc_id, running_files > 500 OR running_bytes > 1000000 AS capped FROM (SELECT doc_id, row_number() OVER w AS running_files, sum(strlen(coalesce(text, ''))) OVER w AS running_bytes FROM documents WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))")
 def scan_caps(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("file_id").rowsBetween(W.unboundedPreceding, 0)
-    f = corpus.documents(spark, d).select("file_id", "byte_size").withColumn("n", F.count("*").over(w)).withColumn("b", F.sum("byte_size").over(w))
+    f = index.running(corpus.documents(spark, d).select("file_id", "byte_size"), ["file_id"], "n", {"b": "byte_size"})
     return f.select(F.col("file_id").alias("doc_id"), ((F.col("n") > 500) | (F.col("b") > 1_000_000)).alias("capped"))
 
 
@@ -451,7 +448,20 @@ def crossref(spark, d):
     return analyses.crossref(mini(spark))
 
 
-@query("SELECT * FROM (VALUES ('missing', 'Invoice', 'paid', 'src/billing.rs', 'web/client.ts', 'bool', NULL), ('mismatch', 'Invoice', 'id', 'src/billing.rs', 'web/client.ts', 'i64', 'string')) v(issue, type, field, from_path, to_path, from_type, to_type)")
+_FIELDS = [
+    f"b AS (SELECT s.name AS type, s.language, s.path, s.file_id, s.line_start AS beg, l.line_no, trim(l.line, {TRIM}) AS t FROM symbols s JOIN lines l ON l.file_id = s.file_id AND l.line_no > s.line_start AND l.line_no < s.line_end + CASE s.language WHEN 'python' THEN 1 ELSE 0 END WHERE s.kind IN ('struct', 'class', 'interface') AND s.language IN ('rust', 'typescript', 'go', 'python'))",
+    "c AS (SELECT *, strpos(t, ':') AS colon, regexp_split_to_array(t, '\\s+') AS words FROM b WHERE t <> '' AND NOT regexp_matches(t, '^(//|#|/\\*|\\*|pub fn|fn |func |def |async |impl|@|\\{|\\})'))",
+    "h AS (SELECT *, CASE WHEN colon > 0 THEN regexp_replace(substr(t, 1, colon - 1), '^(pub\\(crate\\) |pub |readonly |private |public |protected )+', '') END AS lft, CASE WHEN colon > 0 THEN substr(t, colon + 1) END AS rgt FROM c)",
+    "n AS (SELECT *, CASE WHEN language = 'go' THEN CASE WHEN len(words) >= 2 AND words[1] NOT IN ('type', 'func', 'var', 'const') THEN words[1] END WHEN NOT contains(lft, '(') THEN trim(lft, ' ?' || chr(9)) END AS field, "
+    "CASE language WHEN 'go' THEN words[2] WHEN 'python' THEN trim(regexp_replace(rgt, '=.*$', ''), ' ,;' || chr(9)) ELSE trim(rgt, ' ,;' || chr(9)) END AS kind FROM h)",
+    "f AS (SELECT type, language, path, file_id, beg, field, arg_min(kind, line_no) AS kind FROM n WHERE field <> '' AND strlen(field) <= 64 GROUP BY ALL), o AS (SELECT DISTINCT type, language, path, file_id, beg FROM f)",
+    "p AS (SELECT a.type, a.path AS from_path, b.path AS to_path, a.file_id AS af, a.beg AS aa, b.file_id AS bf, b.beg AS ba FROM o a JOIN o b ON a.type = b.type AND a.language <> b.language AND (a.file_id, a.beg) < (b.file_id, b.beg))",
+    "j AS (SELECT p.type, x.field, from_path, to_path, x.kind AS from_type, y.kind AS to_type FROM p JOIN f x ON x.file_id = af AND x.beg = aa LEFT JOIN f y ON y.file_id = bf AND y.beg = ba AND y.field = x.field)",
+]
+_ALIKE = "from_type = to_type OR " + " OR ".join(f"(starts_with(from_type, {q(x)}) AND starts_with(to_type, {q(y)})) OR (starts_with(from_type, {q(y)}) AND starts_with(to_type, {q(x)}))" for x, y in K.TYPE_PAIRS)
+
+
+@query(with_(MINI, LINES, SYMS, *_FIELDS) + f"SELECT CASE WHEN to_type IS NULL THEN 'missing' ELSE 'mismatch' END AS issue, type, field, from_path, to_path, from_type, to_type FROM j WHERE to_type IS NULL OR NOT ({_ALIKE})")
 def type_drift(spark, d):
     f, s = _code(spark)
     return analyses.type_drift(f, s)

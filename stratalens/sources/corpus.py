@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens import constants as K
 from stratalens.functions import paths
+from stratalens.operators import index
 
 
 def files(rows: DataFrame, path: Column, content: Column, file_id: Column, language: Column | None = None) -> DataFrame:
@@ -36,8 +36,7 @@ def directory(spark: SparkSession, root: str, patterns: list[str] = (), max_file
     rel = F.regexp_replace(F.regexp_extract("path", r"^(?:file:)?/*(/.*)$", 1), "^" + root.rstrip("/") + "/", "")
     rows = raw.withColumn("rel", rel).where(~paths.ignored(F.col("rel"), patterns) & (paths.language(F.col("rel")) != "unknown") & (F.col("length") <= max_file))
     # caps need a running sum in one order: over names and sizes alone, not contents
-    order = W.orderBy("rel").rowsBetween(W.unboundedPreceding, 0)
-    listing = rows.select("rel", "modificationTime", "length").withColumn("n", F.count("*").over(order)).withColumn("bytes", F.sum("length").over(order))
+    listing = index.running(rows.select("rel", "modificationTime", "length"), ["rel"], "n", {"bytes": "length"})
     listing = listing.select(F.col("rel").alias("path"), F.col("modificationTime").alias("mtime"), "length", ((F.col("n") > max_files) | (F.col("bytes") > max_bytes)).alias("capped"), F.col("n").alias("file_id"))
     kept = listing.where("NOT capped").select(F.col("path").alias("p"), "file_id", "mtime")
     rows = rows.join(kept, F.col("rel") == F.col("p"))

@@ -45,7 +45,7 @@ def test_findings_tables_and_page(spark, tmp_path):
 
 def test_tools(spark, tables, tmp_path):
     assert tools.catalogue(spark).count() == 16
-    ask = lambda name, **a: tools.answer(tables, {"id": 7, "method": "tools/call", "params": {"name": name, "arguments": a}})
+    ask = lambda tool, /, **a: tools.answer(tables, {"id": 7, "method": "tools/call", "params": {"name": tool, "arguments": a}})
     got = [json.loads(x) for x in ask("find_symbol", name="charge")["result"]["content"]]
     assert got and all("charge" in x["name"] for x in got)
     src = tables["edges"].join(tables["files"], F.col("dst") == F.col("file_id")).orderBy("src", "dst").first()
