@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,32 @@ def test_cycle_and_impact(spark):
     assert "graph LR" in graph.mermaid(spark.createDataFrame([("a", "b", 2)], "from_pkg string, to_pkg string, weight long"))
 
 
+def test_components_of_a_deep_graph(spark, monkeypatch):
+    cuts, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    path = spark.range(80).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    back = spark.createDataFrame([(90, 80), (80, 90), (7, 7)], "src long, dst long")
+    assert graph.components(path).count() == 0 and len(cuts) < 5  # not a round for each node of a path
+    assert sorted(tuple(r) for r in graph.components(path.union(back)).collect()) == [(80, 80), (90, 80)]
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    rng = np.random.default_rng(6)
+    e = [tuple(x) for x in rng.integers(0, 60, (75, 2)).tolist()] + [(100, 101), (101, 102), (102, 100), (102, 103)]
+    e += [(200, 300 + k) for k in range(700)] + [(300 + k, 200) for k in range(0, 700, 3)]  # a node with very many edges
+    edges = spark.createDataFrame(e, "src long, dst long")
+    reach = {a: {b for x, b in e if x == a} for a, _ in e}
+    while True:
+        new = {a: x.union(*(reach.get(b, set()) for b in x)) for a, x in reach.items()}
+        if new == reach:
+            break
+        reach = new
+    same = {a: [b for b in x if a in reach.get(b, ())] for a, x in reach.items()}
+    want = sorted((a, min(x)) for a, x in same.items() if len(x) > 1)
+    assert sorted(tuple(r) for r in graph.components(edges).collect()) == want
+    assert sorted(tuple(r) for r in graph.components(edges, room=2000).collect()) == want
+
+
 @pytest.mark.parametrize("cmd,want", [
     ("grep -rn requireRemote packages/", ("ident", "requireRemote")), ("git grep requireRemote", ("ident", "requireRemote")), ("A=/tmp grep -rn find_symbol .", ("ident", "find_symbol")), ("grep -c name a.ts", ("none", "")),
     ("grep -rn name . | wc -l", ("none", "")), ("grep -rn ERROR /var/log/syslog", ("none", "")), ("cat src/a.ts", ("file", "src/a.ts")), ("sed -n '1,20p' README.md", ("none", "")), ("git status", ("none", "")), (None, ("none", "")), ("grep 'open", ("none", "")),
