@@ -13,8 +13,9 @@ local component, not all pairs; components over these links are the result.
 Such texts differ in about 10 of 64 bits, too many for blocks that miss none at a price that grows with the rows. There
 fingerprints have 128 bits, the routes are random bit masks (as many as bring a pair at the limit together with the
 probability `recall`), the same index searches each group within the bits that the similarity allows, and the true
-similarity of each pair found is computed from the texts before it counts. A member of a group asks for its nearest and
-its first neighbour, not for all, so that a large cluster gives a star and not all its pairs.
+similarity of each pair found is computed from the texts before it counts. First a member of a group asks for its nearest
+and its first neighbour, which in a large cluster gives a star and not all its pairs; then, with the components that these
+links make, for all others that its component lacks. So each pair in a group is either compared or connected already.
 
 Null texts and texts without words have fingerprint 0, linked like any other. Null ids get fingerprints and components,
 but never name one, unless a component has no other. Repeated rows get equal answers. Extra columns are not read.
@@ -102,14 +103,14 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, p: SimHashParams | SimilarParams) -> DataFrame:
     """docs: id, t and, where they have them, file and row. t becomes fp, the 64 bits as a signed long; for SimilarParams
-    fp and fp2, 128 bits of the set of shingles, the second half out of the hashes mixed once more."""
-    rest, fps = [c for c in docs.columns if c != "t"], ["fp", "fp2"] if isinstance(p, SimilarParams) else ["fp"]
+    fp and fp2, 128 bits of the set of shingles, the second half out of the hashes mixed once more, and the set's size."""
+    rest, fps = [c for c in docs.columns if c != "t"], ["fp", "fp2", "size"] if isinstance(p, SimilarParams) else ["fp"]
 
     def bits(text: bytes) -> tuple[int, ...]:
         if len(fps) == 1:
             return (fingerprint(text, p.shingle),)
         h = shingle_set(text, p.shingle)
-        return _bits_over_half([h]), _bits_over_half([mix(h + np.uint64(p.seed))])
+        return _bits_over_half([h]), _bits_over_half([mix(h + np.uint64(p.seed))]), len(h)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,68 +200,105 @@ def local_links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[member], fps[label[member]]
 
 
+def _by_gray_rank(rows: np.ndarray) -> np.ndarray:
+    rank = rows[:, 0].copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    return rows[np.lexsort((rows[:, 1], rank))]
+
+
 def near_links(p: SimilarParams):
-    """For a group's 128-bit fingerprints (n, 2): (member, other) with each member's nearest and first neighbour."""
+    """For a group's 128-bit fingerprints (n, 2): (member, other) with each member's nearest and first neighbour. `other_links` has the rest."""
     one, both = p.bits(64), p.bits(128)
 
-    def find(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank = fps[:, 0].copy()
-        for k in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(k)
-        fps = fps[np.lexsort((fps[:, 1], rank))]
-        index, pairs = GrayIndex(np.ascontiguousarray(fps[:, 0])), []
-        for at in range(0, len(fps), 512):
-            i, j = index.near(fps[at : at + 512, 0], one)
+    def find(fps: np.ndarray, _: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fps = _by_gray_rank(fps)
+        index, step = GrayIndex(np.ascontiguousarray(fps[:, 0])), max(16, min(512, 1_000_000 // len(fps)))
+        for at in range(0, len(fps), step):
+            i, j = index.near(fps[at : at + step, 0], one)
             i, d = i + at, np.bitwise_count(fps[i + at] ^ fps[j]).sum(1)
             ok = (d <= both) & (i != j)
             i, j, d = i[ok], j[ok], d[ok]
+            pairs = []
             for order in (np.lexsort((j, d, i)), np.lexsort((j, i))):
                 first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
                 pairs.append(np.stack([i[first], j[first]], 1))
-        pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-        return fps[pairs[:, 0]], fps[pairs[:, 1]]
+            pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+            yield fps[pairs[:, 0]], fps[pairs[:, 1]]
+
+    return find
+
+
+def other_links(p: SimilarParams, masks: list[int]):
+    """For a group's rows (fingerprint, two words; component, two words; size of the set): all (member, other) of two
+    components within the bits, whose sizes allow the similarity, unless an earlier mask brings them together, too."""
+    one, both = p.bits(64), p.bits(128)
+    words = np.array([[m & (1 << 64) - 1, m >> 64] for m in masks], np.uint64)
+
+    def find(rows: np.ndarray, route: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = _by_gray_rank(rows)
+        _, own, members = np.unique(rows[:, 2:4], axis=0, return_inverse=True, return_counts=True)
+        if len(members) == 1:
+            return
+        fps, size, own = np.ascontiguousarray(rows[:, :2]), rows[:, 4].astype(np.float64), own.reshape(-1)
+        asked = np.flatnonzero(own != members.argmax())  # of each pair one at least is outside the largest component
+        index, step = GrayIndex(np.ascontiguousarray(fps[:, 0])), max(16, min(512, 1_000_000 // len(fps)))
+        for at in range(0, len(asked), step):
+            i, j = index.near(fps[asked[at : at + step], 0], one)
+            i = asked[at : at + step][i]
+            ok = (own[i] != own[j]) & (np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1) >= p.similarity)
+            i, j = i[ok], j[ok]
+            x = fps[i] ^ fps[j]
+            ok = np.bitwise_count(x).sum(1) <= both
+            for word in words[:route]:
+                ok &= (x & word).any(1)
+            pairs = np.unique(np.sort(np.stack([i[ok], j[ok]], 1), 1), axis=0)
+            yield fps[pairs[:, 0]], fps[pairs[:, 1]]
 
     return find
 
 
-def _search(find, fps: list[str]):
-    """find: the links of one group. Rows have route, part, cell and fps, the columns of a fingerprint."""
-    names = [f"{side}{k or ''}" for side in "ab" for k in range(len(fps))]
+def _search(find, cols: list[str], fps: int):
+    """find: the links of one group, some at a time. Rows have route, part, cell and cols, the first `fps` of them a fingerprint."""
+    names = [f"{side}{k or ''}" for side in "ab" for k in range(fps)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by group; a group may go over from one batch to the next."""
         held: list[np.ndarray] = []
         key, out = None, []
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             own = np.concatenate(held)
             if len(own) > 1:
-                a, b = find(own if len(fps) > 1 else own[:, 0])
-                out.append(np.concatenate([a.reshape(len(a), len(fps)), b.reshape(len(b), len(fps))], 1))
+                for a, b in find(own if len(cols) > 1 else own[:, 0], int(key[0])):
+                    if len(a):
+                        out.append(np.concatenate([a.reshape(len(a), fps), b.reshape(len(b), fps)], 1))
+                    if sum(map(len, out)) > 100_000:
+                        yield batch()
 
         def batch() -> pa.RecordBatch:
             every = np.concatenate(out).view(np.int64)
+            out.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in every.T], names)
 
         for b in batches:
-            fp = np.stack([np.asarray(b.column(c)).view(np.uint64) for c in fps], 1)
-            cols = [np.asarray(b.column(c)) for c in ("route", "part", "cell")]
-            new = np.any([c[1:] != c[:-1] for c in cols], axis=0) if len(fp) > 1 else np.zeros(0, bool)
-            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]])
+            row = np.stack([np.asarray(b.column(c)).view(np.uint64) for c in cols], 1)
+            place = [np.asarray(b.column(c)) for c in ("route", "part", "cell")]
+            new = np.any([c[1:] != c[:-1] for c in place], axis=0) if len(row) > 1 else np.zeros(0, bool)
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(row)]])
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
-                own = tuple(c[i] for c in cols)
+                own = tuple(c[i] for c in place)
                 if own != key:
                     if held:
-                        close()
+                        yield from close()
                     key, held = own, []
-                held.append(fp[i:j])
+                held.append(row[i:j])
             if out:
                 yield batch()
-                out.clear()
         if held:
-            close()
+            yield from close()
         if out:
             yield batch()
 
@@ -269,30 +307,31 @@ def _search(find, fps: list[str]):
 
 def search_groups(nodes: DataFrame, masks: list[int], find, heavy_rows: int) -> DataFrame:
     """What `find` gives for each group of nodes that agree on the bits of a mask. nodes: distinct fp, or fp and fp2, for
-    which masks have 128 bits, the upper ones for fp2."""
-    fps = nodes.columns
+    which masks have 128 bits, the upper ones for fp2; then what else `find` reads of them, as longs."""
+    cols = nodes.columns
+    fps = [c for c in cols if c in ("fp", "fp2")]
     words = [[m >> 64 * k & (1 << 64) - 1 for k in range(len(fps))] for m in masks]
     mask = F.array(*[F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in ws]) for ws in words])
     own = [F.col(c).bitwiseAND(F.col("mask")[k]) for k, c in enumerate(fps)]
     part = own[0] if len(own) == 1 else F.xxhash64(*own)  # groups that share a hash only have more members
-    dealt = nodes.select(*fps, F.posexplode(mask).alias("route", "mask")).select(*fps, "route", part.alias("part"))
+    dealt = nodes.select(*cols, F.posexplode(mask).alias("route", "mask")).select(*cols, "route", part.alias("part"))
     heavy = dealt.groupBy("route", "part").agg(F.count("*").alias("n")).where(F.col("n") > heavy_rows)
     heavy = heavy.select(F.col("route").alias("hr"), F.col("part").alias("hp"), F.ceil(F.col("n") / (heavy_rows // 2)).cast("int").alias("parts"))
     if heavy.limit(1).count():
         dealt = dealt.join(heavy, (F.col("route") == F.col("hr")) & (F.col("part") == F.col("hp")), "left")
         mine = F.pmod(F.xxhash64(*fps, F.lit(7)), F.col("parts")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, mine) * F.col("parts") + F.greatest(x, mine))
-        dealt = dealt.select(*fps, "route", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
+        dealt = dealt.select(*cols, "route", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
     else:
         dealt = dealt.withColumn("cell", F.lit(0))
     order = [gray_rank(F.col("fp"))] if len(fps) == 1 else []
     dealt = dealt.repartition("route", "part", "cell").sortWithinPartitions("route", "part", "cell", *order)
-    return dealt.mapInArrow(*_search(find, fps)).distinct()
+    return dealt.mapInArrow(*_search(find, cols, len(fps))).distinct()
 
 
 def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
     """Edges (a, b) that connect just what fingerprints at most max_bits apart connect. nodes: distinct fp."""
-    return search_groups(nodes, routes(nodes.count(), p), lambda fps: local_links(fps, p.max_bits), p.heavy_rows)
+    return search_groups(nodes, routes(nodes.count(), p), lambda fps, _: [local_links(fps, p.max_bits)], p.heavy_rows)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
@@ -317,14 +356,27 @@ def sampled_routes(n: int, p: SimilarParams) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(128, wide, replace=False)) for _ in range(count)]
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace) -> DataFrame:
-    """Edges (a, b) between nodes (as 32 hex digits) whose texts have the similarity. nodes: fp, fp2, file and row of one
-    text; texts: t, file and row of all."""
-    name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
-    found = search_groups(nodes.select("fp", "fp2"), sampled_routes(nodes.count(), p), near_links(p), p.heavy_rows)
-    pairs = ws.save(found.select(name("a", "a1").alias("a"), name("b", "b1").alias("b")), "pairs")
+def similar_links(nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace) -> DataFrame:
+    """Edges (a, b) between nodes (as 32 hex digits) whose texts have the similarity. nodes: fp, fp2, size, file and row of
+    one text; texts: t, file and row of all."""
+    masks = sampled_routes(nodes.count(), p)
+    near = similar_pairs(search_groups(nodes.select("fp", "fp2"), masks, near_links(p), p.heavy_rows), nodes, texts, p, ws, "near")
+    label = components(near, ws)
+    known = nodes.withColumn("name", _name("fp", "fp2")).join(label, F.col("name") == F.col("node"), "left").withColumn("label", F.coalesce("label", "name"))
+    word = lambda at: F.conv(F.substring("label", at, 16), 16, -10).cast("long")
+    known = known.select("fp", "fp2", word(1).alias("l"), word(17).alias("l2"), "size")
+    return near.union(similar_pairs(search_groups(known, masks, other_links(p, masks), p.heavy_rows), nodes, texts, p, ws, "other"))
+
+
+def _name(a: str, b: str) -> Column:
+    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+
+
+def similar_pairs(found: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace, label: str) -> DataFrame:
+    """Those pairs of `found` whose texts have the similarity, as names (a, b)."""
+    pairs = ws.save(found.select(_name("a", "a1").alias("a"), _name("b", "b1").alias("b")), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = ws.save(nodes.select(name("fp", "fp2").alias("own"), F.col(FILE).alias("f"), F.col(ROW).alias("r")).join(asked, F.col("own") == F.col("node")).select("node", "f", "r"), "asked")
+    asked = ws.save(nodes.select(_name("fp", "fp2").alias("own"), F.col(FILE).alias("f"), F.col(ROW).alias("r")).join(asked, F.col("own") == F.col("node")).select("node", "f", "r"), "asked")
     some = maybe_in(texts, F.xxhash64(FILE, ROW), bitmap(asked, F.xxhash64("f", "r"))).where("maybe").select("t", FILE, ROW)
     some = some.join(asked, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("node", "t")
 
@@ -345,7 +397,9 @@ def similar_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, p: Simila
             yield pa.array(out, pa.float64())
 
     both = pairs.join(own.select(F.col("node").alias("na"), F.col("held").alias("ha")), F.col("a") == F.col("na")).join(own.select(F.col("node").alias("nb"), F.col("held").alias("hb")), F.col("b") == F.col("nb"))
-    return both.where(jaccard("ha", "hb") >= p.similarity).select("a", "b")
+    similar = ws.save(both.where(jaccard("ha", "hb") >= p.similarity).select("a", "b"), label)
+    ws.drop("pairs", "asked", "sets")
+    return similar
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimilarParams = SimilarParams(), place: bool = False) -> DataFrame:
@@ -355,11 +409,10 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     p, ws = params, Workspace(docs.sparkSession, "similar")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), FILE, ROW) if place else addressable(docs, ws, id=id_col, t=text_col)
     rows = ws.save(fingerprints(texts, p), "fingerprints")
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW, "size"))
     nodes = ws.save(rows.groupBy("fp", "fp2").agg(best.alias("rep"), F.count("*").alias("n")), "nodes")
-    name = F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("fp2"), 16, "0"))
-    label = components(similar_links(rows, nodes.select("fp", "fp2", f"rep.{FILE}", f"rep.{ROW}"), texts, p, ws), ws)
-    own = nodes.withColumn("name", name).join(label, F.col("name") == F.col("node"), "left").select("fp", "fp2", "rep", "n", F.coalesce("label", "name").alias("label"))
+    label = components(similar_links(nodes.select("fp", "fp2", "rep.size", f"rep.{FILE}", f"rep.{ROW}"), texts, p, ws), ws)
+    own = nodes.withColumn("name", _name("fp", "fp2")).join(label, F.col("name") == F.col("node"), "left").select("fp", "fp2", "rep", "n", F.coalesce("label", "name").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("first"), F.sum("n").alias("in_component")).withColumnRenamed("label", "l")
     own = own.join(least, F.col("label") == F.col("l")).select(F.col("fp").alias("f1"), F.col("fp2").alias("f2"), "first", "in_component")
     out = rows.join(own, (F.col("fp") == F.col("f1")) & (F.col("fp2") == F.col("f2")))

@@ -172,6 +172,25 @@ def test_similar_texts_in_a_large_cluster(spark):
     assert [r.id for r in got if r.kept and r.id < 1000] == [0] and sum(r.kept for r in got) == 51
 
 
+@pytest.mark.parametrize("heavy", [8192, 60])
+def test_similar_texts_whose_nearest_are_not_similar(spark, heavy):
+    """Most pairs lie just below the similarity, so that the nearest fingerprint is seldom a similar text."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        w = [f"b{i}" for i in range(200)]
+        for i in rng.choice(200, 3, replace=False):
+            w[i] = f"n{k}x{i}"
+        rows.append((k, " ".join(w)))
+    pairs = similar_pairs(shingle_sets(rows))
+    p = simhash.SimilarParams(heavy_rows=heavy, recall=0.9999, slack=6.0)
+    comp = {r.id: r.component_id for r in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string"), params=p).collect()}
+    up = {i: i for i, _ in rows}
+    for a, b in pairs * 2:  # the components of all similar pairs
+        up = {i: min(up[a], up[b]) if x in (up[a], up[b]) else x for i, x in up.items()}
+    assert comp == up and 5 < len(set(up.values())) < 235
+
+
 @pytest.mark.parametrize("heavy", [8192, 40])
 def test_simhash_links(spark, heavy):
     rng = np.random.default_rng(5)
