@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import exact_dedup, mixing, sentencepiece_sampling, simhash, toxicity
-from stratalens.llm.common import FILE, ROW, Workspace, addressable, documents, remainder, without
+from stratalens.llm.common import FILE, ROW, Workspace, addressable, documents, release_heaps, remainder, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def _rows(docs: DataFrame, name: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts."""
+    release_heaps(spark)
     rows = _rows(docs, "stage-exact")
     lost = exact_dedup.exact_dedup(rows, "id", "text", place=True).where("NOT kept").select(FILE, ROW)
     return without(rows.select("d", FILE, ROW), lost, [FILE, ROW]).select("d.*")
@@ -39,6 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies: the one with the smallest doc_id."""
+    release_heaps(spark)
     rows, ws = _rows(docs, "stage-simhash"), Workspace(spark, "stage-simhash")
     lost = ws.save(simhash.similar_dedup(rows, "id", "text", place=True).where("NOT kept").select(FILE, ROW), "lost")
     return without(rows.select("d", FILE, ROW), lost, [FILE, ROW]).select("d.*")
@@ -46,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as the mix takes it."""
+    release_heaps(spark)
     rows = _rows(docs, "stage-mixing")
     taken = mixing.mix_sources(rows, "id", "text", "source", place=True).where("copies > 0").select(F.col(FILE).alias("f"), F.col(ROW).alias("r"), "copies")
     rows = rows.select("d", FILE, ROW).join(taken, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r")))
@@ -54,7 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each row."""
-    p = sentencepiece_sampling.SampleParams(room=300_000)  # the executors' heaps are full from the stages before
+    release_heaps(spark)
+    p = sentencepiece_sampling.SampleParams(slice_bytes=300_000, room=300_000)  # leaves room beside the heaps; samples are the same
     return sentencepiece_sampling.sample_segmentations(docs, params=p).withColumnRenamed("id", "doc_id")
 
 

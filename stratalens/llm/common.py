@@ -105,6 +105,12 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect, which gives the heap that ended steps have left back to the system: Python workers need the room."""
+    n = spark.sparkContext.defaultParallelism  # a task for each slot
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 # --- bitmaps: a set of any size as a filter of fixed size, which may let more rows through but loses none ---
 
 

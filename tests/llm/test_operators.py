@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the awkward cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import collections
+import gc
 import hashlib
 import math
 import re
@@ -551,6 +552,17 @@ def test_pipeline(spark):
     assert "ids" in out.columns and out.where("NOT round_trip").count() == 0
 
 
+@pytest.mark.parametrize("stage", ["drop_copies", "encode"])
+def test_pipeline_stages_give_back_the_heap_first(spark, some, stage):
+    import corpus_pipeline
+
+    jvm = spark.sparkContext._jvm
+    left = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    gc.collect()
+    getattr(corpus_pipeline, stage)(spark, some.select("doc_id", "text", "lang", "source"), D)
+    assert left.get() is None
+
+
 CLASHING = "f r d id t copies maybe bm_no bm_bits bm_slot __file __row digest spans label node rep fp k y l own p n h".split()
 
 
