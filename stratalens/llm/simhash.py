@@ -16,6 +16,8 @@ probability `recall`), the same index searches each group within the bits that t
 similarity of each pair found is computed from the texts before it counts. First a member of a group asks for its nearest
 and its first neighbour, which in a large cluster gives a star and not all its pairs; then, with the components that these
 links make, for all others that its component lacks. So each pair in a group is either compared or connected already.
+Those others may be as many as pairs, so they never become rows: a first look names the members that have any, these
+members' sets go to their groups, and there pairs are compared one by one; only a link that joins two components leaves.
 
 Null texts and texts without words have fingerprint 0, linked like any other. Null ids get fingerprints and components,
 but never name one, unless a component has no other. Repeated rows get equal answers. Extra columns are not read.
@@ -55,6 +57,7 @@ class SimilarParams:
     slack: float = 3.0  # standard deviations that a pair at the limit may lie beyond its expected bits
     group_rows: int = 128
     heavy_rows: int = 8192
+    heavy_bytes: int = 32_000_000  # of sets that one task holds at a time
     seed: int = 23
 
     @property
@@ -204,15 +207,15 @@ def _by_gray_rank(rows: np.ndarray) -> np.ndarray:
     rank = rows[:, 0].copy()
     for k in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(k)
-    return rows[np.lexsort((rows[:, 1], rank))]
+    return np.lexsort((rows[:, 1], rank))
 
 
 def near_links(p: SimilarParams):
-    """For a group's 128-bit fingerprints (n, 2): (member, other) with each member's nearest and first neighbour. `other_links` has the rest."""
+    """For a group's 128-bit fingerprints (n, 2): (member, other) with each member's nearest and first neighbour. `in_doubt` and `verified_links` have the rest."""
     one, both = p.bits(64), p.bits(128)
 
-    def find(fps: np.ndarray, _: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fps = _by_gray_rank(fps)
+    def find(fps: np.ndarray, _) -> Iterator[np.ndarray]:
+        fps = fps[_by_gray_rank(fps)]
         index, step = GrayIndex(np.ascontiguousarray(fps[:, 0])), max(16, min(512, 1_000_000 // len(fps)))
         for at in range(0, len(fps), step):
             i, j = index.near(fps[at : at + step, 0], one)
@@ -224,55 +227,133 @@ def near_links(p: SimilarParams):
                 first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
                 pairs.append(np.stack([i[first], j[first]], 1))
             pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-            yield fps[pairs[:, 0]], fps[pairs[:, 1]]
+            yield fps[pairs].reshape(len(pairs), 4)
 
     return find
 
 
-def other_links(p: SimilarParams, masks: list[int]):
-    """For a group's rows (fingerprint, two words; component, two words; size of the set): all (member, other) of two
-    components within the bits, whose sizes allow the similarity, unless an earlier mask brings them together, too."""
-    one, both = p.bits(64), p.bits(128)
-    words = np.array([[m & (1 << 64) - 1, m >> 64] for m in masks], np.uint64)
+class OtherPairs:
+    """Of a group's rows (fingerprint, two words; component, two words; size of the set): all pairs of two components within
+    the bits, whose sizes allow the similarity, unless an earlier mask brings them together, too."""
+
+    def __init__(self, p: SimilarParams, masks: list[int]):
+        self.p, self.one, self.both = p, p.bits(64), p.bits(128)
+        self.words = np.array([[m & (1 << 64) - 1, m >> 64] for m in masks], np.uint64)
 
-    def find(rows: np.ndarray, route: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows = _by_gray_rank(rows)
-        _, own, members = np.unique(rows[:, 2:4], axis=0, return_inverse=True, return_counts=True)
+    def __call__(self, rows: np.ndarray, own: np.ndarray, route: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """rows in Gray order; own: their components' numbers. (place, place) of each pair once, some at a time."""
+        fps, size, members = np.ascontiguousarray(rows[:, :2]), rows[:, 4].astype(np.float64), np.bincount(own)
         if len(members) == 1:
             return
-        fps, size, own = np.ascontiguousarray(rows[:, :2]), rows[:, 4].astype(np.float64), own.reshape(-1)
-        asked = np.flatnonzero(own != members.argmax())  # of each pair one at least is outside the largest component
+        asks = own != members.argmax()  # of each pair one at least is outside the largest component
+        asked = np.flatnonzero(asks)
         index, step = GrayIndex(np.ascontiguousarray(fps[:, 0])), max(16, min(512, 1_000_000 // len(fps)))
         for at in range(0, len(asked), step):
-            i, j = index.near(fps[asked[at : at + step], 0], one)
+            i, j = index.near(fps[asked[at : at + step], 0], self.one)
             i = asked[at : at + step][i]
-            ok = (own[i] != own[j]) & (np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1) >= p.similarity)
+            ok = (own[i] != own[j]) & (~asks[j] | (i < j)) & (np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1) >= self.p.similarity)
             i, j = i[ok], j[ok]
             x = fps[i] ^ fps[j]
-            ok = np.bitwise_count(x).sum(1) <= both
-            for word in words[:route]:
+            ok = np.bitwise_count(x).sum(1) <= self.both
+            for word in self.words[:route]:
                 ok &= (x & word).any(1)
-            pairs = np.unique(np.sort(np.stack([i[ok], j[ok]], 1), 1), axis=0)
-            yield fps[pairs[:, 0]], fps[pairs[:, 1]]
+            yield i[ok], j[ok]
+
+
+def in_doubt(p: SimilarParams, masks: list[int]):
+    """For a group's rows as OtherPairs reads them: those that have such a pair, with route and part."""
+    others = OtherPairs(p, masks)
+
+    def find(rows: np.ndarray, key: tuple) -> Iterator[np.ndarray]:
+        rows = rows[_by_gray_rank(rows)]
+        own = np.unique(rows[:, 2:4], axis=0, return_inverse=True)[1].reshape(-1)
+        doubt = np.zeros(len(rows), bool)
+        for i, j in others(rows, own, int(key[0])):
+            doubt[i] = doubt[j] = True
+            if doubt.all():
+                break
+        place = np.array([[key[0], key[1]]], np.int64).view(np.uint64)
+        yield np.concatenate([rows[doubt], np.repeat(place, doubt.sum(), 0)], 1)
 
     return find
 
 
-def _search(find, cols: list[str], fps: int):
-    """find: the links of one group, some at a time. Rows have route, part, cell and cols, the first `fps` of them a fingerprint."""
-    names = [f"{side}{k or ''}" for side in "ab" for k in range(fps)]
+class Overlaps:
+    """Sets of hashes by number; what only one of them holds is counted, not kept."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        every = np.sort(flat)
+        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        at = np.searchsorted(shared, flat)
+        kept = at < len(shared)
+        kept[kept] = shared[at[kept]] == flat[kept]
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(self.size)])]
+        self.start, self.count, self.ids = ends[:-1], np.diff(ends), at[kept].astype(np.int32)
+        self.mark = np.zeros(len(shared), bool)
+
+    def similar(self, i: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Those of others whose Jaccard similarity with i is `least` or more."""
+        share = lambda js, both: both / np.maximum(1, self.size[i] + self.size[js] - both)
+        others = others[share(others, np.minimum(self.count[i], self.count[others])) >= least]
+        if not len(others):
+            return others
+        own = self.ids[self.start[i] : self.start[i] + self.count[i]]
+        self.mark[own] = True
+        slabs = np.flatnonzero(np.diff((np.cumsum(self.count[others]) - 1).clip(0) // 1_000_000)) + 1
+        both = [self._hits(js) for js in np.split(others, slabs)]
+        self.mark[own] = False
+        return others[share(others, np.concatenate(both)) >= least]
+
+    def _hits(self, js: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(self.count[js])
+        at = np.repeat(self.start[js] - ends + self.count[js], self.count[js]) + np.arange(ends[-1])
+        hits = np.concatenate([[0], np.cumsum(self.mark[self.ids[at]])])
+        return hits[ends] - hits[ends - self.count[js]]
+
+
+def verified_links(p: SimilarParams, masks: list[int]):
+    """For a group's rows as OtherPairs reads them, and their sets: (member, other) of similar pairs, as few as join all components that such pairs join."""
+    others = OtherPairs(p, masks)
+
+    def find(rows: np.ndarray, key: tuple, sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+        order = _by_gray_rank(rows)
+        rows = rows[order]
+        own = np.unique(rows[:, 2:4], axis=0, return_inverse=True)[1].reshape(-1)
+        overlaps, label, links = Overlaps([sets[k] for k in order]), own.copy(), []
+        for i, j in others(rows, own, int(key[0])):
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for at, js in zip(i[np.concatenate([[0], cuts])] if len(i) else [], np.split(j, cuts)):
+                js = overlaps.similar(at, js[label[js] != label[at]], p.similarity)
+                if len(js):
+                    joined, first = np.unique(label[js], return_index=True)
+                    links += [(at, k) for k in js[first]]
+                    label[np.isin(label, joined)] = label[at]
+        if links:
+            yield rows[np.array(links), :2].reshape(len(links), 4)
+
+    return find
+
+
+def _search(find, cols: list[str], names: list[str], held: str | None = None):
+    """find: what one group gives, as rows of names, some at a time. Rows have route, part, cell and cols, all longs; find
+    gets these columns, the group's place and, where there is a column `held`, a set of hashes for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by group; a group may go over from one batch to the next."""
-        held: list[np.ndarray] = []
+        group: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
         key, out = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            own = np.concatenate(held)
+            own = np.concatenate(group)
             if len(own) > 1:
-                for a, b in find(own if len(cols) > 1 else own[:, 0], int(key[0])):
-                    if len(a):
-                        out.append(np.concatenate([a.reshape(len(a), fps), b.reshape(len(b), fps)], 1))
+                for found in find(own, key, sets) if held else find(own, key):
+                    if len(found):
+                        out.append(found)
                     if sum(map(len, out)) > 100_000:
                         yield batch()
 
@@ -291,47 +372,61 @@ def _search(find, cols: list[str], fps: int):
                     continue
                 own = tuple(c[i] for c in place)
                 if own != key:
-                    if held:
+                    if group:
                         yield from close()
-                    key, held = own, []
-                held.append(row[i:j])
+                    key, group, sets = own, [], []
+                group.append(row[i:j])
+                if held:
+                    sets.extend(np.frombuffer(x.as_buffer(), np.uint64).copy() for x in b.column(held)[i:j])
             if out:
                 yield batch()
-        if held:
+        if group:
             yield from close()
         if out:
             yield batch()
+        if held:
+            tidy()
 
     return run, ", ".join(f"{c} long" for c in names)
 
 
-def search_groups(nodes: DataFrame, masks: list[int], find, heavy_rows: int) -> DataFrame:
-    """What `find` gives for each group of nodes that agree on the bits of a mask. nodes: distinct fp, or fp and fp2, for
-    which masks have 128 bits, the upper ones for fp2; then what else `find` reads of them, as longs."""
-    cols = nodes.columns
-    fps = [c for c in cols if c in ("fp", "fp2")]
+def _fps(nodes: DataFrame) -> list[str]:
+    return [c for c in nodes.columns if c in ("fp", "fp2")]
+
+
+def deal(dealt: DataFrame, heavy_rows: int, load: Column) -> DataFrame:
+    """Adds cell: groups (route, part) whose load is over 1 are dealt into cells, so that each two members share one."""
+    cols, fps = dealt.columns, _fps(dealt)
+    heavy = dealt.groupBy("route", "part").agg(load.alias("load")).where("load > 1")
+    heavy = heavy.select(F.col("route").alias("hr"), F.col("part").alias("hp"), F.ceil(F.col("load") * heavy_rows / (heavy_rows // 2)).cast("int").alias("parts"))
+    if not heavy.limit(1).count():
+        return dealt.withColumn("cell", F.lit(0))
+    dealt = dealt.join(heavy, (F.col("route") == F.col("hr")) & (F.col("part") == F.col("hp")), "left")
+    mine = F.pmod(F.xxhash64(*fps, F.lit(7)), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, mine) * F.col("parts") + F.greatest(x, mine))
+    return dealt.select(*cols, F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
+
+
+def search_groups(nodes: DataFrame, masks: list[int], find, heavy_rows: int, names: list[str] | None = None) -> DataFrame:
+    """What `find` gives for each group of nodes that agree on the bits of a mask: links unless names say other columns.
+    nodes: distinct fp, or fp and fp2, for which masks have 128 bits, the upper ones for fp2; then what else `find` reads
+    of them, as longs."""
+    cols, fps = nodes.columns, _fps(nodes)
     words = [[m >> 64 * k & (1 << 64) - 1 for k in range(len(fps))] for m in masks]
     mask = F.array(*[F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in ws]) for ws in words])
     own = [F.col(c).bitwiseAND(F.col("mask")[k]) for k, c in enumerate(fps)]
     part = own[0] if len(own) == 1 else F.xxhash64(*own)  # groups that share a hash only have more members
     dealt = nodes.select(*cols, F.posexplode(mask).alias("route", "mask")).select(*cols, "route", part.alias("part"))
-    heavy = dealt.groupBy("route", "part").agg(F.count("*").alias("n")).where(F.col("n") > heavy_rows)
-    heavy = heavy.select(F.col("route").alias("hr"), F.col("part").alias("hp"), F.ceil(F.col("n") / (heavy_rows // 2)).cast("int").alias("parts"))
-    if heavy.limit(1).count():
-        dealt = dealt.join(heavy, (F.col("route") == F.col("hr")) & (F.col("part") == F.col("hp")), "left")
-        mine = F.pmod(F.xxhash64(*fps, F.lit(7)), F.col("parts")).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, mine) * F.col("parts") + F.greatest(x, mine))
-        dealt = dealt.select(*cols, "route", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
-    else:
-        dealt = dealt.withColumn("cell", F.lit(0))
+    dealt = deal(dealt, heavy_rows, F.count("*") / heavy_rows)
     order = [gray_rank(F.col("fp"))] if len(fps) == 1 else []
     dealt = dealt.repartition("route", "part", "cell").sortWithinPartitions("route", "part", "cell", *order)
-    return dealt.mapInArrow(*_search(find, cols, len(fps))).distinct()
+    names = names or [f"{side}{k or ''}" for side in "ab" for k in range(len(fps))]
+    return dealt.mapInArrow(*_search(find, cols, names)).distinct()
 
 
 def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
     """Edges (a, b) that connect just what fingerprints at most max_bits apart connect. nodes: distinct fp."""
-    return search_groups(nodes, routes(nodes.count(), p), lambda fps, _: [local_links(fps, p.max_bits)], p.heavy_rows)
+    return search_groups(nodes, routes(nodes.count(), p), lambda fps, _: [np.stack(local_links(fps[:, 0], p.max_bits), 1)], p.heavy_rows)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
@@ -357,25 +452,32 @@ def sampled_routes(n: int, p: SimilarParams) -> list[int]:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace) -> DataFrame:
-    """Edges (a, b) between nodes (as 32 hex digits) whose texts have the similarity. nodes: fp, fp2, size, file and row of
-    one text; texts: t, file and row of all."""
+    """Edges (a, b) between nodes (as 32 hex digits) whose texts have the similarity, as many as connect what such pairs
+    connect. nodes: fp, fp2, size, file and row of one text; texts: t, file and row of all."""
     masks = sampled_routes(nodes.count(), p)
     near = similar_pairs(search_groups(nodes.select("fp", "fp2"), masks, near_links(p), p.heavy_rows), nodes, texts, p, ws, "near")
     label = components(near, ws)
     known = nodes.withColumn("name", _name("fp", "fp2")).join(label, F.col("name") == F.col("node"), "left").withColumn("label", F.coalesce("label", "name"))
     word = lambda at: F.conv(F.substring("label", at, 16), 16, -10).cast("long")
     known = known.select("fp", "fp2", word(1).alias("l"), word(17).alias("l2"), "size")
-    return near.union(similar_pairs(search_groups(known, masks, other_links(p, masks), p.heavy_rows), nodes, texts, p, ws, "other"))
+    doubt = ws.save(search_groups(known, masks, in_doubt(p, masks), p.heavy_rows, [*known.columns, "route", "part"]), "doubt")
+    sets = sets_of(doubt.select(_name("fp", "fp2").alias("node")), nodes, texts, p, ws)
+    dealt = deal(doubt, p.heavy_rows, F.greatest(F.count("*") / p.heavy_rows, F.sum("size") * 8 / p.heavy_bytes))
+    dealt = dealt.join(sets, _name("fp", "fp2") == F.col("node")).drop("node")
+    dealt = dealt.repartition("route", "part", "cell").sortWithinPartitions("route", "part", "cell")
+    found = dealt.mapInArrow(*_search(verified_links(p, masks), known.columns, ["a", "a1", "b", "b1"], "held"))
+    other = ws.save(found.select(_name("a", "a1").alias("a"), _name("b", "b1").alias("b")), "other")
+    ws.drop("doubt", "asked", "sets")
+    return near.union(other)
 
 
 def _name(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
-def similar_pairs(found: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace, label: str) -> DataFrame:
-    """Those pairs of `found` whose texts have the similarity, as names (a, b)."""
-    pairs = ws.save(found.select(_name("a", "a1").alias("a"), _name("b", "b1").alias("b")), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def sets_of(named: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace) -> DataFrame:
+    """node, held: the set of shingles of each node that `named` (node) has."""
+    asked = named.distinct()
     asked = ws.save(nodes.select(_name("fp", "fp2").alias("own"), F.col(FILE).alias("f"), F.col(ROW).alias("r")).join(asked, F.col("own") == F.col("node")).select("node", "f", "r"), "asked")
     some = maybe_in(texts, F.xxhash64(FILE, ROW), bitmap(asked, F.xxhash64("f", "r"))).where("maybe").select("t", FILE, ROW)
     some = some.join(asked, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("node", "t")
@@ -384,7 +486,13 @@ def similar_pairs(found: DataFrame, nodes: DataFrame, texts: DataFrame, p: Simil
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x.as_buffer().to_pybytes(), p.shingle).tobytes() for x in as_text(b.column("t"))], pa.binary())], ["node", "held"])
 
-    own = ws.save(some.mapInArrow(sets, "node string, held binary"), "sets")
+    return ws.save(some.mapInArrow(sets, "node string, held binary"), "sets")
+
+
+def similar_pairs(found: DataFrame, nodes: DataFrame, texts: DataFrame, p: SimilarParams, ws: Workspace, label: str) -> DataFrame:
+    """Those pairs of `found` whose texts have the similarity, as names (a, b)."""
+    pairs = ws.save(found.select(_name("a", "a1").alias("a"), _name("b", "b1").alias("b")), "pairs")
+    own = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, texts, p, ws)
 
     @arrow_udf("double")
     def jaccard(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -192,6 +192,50 @@ def test_similar_texts_whose_nearest_are_not_similar(spark, heavy):
     assert comp == up and 5 < len(set(up.values())) < 235
 
 
+@pytest.mark.parametrize("more", [{}, {"heavy_bytes": 100_000}])
+def test_rows_of_a_group_of_similar_texts_below_the_limit(spark, monkeypatch, more):
+    """Most of the 79,800 pairs have to be compared, but no table has a row for each: members times routes bound all of them."""
+    from stratalens.llm.common import Workspace
+
+    rng, n = np.random.default_rng(12), 400
+    rows = []
+    for k in range(n):
+        w = [f"b{i}" for i in range(200)]
+        for i in rng.choice(200, 3, replace=False):
+            w[i] = f"n{k}x{i}"
+        rows.append((k, " ".join(w)))
+    save, made = Workspace.save, []
+
+    def counted(self, df, label, *args):
+        saved = save(self, df, label, *args)
+        made.append((saved.count(), label))
+        return saved
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    p = simhash.SimilarParams(recall=0.9999, slack=6.0, **more)
+    comp = {r.id: r.component_id for r in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string"), params=p).collect()}
+    assert max(made)[0] <= 2 * len(simhash.sampled_routes(n, p)) * n < 79_800 // 4
+    up = {i: i for i, _ in rows}
+    for a, b in similar_pairs(shingle_sets(rows)) * 2:
+        if up[a] != up[b]:
+            lo, hi = sorted((up[a], up[b]))
+            up = {i: lo if x == hi else x for i, x in up.items()}
+    assert comp == up and 5 < len(set(up.values())) < n - 5
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    word = rng.integers(0, 1 << 63, 60, np.uint64)
+    sets = [np.unique(rng.choice(word, k)) for k in rng.integers(0, 120, 80)] + [np.zeros(0, np.uint64), word[:1], rng.integers(0, 1 << 63, 5, np.uint64)]
+    long = rng.integers(0, 1 << 63, 150_000, np.uint64)  # a set of which no more than six are looked at at once
+    sets += [np.unique(np.concatenate([long[: 150_000 - k * 6_000], rng.integers(0, 1 << 63, 10, np.uint64)])) for k in range(12)]
+    overlaps = simhash.Overlaps(sets)
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        want = [j for j in others if (both := len(np.intersect1d(sets[i], sets[j]))) / max(1, len(sets[i]) + len(sets[j]) - both) >= 0.8]
+        assert overlaps.similar(i, others, 0.8).tolist() == want
+
+
 @pytest.mark.parametrize("heavy", [8192, 40])
 def test_simhash_links(spark, heavy):
     rng = np.random.default_rng(5)
